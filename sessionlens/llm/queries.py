@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import benchmark_matches
 from .langid import identify_languages
+from .minhash import near_duplicate_groups
 from .pii import pseudonymise
 from .quality import score_quality
+from .sentencepiece_fst import transcode_digest
 from .sharding import shard_digest
 from .toxicity import score_toxicity
 
@@ -24,6 +26,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_groups(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcode_digest(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,5 +50,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op7_pii, op8_decontamination, op9_sharding, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
