@@ -1 +1,66 @@
-"""Corpus pipeline (stages follow)."""
+"""From raw documents to token ids: quality, near duplicates, benchmark leaks, personal data, tokens.
+
+Every stage works on all that the one before kept.  `run` writes each stage's
+result to the session's shared folder and reads it again, so a lost executor
+costs one stage at most.
+"""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionlens.llm.decontam import clean_documents
+from sessionlens.llm.minhash import one_of_each_group
+from sessionlens.llm.pii import pseudonymise
+from sessionlens.llm.quality import good_documents
+from sessionlens.llm.sentencepiece_fst import decode, encode
+from sessionlens.llm.store import release, saved
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at 0.8 over five-word shingles the smallest id stays."""
+    return one_of_each_group(docs, size=5, percent=80)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item within its edit budget go."""
+    return clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets give way to surrogates; n_chars follows the new text."""
+    out = pseudonymise(docs).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """documents plus token_ids, n_tokens and round_trip (the ids decode to the text; null for null)."""
+    out = decode(encode(docs), out="_decoded")
+    return out.withColumns({"n_tokens": F.coalesce(F.size("token_ids"), F.lit(0)), "round_trip": F.col("_decoded") == F.col("text")}).drop("_decoded")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", keep_quality),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("pii surrogates", replace_personal_data),
+    ("sentencepiece", tokenise),
+]
+
+# Stages fit models, link sets and search automata: not expressible in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir))
+        release(spark)
+    return docs

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import U64, utf8_chunks
 
@@ -56,27 +57,29 @@ def features_of(df: DataFrame, featurise, bits: int) -> tuple[np.ndarray, list[n
     return got.column("label").to_numpy(), [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-def score_rows(docs: DataFrame, featurise, bits: int, index: np.ndarray, weight: np.ndarray, bias: float, a: float, b: float) -> DataFrame:
-    """doc_id and score = 1 / (1 + exp(-(a * margin + b))) of every row; the margin sums the weights of the distinct features.
+def with_scores(df: DataFrame, keep: list[str], featurise, bits: int, index: np.ndarray, weight: np.ndarray, bias: float, a: float, b: float, out: str = "score") -> DataFrame:
+    """The columns `keep` of df and score = 1 / (1 + exp(-(a * margin + b))) of every row.
 
-    A null or empty text has the margin of the bias alone.
+    The margin sums the weights of the distinct features of `text`; a null or empty
+    text has the margin of the bias alone.
     """
 
     def run(batches):
         table = np.zeros(1 << bits, np.float32)
         table[index] = weight
         for batch in batches:
-            out = np.empty(batch.num_rows)
+            margin = np.empty(batch.num_rows)
             for lo, buf, offsets in utf8_chunks(batch.column("text")):
                 n = len(offsets) - 1
                 r, f = featurise(buf, offsets, bits)
                 some = table[f] != 0
                 r, f = distinct(r[some], f[some], bits)
-                out[lo : lo + n] = bias + np.bincount(r, weights=table[f], minlength=n)[:n]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(a * out + b, -60, 60))))], ["doc_id", "score"])
+                margin[lo : lo + n] = bias + np.bincount(r, weights=table[f], minlength=n)[:n]
+            scores = pa.array(1 / (1 + np.exp(-np.clip(a * margin + b, -60, 60))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], [*keep, out])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    read = df.select(*dict.fromkeys([*keep, "text"]))
+    return read.mapInArrow(run, T.StructType([df.schema[c] for c in keep]).add(out, "double"))
 
 
 def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:

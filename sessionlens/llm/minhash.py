@@ -220,3 +220,16 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) ->
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("comp"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates, all columns kept; of rows of equal id one.
+
+    Documents without id are in no group and stay.
+    """
+    groups = near_duplicate_groups(docs, size, percent)
+    gone = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import bucket, features_of, held_out, labelled_sample, platt, score_rows
+from .linear import bucket, features_of, held_out, labelled_sample, platt, with_scores
 from .text import U64, mix64, ngram_hashes, span_hashes, words
 
 BITS = 18
@@ -132,5 +132,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -
 def score_quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     m = fit_quality(docs, labels, rows)
-    out = score_rows(docs, quality_features, BITS, m.index, m.weight, m.bias, m.a, m.b)
+    out = with_scores(docs, ["doc_id"], quality_features, BITS, m.index, m.weight, m.bias, m.a, m.b)
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+    """The documents that the classifier doesn't reject, all columns kept."""
+    m = fit_quality(docs, labels, rows)
+    out = with_scores(docs, docs.columns, quality_features, BITS, m.index, m.weight, m.bias, m.a, m.b, "_quality_score")
+    return out.where("_quality_score >= 0.5").drop("_quality_score")

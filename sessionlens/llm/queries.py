@@ -12,6 +12,7 @@ from .quality import score_quality
 from .sentencepiece_fst import transcode_digest
 from .sharding import shard_digest
 from .spotsigs import fingerprint_documents
+from .suffix_dedup import remove_repeats
 from .toxicity import score_toxicity
 
 
@@ -31,6 +32,10 @@ def op3_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(_table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -55,5 +60,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import bucket, features_of, held_out, labelled_sample, score_rows
+from .linear import bucket, features_of, held_out, labelled_sample, with_scores
 from .text import LOWER, ngram_hashes, span_hashes, words
 
 BITS = 20
@@ -81,5 +81,5 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     m = fit_toxicity(docs, labels, rows)
-    out = score_rows(docs, toxic_features, BITS, m.index, m.weight, m.bias, 1.0, 0.0)
+    out = with_scores(docs, ["doc_id"], toxic_features, BITS, m.index, m.weight, m.bias, 1.0, 0.0)
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
