@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .langid import code_points
 from .text import U64, mix64, utf8_chunks
@@ -343,7 +344,7 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", out: str
                 lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids), mask=part.column(text).is_null())
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
 
-    kind = type(schema)([*(f for f in schema.fields if f.name != out)]).add(out, "array<int>")
+    kind = T.StructType([f for f in schema.fields if f.name != out]).add(out, T.ArrayType(T.IntegerType()))
     return df.drop(out).mapInArrow(run, kind)
 
 
@@ -358,7 +359,7 @@ def decode(df: DataFrame, model_path: str = MODEL, ids: str = "token_ids", out:
             texts = [None if not column[k].is_valid else machine.decode(column[k].values.to_numpy()).decode("utf-8", "replace") for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    kind = type(df.schema)([*(f for f in df.schema.fields if f.name != out)]).add(out, "string")
+    kind = T.StructType([f for f in df.schema.fields if f.name != out]).add(out, "string")
     return df.drop(out).mapInArrow(run, kind)
 
 
