@@ -25,8 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p"))
-        parent = kept(parent.join(parent.select(F.col("a").alias("p"), F.col("p").alias("g")), "p", "left").select("a", F.coalesce("g", "p").alias("p")))
-        moved = parent.where("a <> p")
+        parent = kept(parent.withColumn("far", F.lit(True)))
+        while parent.where("far").head(1):  # chains halve until every node points at its root
+            above = parent.select(F.col("a").alias("p"), F.col("p").alias("g"))
+            parent = kept(parent.join(above, "p", "left").select("a", F.coalesce("g", "p").alias("p"), F.coalesce(F.col("g") != F.col("p"), F.lit(False)).alias("far")))
+        moved = parent.where("a <> p").select("a", "p")
         comp = kept(comp.join(moved.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
         edges = edges.join(moved, "a", "left").select(F.coalesce("p", "a").alias("a"), "b")
         edges = edges.join(moved.withColumnRenamed("a", "b"), "b", "left").select("a", F.coalesce("p", "b").alias("b"))

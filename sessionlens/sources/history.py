@@ -33,7 +33,7 @@ class History:
 
     def _pointer(self, table: str):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/_current")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/current.txt")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def _current(self, table: str) -> str | None:
