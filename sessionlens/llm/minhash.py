@@ -6,11 +6,12 @@ filled bin of a fixed random sequence of its own (optimal densification).  Bands
 of `ROWS` bins name buckets.  In each bucket the smallest id is the star's
 centre: a bucket of n documents makes n - 1 candidate edges, never n squared.
 
-Links are then confirmed on the full sets.  A star alone can miss a link between
-two members that are both unlike the centre, so buckets whose members are still
-in several components are searched once more: member against member in bounded
-blocks, by signature, and only likely pairs of different components are emitted
-and confirmed.  At a similarity of 0.8 a pair shares no bucket with a
+Links to the smallest centre are then confirmed on the full sets.  That alone
+misses links between members that are both unlike the centre.  All documents that share buckets,
+directly or through others, are a crowd; crowds whose members are still in
+several components are searched once more: member against member in bounded
+blocks, by signature and then by full set, each two blocks giving a spanning
+forest of the links between components.  At a similarity of 0.8 a pair shares no bucket with a
 probability of (1 - 0.8^4)^32, under 1e-7; that is the only way to miss a link.
 
 Equal sets are one node from the start.  Rows of equal id are one document as
@@ -24,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import checkpointed
+from .store import release, saved
 from .text import LOWER, U64, mix64, ngram_hashes, span_hashes, utf8_chunks, words
 
 BINS, ROWS = 128, 4
 BLOCK = 1024
 SLACK = 0.17
+MOST_FILTER_BITS = 1 << 27
 
 
 def shingle_sets(buf, offsets, size):
@@ -103,17 +105,38 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return ids.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, sig binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, set (sorted hashes as bytes) of the documents in ids; rows of one id share the set of the first text in order."""
+def id_filter(ids: DataFrame, rows: int) -> np.ndarray:
+    """A bitmap of hashed ids, 16 bits an id and at most MOST_FILTER_BITS in all: whatever is in ids has its bit set."""
+    bits = 1 << min(MOST_FILTER_BITS.bit_length() - 1, max(16, (16 * rows).bit_length()))
+    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
+    placed = ids.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) & 63 as int))").alias("m"))
+    words = placed.groupBy("w").agg(F.bit_or("m").alias("m"))
+    out = np.zeros(bits >> 6, np.int64)
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("m").to_numpy()
+    return out.view(np.uint64)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, rows: int, size: int) -> DataFrame:
+    """id, set (sorted hashes as bytes) of the documents in ids and a few others, without moving any text.
+
+    A bounded filter of the ids travels to the texts; where it is full, sets of more
+    documents come out, which joins drop.
+    """
+    table = id_filter(ids, rows)
 
     def run(batches):
+        bits = U64(len(table) * 64 - 1)
         for batch in batches:
+            at = batch.column("bit").to_numpy().astype(np.uint64) & bits
+            some = (table[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)
+            batch = batch.filter(pa.array(some.astype(bool)))
             for lo, buf, offsets in utf8_chunks(batch.column("text")):
                 sets = [s.tobytes() for s in shingle_sets(buf, offsets, size)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(sets)), pa.array(sets, pa.binary())], ["id", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, set binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    return texts.withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(len(table) * 64))).mapInArrow(run, "id long, set binary")
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -140,79 +163,102 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs (a, b) of different components in mixed buckets (key, id, comp, n, sig), block against block."""
+def _rest_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among members (crowd, id, comp, n, sig, set), block against block.
+
+    Each pair of blocks gives a spanning forest of the links it finds, so rows
+    follow the members, not their pairs.
+    """
     least = percent / 100 - SLACK
 
-    def emit(ids, comp, n, sig, block, p, q):
+    def alike(s, t):
+        if len(s) > len(t):
+            s, t = t, s
+        at = np.searchsorted(t, s)
+        at[at == len(t)] = 0
+        both = int((t[at] == s).sum())
+        return 100 * both >= percent * (len(s) + len(t) - both)
+
+    def links(ids, root, n, sig, sets, block, p, q):
         mine = np.flatnonzero(block == p)
         other = mine if p == q else np.flatnonzero(block == q)
         out = []
         for i in mine:
             them = other[other > i] if p == q else other
-            them = them[(comp[them] != comp[i]) & (100 * np.minimum(n[them], n[i]) >= percent * np.maximum(n[them], n[i]))]
-            if len(them):
-                them = them[(sig[them] == sig[i]).mean(1) >= least]
-                if len(them):
-                    out.append((np.full(len(them), ids[i]), ids[them]))
+            them = them[(root[them] != root[i]) & (100 * np.minimum(n[them], n[i]) >= percent * np.maximum(n[them], n[i]))]
+            if not len(them):
+                continue
+            guess = (sig[them] == sig[i]).mean(1)
+            for j in them[guess >= least][np.argsort(-guess[guess >= least])]:
+                if root[j] != root[i] and alike(sets[i], sets[j]):
+                    out.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
         return out
 
     def run(batches):
         held = None
 
         def flush(t):
-            cols = {c: t.column(c).to_numpy() for c in ("key", "p", "q", "id", "comp", "n", "block")}
+            cols = {c: t.column(c).to_numpy() for c in ("crowd", "p", "q", "id", "comp", "n", "block")}
             sig = np.stack([np.frombuffer(v, np.uint16) for v in t.column("sig").to_pylist()])
-            cut = np.flatnonzero(np.concatenate([[True], (cols["key"][1:] != cols["key"][:-1]) | (cols["p"][1:] != cols["p"][:-1]) | (cols["q"][1:] != cols["q"][:-1]), [True]]))
+            sets = [np.frombuffer(v, np.uint64) for v in t.column("set").to_pylist()]
+            new = np.ones(len(sets) + 1, bool)
+            new[1:-1] = (cols["crowd"][1:] != cols["crowd"][:-1]) | (cols["p"][1:] != cols["p"][:-1]) | (cols["q"][1:] != cols["q"][:-1])
+            cut = np.flatnonzero(new)
             out = []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                out += emit(*(cols[c][a:b] for c in ("id", "comp", "n")), sig[a:b], cols["block"][a:b], cols["p"][a], cols["q"][a])
-            if out:
-                x, y = (np.concatenate(v) for v in zip(*out, strict=True))
-                return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-            return None
+                out += links(cols["id"][a:b], cols["comp"][a:b].copy(), cols["n"][a:b], sig[a:b], sets[a:b], cols["block"][a:b], cols["p"][a], cols["q"][a])
+            x, y = zip(*out, strict=True) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows >= 4 * BLOCK:
-                last = [held.column(c)[held.num_rows - 1].as_py() for c in ("key", "p", "q")]
-                cols = [held.column(c).to_numpy() for c in ("key", "p", "q")]
-                whole = int(((cols[0] != last[0]) | (cols[1] != last[1]) | (cols[2] != last[2])).sum())
-                if whole:
-                    if (got := flush(held.slice(0, whole))) is not None:
-                        yield got
-                    held = held.slice(whole)
-        if held is not None and held.num_rows and (got := flush(held)) is not None:
-            yield got
-
-    blocks = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    m = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            last = [held.column(c)[held.num_rows - 1].as_py() for c in ("crowd", "p", "q")]
+            cols = [held.column(c).to_numpy() for c in ("crowd", "p", "q")]
+            whole = int(((cols[0] != last[0]) | (cols[1] != last[1]) | (cols[2] != last[2])).sum())
+            if whole:
+                yield flush(held.slice(0, whole))
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield flush(held)
+
+    blocks = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("m")).select("crowd", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    m = members.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "n", "sig", "block")
-    parts = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
-    return parts.mapInArrow(run, "a long, b long").distinct()
+    m = m.select("crowd", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "comp", "n", "sig", "set", "block")
+    parts = m.repartition("crowd", "p", "q").sortWithinPartitions("crowd", "p", "q", "id")
+    return parts.mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    all_rows = checkpointed(sketch(docs, size))
+    spark = docs.sparkSession
+    all_rows = saved(sketch(docs, size))
     linked = all_rows.where("doc_id is not null and n > 0")
-    nodes = checkpointed(linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    nodes = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    nodes = saved(nodes)
     buckets = nodes.select(F.explode("bands").alias("key"), "id")
     crowded = buckets.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    crowds = checkpointed(buckets.join(crowded, "key"))
-    stars = checkpointed(crowds.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    near = crowds.select("id").distinct()
-    # one text an id: the sets of repeated ids are told apart by size only where texts differ
-    sets = checkpointed(full_sets(docs, near, size).groupBy("id").agg(F.min("set").alias("set")))
-    sure = checkpointed(confirm(stars, sets, percent))
+    stars = saved(buckets.join(crowded, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    release(spark)
+    near = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = full_sets(docs, near, near.count(), size)
+    if linked.groupBy("doc_id").count().where("count > 1").head(1):
+        sets = sets.groupBy("id").agg(F.min("set").alias("set"))  # rows of one id count as one of their texts
+    sets = saved(sets)
+    release(spark)
+    # one star a document, that of the smallest centre; the search of crowds finds what this leaves
+    sure = saved(confirm(stars.groupBy("b").agg(F.min("a").alias("a")), sets, percent))
     labels = connected_components(sure)
-    seen = crowds.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = seen.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    members = seen.join(mixed, "key").join(nodes.groupBy("id").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "id")
-    rest = checkpointed(_rest_pairs(members, percent).join(stars, ["a", "b"], "left_anti"))
-    more = checkpointed(confirm(rest, sets, percent))
+    # all that share a bucket are one crowd; crowds of several components are searched member against member
+    crowds = connected_components(stars).withColumnRenamed("comp", "crowd")
+    seen = crowds.join(labels, "id", "left").select("crowd", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = seen.groupBy("crowd").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("crowd")
+    one = nodes.groupBy("id").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    members = seen.join(mixed, "crowd").join(one, "id").join(sets, "id")
+    more = saved(_rest_links(members, percent))
+    release(spark)
     if more.head(1):
         labels = connected_components(sure.unionByName(more))
     of_set = nodes.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("comp"))

@@ -4,17 +4,26 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; one of our own only where none is set (as in tests)."""
+    small_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """At most `rows` rows travel to a Python worker at a time: whole texts and sets are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
@@ -29,6 +38,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more, and returns unused memory."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
