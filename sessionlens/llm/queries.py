@@ -61,4 +61,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+# All pairs that share a shingle, and the closure of their links: the brute-force form, fine at small scale.
+MINHASH_SQL = """WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sh AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM sh), e AS (SELECT doc_id, unnest(s) AS g FROM sh
+), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(id, comp) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.comp FROM reach r JOIN both_ways l ON l.a = r.id)
+SELECT n.doc_id, n.n AS n_shingles, min(r.comp) AS component_id, n.doc_id = min(r.comp) AS kept FROM n JOIN reach r ON r.id = n.doc_id GROUP BY n.doc_id, n.n"""
+
+ORACLE_SQL: dict[str, str] = {"op5_minhash": MINHASH_SQL}
