@@ -42,8 +42,9 @@ def suffix_order(buf: np.ndarray) -> np.ndarray:
     """The suffix array.
 
     Groups of equal 8-byte prefixes come first; every round sorts each group that
-    is left by the rank of the suffix as many bytes further as are sorted so far,
-    which doubles that number.
+    is left by the ranks of the suffixes once and twice as many bytes further as are
+    sorted so far, which triples that number.  Three ranks fit one word below 2^21
+    bytes; a larger text takes one rank a round and doubles.
     """
     n = len(buf)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -57,7 +58,7 @@ def suffix_order(buf: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    done = 8
+    done, three = 8, n < (1 << 21) - 1
     # places of the sorted array whose group has several suffixes
     alone = np.ones(n, bool)
     alone[:-1] = new[1:]
@@ -66,7 +67,11 @@ def suffix_order(buf: np.ndarray) -> np.ndarray:
         s = order[todo]
         ahead = np.where(s + done < n, rank[np.minimum(s + done, n - 1)] + 1, 0)
         group = rank[s]
-        k = np.argsort((group << 32) | ahead)
+        if three:
+            ahead = (ahead << 21) | np.where(s + 2 * done < n, rank[np.minimum(s + 2 * done, n - 1)] + 1, 0)
+            k = np.argsort((group << 42) | ahead)
+        else:
+            k = np.argsort((group << 32) | ahead)
         s, group, ahead = s[k], group[k], ahead[k]
         order[todo] = s
         new = np.ones(len(todo), bool)
@@ -76,7 +81,7 @@ def suffix_order(buf: np.ndarray) -> np.ndarray:
         last = np.ones(len(todo), bool)
         last[:-1] = new[1:]
         todo = todo[~(new & last)]
-        done *= 2
+        done *= 3 if three else 2
     return order
 
 
@@ -153,9 +158,9 @@ def segments(buf, offsets, length=LENGTH, gram=GRAM):
     if rest := width - reach:
         least = np.minimum(least[:-rest], least[rest:])
     anchor = (least & mask).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(len(anchor)), "right") - 1
-    inside = np.arange(len(anchor)) + length <= offsets[row + 1]
-    at = np.flatnonzero(inside)
+    sizes = np.diff(offsets)
+    row = np.repeat(np.arange(len(sizes)), sizes)[: len(anchor)]
+    at = np.flatnonzero(np.repeat(offsets[1:], sizes)[: len(anchor)] - length >= np.arange(len(anchor)))
     if not len(at):
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     new = np.ones(len(at), bool)
@@ -229,14 +234,22 @@ def _shard_runs(parts: DataFrame, length: int, split: bool) -> DataFrame:
         hit = repeated_starts(buf, length)
         if split:
             spans, _, _ = _gram_hashes(buf, length)
-        cols = []
+        cols, sent = [], np.zeros(0, np.int64)
         for k in range(len(raw)):
             count = int(sizes[k]) - length + 1
             mask = hit[begin[k] : begin[k] + count]
             a, b = _true_runs(mask)
             cols.append((np.full(len(a), k), np.zeros(len(a), np.int32), a, b, np.zeros(len(a), np.int64)))
             if split:
-                cols.append((np.full(count, k), np.ones(count, np.int32), np.arange(count), mask.astype(np.int64), spans[begin[k] : begin[k] + count].view(np.int64)))
+                # of strings repeated here each occurrence is known to repeat; a run needs them once
+                mine = spans[begin[k] : begin[k] + count].view(np.int64)
+                send = ~mask
+                if mask.any():
+                    f, first = np.unique(mine[mask], return_index=True)
+                    send[np.flatnonzero(mask)[first[~np.isin(f, sent)]]] = True
+                    sent = np.concatenate([sent, f])
+                a = np.flatnonzero(send)
+                cols.append((np.full(len(a), k), np.ones(len(a), np.int32), a, mask[a].astype(np.int64), mine[a]))
         k, kind, a, b, f = (np.concatenate(x) for x in zip(*cols, strict=True))
         return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(k)) for c in ("anchor", "content", "shard")] + [pa.array(x) for x in (kind, a, b, f)], ["anchor", "content", "shard", "kind", "a", "b", "f"])
 
@@ -289,7 +302,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, shard_bytes: int = S
     """
     spark = texts.sparkSession
     long = texts.where(F.octet_length("text") >= length)
-    every = _segments_of(long, length).withColumn("place", F.xxhash64("key", "lo"))
+    every = saved(_segments_of(long, length)).withColumn("place", F.xxhash64("key", "lo"))
     groups = every.groupBy("anchor", "content").agg(F.min("place").alias("p"), F.max("place").alias("q"), F.first("n").alias("n"))
     several = groups.groupBy("anchor").agg(F.min("content").alias("c"), F.max("content").alias("d")).where("c <> d").select("anchor", F.lit(True).alias("several"))
     marked = groups.join(several, "anchor", "left").select("anchor", "content", (F.col("p") != F.col("q")).alias("repeats"), F.coalesce("several", F.lit(False)).alias("several"))
