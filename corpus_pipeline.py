@@ -14,7 +14,7 @@ from sessionlens.llm.decontam import clean_documents
 from sessionlens.llm.minhash import one_of_each_group
 from sessionlens.llm.pii import pseudonymise
 from sessionlens.llm.quality import good_documents
-from sessionlens.llm.sentencepiece_fst import decode, encode
+from sessionlens.llm.sentencepiece_fst import encode
 from sessionlens.llm.store import release, saved
 
 
@@ -41,8 +41,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """documents plus token_ids, n_tokens and round_trip (the ids decode to the text; null for null)."""
-    out = decode(encode(docs), out="_decoded")
-    return out.withColumns({"n_tokens": F.coalesce(F.size("token_ids"), F.lit(0)), "round_trip": F.col("_decoded") == F.col("text")}).drop("_decoded")
+    return encode(docs, check="round_trip").withColumn("n_tokens", F.coalesce(F.size("token_ids"), F.lit(0)))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

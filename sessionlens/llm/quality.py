@@ -76,13 +76,18 @@ class NbSvm:
     b: float
 
 
+def _views(flat, cut):
+    """Rows of one block of memory, which goes back whole when they are done with."""
+    return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def _dual_descent(rows, y, ratio, c, epochs, seed):
     """Weights and bias of min |w|^2 / 2 + c sum max(0, 1 - y (w x + b)), one dual variable at a time.
 
     The bias is a constant feature of 1.
     """
     w, b, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
-    scaled = [ratio[f] for f in rows]
+    scaled = _views(ratio[np.concatenate(rows)], np.cumsum([0, *map(len, rows)]))
     norm = np.array([x @ x + 1.0 for x in scaled])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -110,7 +115,9 @@ def fit_nbsvm(labels, rows, bits=BITS, c=0.02, smooth=1.0, epochs=12, seed=3) ->
     known = counts[0] + counts[1] >= min(LEAST_DOCUMENTS, max(1, len(rows) // 10))
     p = [(k + smooth) / (n + 2 * smooth) for k, n in zip(counts, ((labels == 0).sum(), (labels == 1).sum()), strict=True)]
     ratio = np.where(known, np.log(p[1] / p[0]), 0.0)
-    rows = [f[known[f]] for f in rows]
+    flat, cut = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+    keep = known[flat]
+    rows = _views(flat[keep], np.concatenate([[0], np.cumsum(keep)])[cut])
     y = np.where(labels == 1, 1.0, -1.0)
     fit, test = np.arange(len(rows)) % 5 != 0, np.arange(len(rows)) % 5 == 0
     if len(set(labels[fit])) < 2 or len(set(labels[test])) < 2:

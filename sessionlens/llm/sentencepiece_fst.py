@@ -32,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .langid import code_points
+from .store import small_batches
 from .text import U64, mix64, utf8_chunks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
-CHUNK = 2 << 20
-MEMORY_WORDS = 1_000_000
+CHUNK = 1 << 20
+MEMORY_WORDS = 500_000
 _M = 0x9E3779B97F4A7C15
 
 
@@ -330,10 +331,15 @@ def _machine(model: dict) -> Transducer:
     return home.machine
 
 
-def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """df plus the ids of `text`; null for null."""
+def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", out: str = "token_ids", check: str | None = None) -> DataFrame:
+    """df plus the ids of `text`; null for null.
+
+    With `check`, also a column of that name: whether the ids decode to the text.
+    """
+    small_batches(df.sparkSession)
     model = read_model(model_path)
-    schema = df.schema
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (out, check)])
+    df = df.select(schema.names)
 
     def run(batches):
         machine = _machine(model)
@@ -341,15 +347,23 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", out: str
             for lo, buf, offsets in utf8_chunks(batch.column(text), CHUNK):
                 ids, cut = machine.encode(buf, offsets)
                 part = batch.slice(lo, len(offsets) - 1)
-                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids), mask=part.column(text).is_null())
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
+                none = part.column(text).is_null()
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids), mask=none)
+                columns, names = [*part.columns, lists], [*part.schema.names, out]
+                if check:
+                    raw = buf.tobytes()
+                    same = np.array([machine.decode(ids[cut[k] : cut[k + 1]]) == raw[offsets[k] : offsets[k + 1]] for k in range(len(offsets) - 1)], bool)
+                    columns.append(pa.array(same, mask=none.to_numpy(zero_copy_only=False)))
+                    names.append(check)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = T.StructType([f for f in schema.fields if f.name != out]).add(out, T.ArrayType(T.IntegerType()))
-    return df.drop(out).mapInArrow(run, kind)
+    kind = T.StructType(list(schema.fields)).add(out, T.ArrayType(T.IntegerType()))
+    return df.mapInArrow(run, kind.add(check, "boolean") if check else kind)
 
 
 def decode(df: DataFrame, model_path: str = MODEL, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """df plus the text that the ids spell (bytes that aren't UTF-8 become U+FFFD); null for null."""
+    small_batches(df.sparkSession)
     model = read_model(model_path)
 
     def run(batches):
@@ -365,6 +379,7 @@ def decode(df: DataFrame, model_path: str = MODEL, ids: str = "token_ids", out:
 
 def transcode_digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, n_byte_tokens, ids_sha256 (of 32-bit little-endian ids), decoded_sha256, round_trip of every document; a null text counts as empty."""
+    small_batches(docs.sparkSession)
     model = read_model(model_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
