@@ -95,7 +95,7 @@ def test_shape_counts_match_a_plain_loop():
 
     s, e, r, _ = words(buf, np.array([0, len(buf)]))
     shapes = quality.word_shapes(buf, s, e, r, span_hashes(buf, s, e))
-    assert [int(x) >> 8 & 1 for x in shapes] == [0, 0, 0, 0, 0, 1, 0]  # CD repeats a word three before or nearer
+    assert [int(x) >> 8 & 1 for x in shapes] == [0, 0, 0, 0, 1, 1, 0]  # CD repeats a word three before or nearer
     assert [int(x) & 1 for x in shapes] == [1, 1, 0, 0, 1, 1, 0]
 
 
