@@ -123,6 +123,38 @@ def test_language_model_sums_to_one():
     assert shares + left == pytest.approx(1)
 
 
+def test_no_language_is_left_out(spark):
+    texts, langs = {}, {}
+    for k in range(70 * 3):
+        lang = k % 70
+        texts[k] = "".join(chr(0x4E00 + 40 * lang + (7 * k + j * j) % 40) for j in range(60 + lang))
+        langs[k] = f"l{lang}"
+    got = langid.predict(docs(spark, texts, langs), langid.fit_models(docs(spark, texts, langs))).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == langs
+
+
+def test_every_ngram_is_kept(spark):
+    rng = random.Random(21)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(160_000))
+    m = langid.fit_models(docs(spark, [text], {0: "zz"})).models(0)
+    padded = "\0" * 4 + text
+    for order in range(1, 6):
+        # boundary marks only count as characters before a text's own
+        assert len(m.ngrams[order - 1][0]) == len({padded[k - order + 1 : k + 1] for k in range(4, len(padded))})
+
+
+def test_shards_score_as_one_model_does(spark):
+    rng = random.Random(22)
+    texts = {k: " ".join("".join(rng.choice("abcdefgh" if k % 2 else "efghijkl") for _ in range(rng.randint(1, 6))) for _ in range(30)) for k in range(60)}
+    df = docs(spark, texts | {90: None, 91: "", 92: "12 #", 93: texts[1]}, {k: "ab"[k % 2] for k in texts})
+    one, many = langid.fit_models(df), langid.fit_models(df, shard_bytes=60_000)
+    assert one.shards == 1 and many.shards > 3
+    a, b = ({r["doc_id"]: r for r in langid.predict(df, m).collect()} for m in (one, many))
+    assert a.keys() == b.keys() and len(a) == 64
+    for k in a:
+        assert (a[k]["lang_pred"], a[k]["rejected"]) == (b[k]["lang_pred"], b[k]["rejected"]) and a[k]["score"] == pytest.approx(b[k]["score"], abs=1e-6)
+
+
 def test_spotsigs_edits_and_pairs(spark):
     rng = random.Random(4)
     texts = {k: " ".join(rng.choice([*WORDS, "the", "of", "and"]) for _ in range(60)) for k in range(25)}
