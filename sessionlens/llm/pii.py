@@ -78,7 +78,7 @@ PATTERNS = {
 _ORDER = ("email", "access_key", "iban", "ip", "phone", "card", "ssn", "secret", "name")
 ANY = "|".join(f"(?:{PATTERNS[t]})" for t in _ORDER)
 #: Every entity's text holds one of these; a text without any needs no further look.
-HINT = r"[0-9@]|" + _FORM + "|(?:password|passwd|token|secret|api_?key)"
+HINT = r"[0-9@]|" + _FORM + "|(?:AKIA|ASIA)|(?:password|passwd|token|secret|api_?key)"
 
 
 def entity_type(e: Column) -> Column:
