@@ -21,18 +21,21 @@ Distinctness: over all documents, no two different entities of one type may get
 the same surrogate, and no surrogate may equal an entity that occurs.  Entities
 that break this get a further attempt (a number that enters the hash) until none
 does; the entities with more than the first attempt are joined to the documents.
+If clashes are left after MOST_ROUNDS rounds, that is an error.
 
 Null texts stay null, texts without entities stay as they are.  Repeated rows
 are treated alike.  Other columns pass through.
 """
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import checkpointed
 
 KEY = "surrogate-key-1"
-MOST_ATTEMPTS = 24
+MOST_ROUNDS = 200
 TYPES = ("email", "ip", "phone", "card", "ssn", "iban", "access_key", "name", "secret")
 
 # Forms of address by gender and script, and given names and syllables of family names by script.
@@ -233,13 +236,16 @@ def entity_attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
     real = hit.withColumn("norm", normal_form(F.col("e"), F.col("kind"))).groupBy("kind", "norm").agg(F.min("e").alias("e"))
     real = checkpointed(real.withColumn("attempt", F.lit(0)))
     known = real.select("kind", "norm")
-    for _ in range(MOST_ATTEMPTS):
+    for done in itertools.count():
         made = real.withColumn("made", normal_form(surrogate(F.col("e"), F.col("kind"), F.col("norm"), F.col("attempt"), key), F.col("kind")))
         first = made.groupBy("kind", "made").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n"))
         taken = known.select("kind", F.col("norm").alias("made"), F.lit(True).alias("taken"))
         bad = first.join(taken, ["kind", "made"], "left").where((F.col("n") > 1) | F.col("taken"))
         if not bad.head(1):
             break
+        if done >= MOST_ROUNDS:
+            kinds = sorted(r[0] for r in bad.select("kind").distinct().collect())
+            raise ValueError(f"no room for distinct surrogates of {', '.join(kinds)} after {done} rounds")
         clash = made.join(bad, ["kind", "made"], "left").withColumn("again", F.coalesce(F.col("taken") | (F.col("norm") != F.col("first")), F.lit(False)))
         real = checkpointed(clash.select("kind", "norm", "e", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")))
     return real.where("attempt > 0").select("kind", "norm", "attempt")

@@ -310,6 +310,12 @@ def test_every_kind_of_entity_is_looked_for(spark):
     assert [r["entity_types"] for r in got] == [f"{k}:1" for k in kinds]
 
 
+def test_clashes_that_stay_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ROUNDS", 1)
+    with pytest.raises(ValueError, match="email"):
+        pii.pseudonymise(docs(spark, [" ".join(f"{c}@b.co" for c in "abcdefghijklmnopqrstuvwxyz")]))
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.pseudonymise(docs(spark, [])).count() == 0
 
