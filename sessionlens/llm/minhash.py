@@ -11,12 +11,17 @@ misses links between members that are both unlike the centre.  All documents tha
 directly or through others, are a crowd; crowds whose members are still in
 several components are searched once more: member against member in bounded
 blocks, by signature and then by full set, each two blocks giving a spanning
-forest of the links between components.  At a similarity of 0.8 a pair shares no bucket with a
-probability of (1 - 0.8^4)^32, under 1e-7; that is the only way to miss a link.
+forest of the links between components.  Two things can miss a link at a similarity of
+0.8: the pair shares no bucket, with a probability of (1 - 0.8^4)^32, under 5e-8;
+or over MOST_DIFFERING of 128 bins differ, under 1e-8.  All other pairs that are
+passed over are proven unlike by a bound.
 
 Equal sets are one node from the start.  Rows of equal id are one document as
 far as links go.  Rows without id are linked with nothing and have no component.
-Empty sets (null or blank texts) are their own component.
+Empty sets (null, empty or blank texts) are their own component; texts of any
+length are taken whole; no rows give no rows.  Ids have to be whole numbers (an
+error else).  Further columns pass through `one_of_each_group` whatever their
+names.
 """
 
 import numpy as np
@@ -25,13 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import release, saved
+from .store import release, saved, spare
 from .text import LOWER, U64, mix64, ngram_hashes, span_hashes, utf8_chunks, words
 
 BINS, ROWS = 128, 4
 BLOCK = 1024
-SLACK = 0.17
 MOST_FILTER_BITS = 1 << 27
+#: More differing bins than this are taken for proof that two sets are unlike at 80 percent or more.
+MOST_DIFFERING = 53
 
 
 def shingle_sets(buf, offsets, size):
@@ -60,22 +66,44 @@ def probes(bins, seed=1):
     return np.stack([rng.permutation(bins) for _ in range(bins)])
 
 
-def signature(s, ask):
-    """Least hash of each bin of a sorted non-empty set, empty bins filled by borrowing."""
-    bins = len(ask)
+def bin_minima(s, bins):
+    """Least hash of each bin of a sorted non-empty set, and which bins hold any."""
     shift = U64(64 - int(bins).bit_length() + 1)
     edges = np.searchsorted(s, np.arange(bins, dtype=np.uint64) << shift)
-    filled = np.append(edges[1:], len(s)) > edges
-    out = s[np.minimum(edges, len(s) - 1)]
+    return s[np.minimum(edges, len(s) - 1)], np.append(edges[1:], len(s)) > edges
+
+
+def densified(least, filled, ask):
+    """Empty bins filled by borrowing."""
     empty = np.flatnonzero(~filled)
     if len(empty):
         seq = ask[empty]
-        out[empty] = out[seq[np.arange(len(empty)), filled[seq].argmax(1)]]
-    return out
+        least = least.copy()
+        least[empty] = least[seq[np.arange(len(empty)), filled[seq].argmax(1)]]
+    return least
+
+
+def signature(s, ask):
+    """Least hash of each bin of a sorted non-empty set, empty bins filled by borrowing."""
+    return densified(*bin_minima(s, len(ask)), ask)
+
+
+def may_be_alike(sig, n, one, n_one, percent):
+    """Whether sets (rows of bin minima, 0 for an empty bin, and sizes) may reach the threshold against one other.
+
+    Bins cut the hash space, so each bin whose minima differ holds an element of one
+    set only: with d such bins 100 * intersection >= percent * union needs
+    d * (100 + percent) <= (100 - percent) * (sum of the sizes), whatever the texts.
+    At 80 percent or more, each bin that the union fills differs with a probability of
+    0.2 at most, so that over MOST_DIFFERING of BINS differ once in 1e8 links, whatever the sizes.
+    """
+    d = (sig != one).sum(1)
+    ok = (d * (100 + percent) <= (100 - percent) * (n + n_one)) & (100 * np.minimum(n, n_one) >= percent * np.maximum(n, n_one))
+    return ok & (d <= MOST_DIFFERING) if percent >= 80 else ok
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, k1, k2 (128 bits of the set), bands, sig of every document with an id; bands and sig are null for empty sets."""
+    """doc_id, n, k1, k2 (128 bits of the set), bands, sig (16 bits of each bin's minimum) of every document; bands and sig are null for empty sets."""
 
     def run(batches):
         ask = probes(BINS)
@@ -89,9 +117,10 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                     k1.append(np.add.reduce(mix64(s + U64(7))))
                     k2.append(np.add.reduce(mix64(s ^ U64(0x5851F42D4C957F2D))))
                     if len(s):
-                        sig = signature(s, ask)
+                        least, filled = bin_minima(s, BINS)
+                        sig = densified(least, filled, ask)
                         bands.append(mix64((sig.reshape(-1, ROWS) * weights).sum(1, dtype=np.uint64) + names).view(np.int64))
-                        sigs.append((sig & U64(0xFFFF)).astype(np.uint16).tobytes())
+                        sigs.append(np.where(filled, least & U64(0xFFFF) | U64(1), U64(0)).astype(np.uint16).tobytes())
                     else:
                         bands.append(None)
                         sigs.append(None)
@@ -169,7 +198,6 @@ def _rest_links(members: DataFrame, percent: int) -> DataFrame:
     Each pair of blocks gives a spanning forest of the links it finds, so rows
     follow the members, not their pairs.
     """
-    least = percent / 100 - SLACK
 
     def alike(s, t):
         if len(s) > len(t):
@@ -185,11 +213,10 @@ def _rest_links(members: DataFrame, percent: int) -> DataFrame:
         out = []
         for i in mine:
             them = other[other > i] if p == q else other
-            them = them[(root[them] != root[i]) & (100 * np.minimum(n[them], n[i]) >= percent * np.maximum(n[them], n[i]))]
+            them = them[root[them] != root[i]]
             if not len(them):
                 continue
-            guess = (sig[them] == sig[i]).mean(1)
-            for j in them[guess >= least][np.argsort(-guess[guess >= least])]:
+            for j in them[may_be_alike(sig[them], n[them], sig[i], n[i], percent)]:
                 if root[j] != root[i] and alike(sets[i], sets[j]):
                     out.append((ids[i], ids[j]))
                     root[root == root[j]] = root[i]
@@ -234,6 +261,8 @@ def _rest_links(members: DataFrame, percent: int) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     spark = docs.sparkSession
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"doc_id has to be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
     all_rows = saved(sketch(docs, size))
     linked = all_rows.where("doc_id is not null and n > 0")
     nodes = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -244,7 +273,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80) ->
     release(spark)
     near = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = full_sets(docs, near, near.count(), size)
-    if linked.groupBy("doc_id").count().where("count > 1").head(1):
+    if linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").head(1):
         sets = sets.groupBy("id").agg(F.min("set").alias("set"))  # rows of one id count as one of their texts
     sets = saved(sets)
     release(spark)
@@ -274,8 +303,9 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     Documents without id are in no group and stay.
     """
     groups = near_duplicate_groups(docs, size, percent)
-    gone = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
+    name = spare("gone", docs.columns)
+    gone = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias(name)).distinct()
+    out = docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").head(1):
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
