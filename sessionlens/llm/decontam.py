@@ -7,8 +7,12 @@ and the passage around each hit is verified with Myers' bit-parallel distance.
 Nothing within the budget is missed.
 
 Texts and items are compared as lower-case letters and digits with single spaces
-between words.  The budget is `rate` of an item's length (rounded down).  Items
-without a letter or digit match nothing, and nor do null or empty texts.
+between words.  The budget is `rate` of an item's length (rounded down); an item
+too short for any edit has to stand between word borders.  Items without a letter
+or digit match nothing, and nor do null or empty texts; texts of any length are
+searched whole.  Of several equally near passages the first counts.  Repeated
+documents give repeated rows, items listed twice are matched once, no rows give no
+rows.  Further columns pass through `clean_documents` whatever their names.
 
 Items are taken in blocks of at most `block`; each block is one pass over the
 documents, so the driver and the tasks hold one block at a time whatever the
@@ -22,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import spare
+
 RATE = 0.05
 BLOCK = 5_000
 MEMO = 20_000
@@ -79,6 +85,8 @@ class Matcher:
         for item, text in items:
             if clean := normalise(text):
                 budget = int(len(clean) * rate)
+                if not budget:
+                    clean = f" {clean} "
                 for a, b in pieces(len(clean), budget):
                     places.setdefault(clean[a:b], []).append((len(self.items), a))
                 self.items.append((item, clean, budget, pattern_masks(clean)))
@@ -93,6 +101,7 @@ class Matcher:
         clean = normalise(text)
         if not clean or not self.items:
             return []
+        clean = f" {clean} "
         spans: dict[int, list[list[int]]] = {}
         for last, (size, at) in self.automaton.iter(clean):
             for k, offset in at:
@@ -110,7 +119,8 @@ class Matcher:
             item_id, item, budget, masks = self.items[k]
             best, end = budget + 1, 0
             for lo, hi in mine:
-                lo = max(0, lo)
+                # the spaces around the text are there for items without a budget only
+                lo, hi = (max(1, lo), min(hi, len(clean) - 1)) if budget else (max(0, lo), hi)
                 passage = clean[lo:hi]
                 key = (k, passage)
                 if key not in self.memo:
@@ -121,7 +131,7 @@ class Matcher:
                 if d < best:
                     best, end = d, lo + e
             if best <= budget:
-                out.append((item_id, best, end))
+                out.append((item_id, best, end - 1 if budget else end - 2))
         return out
 
 
@@ -142,7 +152,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
             matcher = Matcher(part, rate)
             length = {}
             for item, clean, _, _ in matcher.items:
-                length[item] = len(clean)
+                length[item] = len(clean.strip())
             for batch in batches:
                 ids, found = [], []
                 for row, text in enumerate(batch.column("text").to_pylist()):
@@ -163,5 +173,6 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no benchmark item; documents without an id stay, as no match can name them."""
-    leaked = benchmark_matches(docs, benchmark, rate).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    name = spare("leaked", docs.columns)
+    leaked = benchmark_matches(docs, benchmark, rate).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaked, F.col("doc_id") == F.col(name), "left_anti")
