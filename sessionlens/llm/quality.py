@@ -11,9 +11,12 @@ ends and whether it repeats one of the words just before: what separates prose
 from tables, shouting, symbol noise and stutter whatever the vocabulary.
 
 The fit takes at most `rows` labelled documents (a documented bound); every
-document is scored on its whole text.  With no labelled row, or labels of one
-class only, every score follows the prior.  Null and empty texts get the score
-of the bias.
+document is scored on its whole text, however long.  With no labelled row, or
+labels of one class only, every score follows the prior.  Null and empty texts
+get the score of the bias.  Equal texts get equal scores and repeated rows a row
+each; of documents labelled twice the smaller label counts; rows without id or
+label aren't learned from, but scored; no rows give no rows.  Further columns
+pass through `good_documents` whatever their names.
 """
 
 from dataclasses import dataclass
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import bucket, features_of, held_out, labelled_sample, platt, with_scores
+from .store import spare
 from .text import U64, mix64, ngram_hashes, span_hashes, words
 
 BITS = 18
@@ -146,5 +150,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS)
 def good_documents(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
     """The documents that the classifier doesn't reject, all columns kept."""
     m = fit_quality(docs, labels, rows)
-    out = with_scores(docs, docs.columns, quality_features, BITS, m.index, m.weight, m.bias, m.a, m.b, "_quality_score")
-    return out.where("_quality_score >= 0.5").drop("_quality_score")
+    name = spare("quality_score", docs.columns)
+    out = with_scores(docs, docs.columns, quality_features, BITS, m.index, m.weight, m.bias, m.a, m.b, name)
+    return out.where(F.col(name) >= 0.5).drop(name)
