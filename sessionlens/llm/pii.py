@@ -11,30 +11,35 @@ so that the same entity gets the same surrogate in every document and spelling
   dealt anew; a phone keeps its country code (a number with +1 and one without
   any are the same phone), a card its first digit and a valid
   check digit, a social security number begins with 9, which is never issued.
-- IP address: four new octets.  IBAN: the country stays.
+- IP address: four new octets.  IBAN: the country stays, and the check digits are valid.
 - access key and secret: same length and kinds of characters.
 - name after a form of address: first name of the gender that the form tells, in
   the script of the name; first and last name are mapped apart, so that
   "Mrs. Ada Holt" and "Mrs. Holt" stay one person.
 
 Distinctness: over all documents, no two different entities of one type may get
-the same surrogate, and no surrogate may equal an entity that occurs.  Entities
-that break this get a further attempt (a number that enters the hash) until none
-does; the entities with more than the first attempt are joined to the documents.
-If clashes are left after MOST_ROUNDS rounds, that is an error.
-
-Null texts stay null, texts without entities stay as they are.  Repeated rows
-are treated alike.  Other columns pass through.
+the same surrogate, and no surrogate may equal an entity that occurs.  A name has
+two parts that are kept distinct each for itself: the family name among all, the
+given name among those of its family.  Parts that break this get a further
+attempt (a number that enters the hash) until none does, and names and mailboxes
+grow with the attempts, so their space is never full.  The parts with more than
+the first attempt are joined to the documents.  If clashes are left after
+MOST_ROUNDS rounds, that is an error.
+
+Null texts stay null, empty texts and those without entities stay as they are;
+texts of any length are searched whole; equal texts are treated alike, and
+repeated rows give a row each.  Other columns pass through whatever their names
+(but see `pseudonymise` for two).  No rows give no rows.
 """
 
 import itertools
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import checkpointed
+from .store import checkpointed, spare
 
-KEY = "surrogate-key-1"
 MOST_ROUNDS = 200
 TYPES = ("email", "ip", "phone", "card", "ssn", "iban", "access_key", "name", "secret")
 
@@ -80,8 +85,19 @@ PATTERNS = {
 }
 _ORDER = ("email", "access_key", "iban", "ip", "phone", "card", "ssn", "secret", "name")
 ANY = "|".join(f"(?:{PATTERNS[t]})" for t in _ORDER)
-#: Every entity's text holds one of these; a text without any needs no further look.
-HINT = r"[0-9@]|" + _FORM + "|(?:AKIA|ASIA)|(?:password|passwd|token|secret|api_?key)"
+#: Every entity's text holds a digit, "@" or one of these words; a text without any needs no further look.
+WORDS = (*FORMS_M, *FORMS_F, *FORMS_N, "AKIA", "ASIA", "password", "passwd", "token", "secret", "api_key", "apikey")
+
+
+def may_hold(text: Column) -> Column:
+    """Plain searches, far cheaper than the patterns."""
+    starts = [w for w in WORDS if not any(w != v and w.startswith(v) for v in WORDS)]  # "Mr" is in "Mrs"
+    return reduce(Column.__or__, (text.contains(w) for w in starts), text.rlike("[0-9@]"))
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret that the session names in `spark.sessionlens.surrogateKey`; a public one for test data if it names none."""
+    return spark.conf.get("spark.sessionlens.surrogateKey", None) or "public key for test data"
 
 
 def entity_type(e: Column) -> Column:
@@ -108,6 +124,11 @@ def normal_form(e: Column, kind: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), the value computed once and the expression not repeated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _seed(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
 
@@ -164,113 +185,155 @@ def _script(e: Column) -> Column:
     return F.when(e.rlike(r"\p{IsCyrillic}"), "cyrillic").when(e.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _family_name(seed: Column, script: str) -> Column:
-    words = F.array(*map(F.lit, SYLLABLES[script]))
-    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.element_at(words, _pick(seed, i, len(SYLLABLES[script])) + 1)), ""))
-
-
-def _name(e: Column, norm: Column, key: str, attempt: Column) -> Column:
-    form = F.regexp_extract(e, "^" + _FORM, 0)
-    parts = F.split(F.substring_index(norm, ":", -1), " ")
-    gender, family = F.substring(norm, 1, 1), F.element_at(parts, -1)
-    seed_f = _seed(key, F.lit("family"), family, attempt.cast("string"))
-    seed_g = _seed(key, F.lit("given"), F.element_at(parts, 1), attempt.cast("string"))
-    out = None
-    for script in GIVEN:
-        last = _family_name(seed_f, script)
-        first = None
-        for g in ("m", "f", "n"):
-            one = F.element_at(F.array(*map(F.lit, GIVEN[script][g])), _pick(seed_g, F.lit(0), len(GIVEN[script][g])) + 1)
-            first = F.when(gender == g, one) if first is None else first.when(gender == g, one)
-        whole = F.concat(form, F.when(F.size(parts) > 1, F.concat(first, F.lit(" "), last)).otherwise(last))
-        out = F.when(_script(norm) == script, whole) if out is None else out.when(_script(norm) == script, whole)
-    return out
-
-
-def surrogate(e: Column, kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
-    """What stands in for entity e."""
-    seed = _seed(key, kind, norm, attempt.cast("string"))
+def _words(seed: Column, words: Column, n: Column, between: str) -> Column:
+    """n words picked from a list, put together."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(words, _pick(seed, i, F.size(words)) + 1)), between)
+
+
+def family_surrogate(family: Column, attempt: Column, key: str) -> Column:
+    """Three syllables, and one more every four attempts."""
+    script = _script(family)
+    lists = F.when(script == "cyrillic", " ".join(SYLLABLES["cyrillic"])).when(script == "greek", " ".join(SYLLABLES["greek"])).otherwise(" ".join(SYLLABLES["latin"]))
+    known = F.struct(_seed(key, F.lit("family"), family, attempt.cast("string")).alias("seed"), F.split(lists, " ").alias("words"), (F.floor(attempt / 4).cast("int") + 3).alias("n"))
+    return _let(known, lambda x: F.initcap(_words(x["seed"], x["words"], x["n"], "")))
+
+
+def given_surrogate(norm: Column, attempt: Column, key: str) -> Column:
+    """Of a name in normal form, gender:given family: one name, and one more every eight attempts."""
+    name = F.substring_index(norm, ":", -1)
+    kind = F.concat(_script(name), F.lit(":"), F.substring(norm, 1, 1))
+    lists = reduce(lambda out, k: out.when(kind == f"{k[0]}:{k[1]}", " ".join(GIVEN[k[0]][k[1]])), ((s, g) for s in GIVEN for g in GIVEN[s]), F.when(F.lit(False), ""))
+    known = F.struct(_seed(key, F.lit("given"), F.substring_index(name, " ", 1), attempt.cast("string")).alias("seed"), F.split(lists, " ").alias("words"), (F.floor(attempt / 8).cast("int") + 1).alias("n"))
+    return _let(known, lambda x: _words(x["seed"], x["words"], x["n"], "-"))
+
+
+def family_of(norm: Column) -> Column:
+    return F.element_at(F.split(F.substring_index(norm, ":", -1), " "), -1)
+
+
+def _name(e: Column, norm: Column, key: str, attempt: Column, given_attempt: Column) -> Column:
+    last = family_surrogate(family_of(norm), attempt, key)
+    whole = F.when(norm.contains(" "), F.concat(given_surrogate(norm, given_attempt, key), F.lit(" "), last)).otherwise(last)
+    return F.concat(F.regexp_extract(e, "^" + _FORM, 0), whole)
+
+
+def _iban(e: Column, seed: Column) -> Column:
+    """Country, valid check digits, the rest dealt anew; spaces stay."""
+    value = lambda c: F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    place = lambda i: F.length(F.replace(F.substring(e, F.lit(1), i + 1), F.lit(" "), F.lit("")))
+
+    def checked(x: Column) -> Column:
+        rest = F.aggregate(_chars(F.concat(x["body"], x["country"], F.lit("00"))), F.lit(0), lambda r, c: (r * F.when(c.between("0", "9"), 10).otherwise(100) + value(c)) % 97)
+        return F.concat(x["country"], F.lpad((98 - rest).cast("string"), 2, "0"), x["body"])
+
+    plain = F.replace(e, F.lit(" "), F.lit(""))
+    parts = F.struct(F.substring(plain, 1, 2).alias("country"), _spell(F.substring(plain, F.lit(5), F.length(plain)), seed, _same_class).alias("body"))
+    return _let(_let(parts, checked), lambda new: F.array_join(F.transform(_chars(e), lambda c, i: F.when(c == " ", c).otherwise(F.substring(new, place(i), F.lit(1)))), ""))
+
+
+def surrogate(e: Column, kind: Column, norm: Column, attempt: Column, given_attempt: Column, key: str) -> Column:
+    """What stands in for entity e; of a name `attempt` is that of the family, and given_attempt counts too."""
+    known = F.struct(e.alias("e"), kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt"), given_attempt.alias("given"))
+    seeds = lambda x: F.struct(*(x[c].alias(c) for c in ("e", "kind", "norm", "attempt", "given")), _seed(key, x["kind"], x["norm"], x["attempt"].cast("string")).alias("seed"))
+    return _let(known, lambda x: _let(seeds(x), lambda y: _surrogate(y, key)))
+
+
+def _surrogate(x: Column, key: str) -> Column:
+    e, kind, norm, attempt, seed = (x[c] for c in ("e", "kind", "norm", "attempt", "seed"))
     size = F.length(norm)
-    local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
-    name, top = F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 1), F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 2)
-    email = F.concat(_spell(local, seed, _lower_class), F.lit("@"), _spell(name, _seed(key, F.lit("domain"), F.lower(domain)), _lower_class), top)
+    domain = F.substring_index(e, "@", -1)
+    halves = F.struct(F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 1).alias("name"), F.regexp_extract(domain, r"^(.*)(\.[^.]+)$", 2).alias("top"), _seed(key, F.lit("domain"), F.lower(domain)).alias("seed"))
+    host = _let(halves, lambda h: F.concat(_spell(h["name"], h["seed"], _lower_class), h["top"]))
+    # one letter more every six attempts, for domains with nearly all mailboxes of a length
+    longer = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / 6).cast("int")), lambda i: F.when(i > 0, _letter_of(_LOWER, seed, -i)).otherwise("")), "")
+    email = F.concat(_spell(F.substring_index(e, "@", 1), seed, _lower_class), longer, F.lit("@"), host)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_pick(seed, i, 254) + 1).cast("string")), ".")
     code = F.when(e.startswith("+"), F.regexp_extract(e, r"^\+(\d{1,3})[ (-]", 1)).otherwise("")
-    phone = _digit_places(e, F.concat(code, _random_digits(seed, size - F.when(code == "1", 0).otherwise(F.length(code)), "23456789")))
-    body = F.concat(F.substring(norm, 1, 1), _random_digits(seed, size - 2))
-    card = _digit_places(e, F.concat(body, _luhn_digit(body)))
-    ssn = _digit_places(e, F.concat(F.lit("9"), _random_digits(seed, size - 1)))
-    ibans = F.concat(F.substring(e, 1, 2), _digits_letters(e, seed))
+    phone = _let(code, lambda c: F.concat(c, _random_digits(seed, size - F.when(c == "1", 0).otherwise(F.length(c)), "23456789")))
+    card = _let(F.concat(F.substring(norm, 1, 1), _random_digits(seed, size - 2)), lambda body: F.concat(body, _luhn_digit(body)))
+    ssn = F.concat(F.lit("9"), _random_digits(seed, size - 1))
+    digits = F.when(kind == "phone", phone).when(kind == "card", card).otherwise(ssn)
     access = F.concat(F.substring(e, 1, 4), _spell(F.substring(e, F.lit(5), F.length(e)), seed, _same_class))
     hexes = _spell(e, seed, lambda s, c, i: _letter_of(_HEX, s, i))
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", octets)
-        .when(kind == "phone", phone)
-        .when(kind == "card", card)
-        .when(kind == "ssn", ssn)
-        .when(kind == "iban", ibans)
+        .when(kind.isin("phone", "card", "ssn"), _let(digits, lambda d: _digit_places(e, d)))
+        .when(kind == "iban", _iban(e, seed))
         .when(kind == "access_key", access)
-        .when(kind == "name", _name(e, norm, key, attempt))
+        .when(kind == "name", _name(e, norm, key, attempt, x["given"]))
         .when(e.rlike("^[0-9a-f]+$"), hexes)
         .otherwise(_spell(e, seed, _same_class))
     )
 
 
-def _digits_letters(e: Column, seed: Column) -> Column:
-    """All but the country of an IBAN, spaces kept; places count without spaces."""
-    place = lambda i: F.length(F.replace(F.substring(e, F.lit(1), i + 3), F.lit(" "), F.lit("")))
-    return F.array_join(F.transform(_chars(F.substring(e, F.lit(3), F.length(e))), lambda c, i: _same_class(seed, c, place(i))), "")
+def _entities(text: Column) -> Column:
+    """The entities of the text in order: e, kind, norm."""
+    none = F.array().cast("array<string>")
+    found = F.when(may_hold(text), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none)
+    kinds = F.transform(found, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
+    return F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), normal_form(x["e"], x["kind"]).alias("norm")))
 
 
-def _found(df: DataFrame, text: str) -> DataFrame:
-    """df plus _ents: the entities of the text in order."""
-    none = F.array().cast("array<string>")
-    return df.withColumn("_ents", F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(none))
+def _parts(kind: Column, norm: Column) -> Column:
+    """What of an entity has an attempt of its own: part (its kind) and norm."""
+    one = lambda k, n: F.struct(k.alias("part"), n.alias("norm"))
+    family, given = one(F.lit("family"), family_of(norm)), one(F.lit("given"), norm)
+    return F.when(kind != "name", F.array(one(kind, norm))).when(norm.contains(" "), F.array(family, given)).otherwise(F.array(family))
 
 
-def entity_attempts(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """kind, norm, attempt of the entities that need more than the first attempt to keep surrogates distinct."""
-    hit = _found(docs.select(text), text).select(F.explode(F.array_distinct("_ents")).alias("e"))
-    hit = hit.withColumn("kind", entity_type(F.col("e")))
-    real = hit.withColumn("norm", normal_form(F.col("e"), F.col("kind"))).groupBy("kind", "norm").agg(F.min("e").alias("e"))
+def entity_attempts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """part, norm, attempt of the parts of entities that need more than the first attempt to keep surrogates distinct."""
+    hit = docs.select(F.explode(_entities(F.col(text))).alias("x")).select("x.*")
+    real = hit.groupBy("kind", "norm").agg(F.min("e").alias("e"))  # by what an entity is, before its parts: few rows are left
+    real = real.select("e", F.explode(_parts(F.col("kind"), F.col("norm"))).alias("x")).groupBy("x.part", "x.norm").agg(F.min("e").alias("e"))
     real = checkpointed(real.withColumn("attempt", F.lit(0)))
-    known = real.select("kind", "norm")
+    known = real.select("part", F.col("norm").alias("made"), F.lit(True).alias("taken"))
+    part, norm, attempt = F.col("part"), F.col("norm"), F.col("attempt")
+    made = _let(surrogate(F.col("e"), part, norm, attempt, F.lit(0), key), lambda x: normal_form(x, part))
+    made = F.when(part == "family", F.lower(family_surrogate(norm, attempt, key))).when(part == "given", F.concat_ws(":", family_of(norm), given_surrogate(norm, attempt, key))).otherwise(made)
     for done in itertools.count():
-        made = real.withColumn("made", normal_form(surrogate(F.col("e"), F.col("kind"), F.col("norm"), F.col("attempt"), key), F.col("kind")))
-        first = made.groupBy("kind", "made").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n"))
-        taken = known.select("kind", F.col("norm").alias("made"), F.lit(True).alias("taken"))
-        bad = first.join(taken, ["kind", "made"], "left").where((F.col("n") > 1) | F.col("taken"))
+        now = real.withColumn("made", made)
+        first = now.groupBy("part", "made").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n"))
+        bad = first.join(known, ["part", "made"], "left").where((F.col("n") > 1) | F.col("taken"))
         if not bad.head(1):
             break
         if done >= MOST_ROUNDS:
-            kinds = sorted(r[0] for r in bad.select("kind").distinct().collect())
+            kinds = sorted(r[0] for r in bad.select("part").distinct().collect())
             raise ValueError(f"no room for distinct surrogates of {', '.join(kinds)} after {done} rounds")
-        clash = made.join(bad, ["kind", "made"], "left").withColumn("again", F.coalesce(F.col("taken") | (F.col("norm") != F.col("first")), F.lit(False)))
-        real = checkpointed(clash.select("kind", "norm", "e", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")))
-    return real.where("attempt > 0").select("kind", "norm", "attempt")
+        clash = now.join(bad, ["part", "made"], "left").withColumn("again", F.coalesce(F.col("taken") | (F.col("norm") != F.col("first")), F.lit(False)))
+        real = checkpointed(clash.select("part", "norm", "e", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")))
+    return real.where("attempt > 0").select("part", "norm", "attempt")
+
 
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", report: bool = True) -> DataFrame:
+    """docs with surrogates in `text`, under a secret key.
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with surrogates in `text`, plus n_entities and entity_types (count of each type found, in order of TYPES)."""
+    With `report`, also n_entities and entity_types (count of each type found, in
+    order of TYPES); columns of these names are replaced.
+    """
     more = entity_attempts(docs, text, key)
-    columns = [c for c in docs.columns if c != text]
-    kinds = F.transform(F.col("_ents"), lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
-    ents = _found(docs, text).withColumn("_ents", kinds)
-    full = F.transform(F.col("_ents"), lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), normal_form(x["e"], x["kind"]).alias("norm")))
-    ents = ents.withColumn("_ents", full)
-    attempt = lambda x: F.lit(0)
+    found, name, at = (spare(c, docs.columns) for c in ("ents", "text_hash", "attempts"))
+    ents = docs.withColumn(found, _entities(F.col(text)))
+    attempt = lambda part, norm: F.lit(0)
     if more.head(1):
-        # the mapping of an entity is the same in all documents, so rows of equal id may share theirs
-        key_of = F.crc32(F.encode(F.col(text), "UTF-8"))
-        uses = ents.select(key_of.alias("_crc"), F.explode("_ents").alias("x")).select("_crc", "x.kind", "x.norm").distinct()
-        maps = uses.join(more, ["kind", "norm"]).groupBy("_crc").agg(F.map_from_entries(F.collect_set(F.struct(F.concat("kind", F.lit("|"), "norm"), "attempt"))).alias("_attempts"))
-        ents = ents.withColumn("_crc", key_of).join(maps, "_crc", "left")
-        attempt = lambda x: F.coalesce(F.try_element_at(F.col("_attempts"), F.concat(x["kind"], F.lit("|"), x["norm"])), F.lit(0))
-    new = F.transform(F.col("_ents"), lambda x: surrogate(x["e"], x["kind"], x["norm"], attempt(x), key))
+        # the attempts of an entity are the same in all documents, so equal texts share theirs
+        uses = ents.select(F.xxhash64(text).alias(name), F.explode(found).alias("x")).select(name, F.explode(_parts(F.col("x.kind"), F.col("x.norm"))).alias("x")).select(name, "x.*").distinct()
+        label = F.concat("part", F.lit("|"), "norm")
+        maps = uses.join(more, ["part", "norm"]).groupBy(name).agg(F.map_from_entries(F.collect_set(F.struct(label, "attempt"))).alias(at))
+        ents = ents.withColumn(name, F.xxhash64(text)).join(maps, name, "left")
+        attempt = lambda part, norm: F.coalesce(F.try_element_at(F.col(at), F.concat(part, F.lit("|"), norm)), F.lit(0))
+
+    def new(x: Column) -> Column:
+        is_name = x["kind"] == "name"
+        part, norm = F.when(is_name, "family").otherwise(x["kind"]), F.when(is_name, family_of(x["norm"])).otherwise(x["norm"])
+        return surrogate(x["e"], x["kind"], x["norm"], attempt(part, norm), attempt(F.lit("given"), x["norm"]), key)
+
     rest = F.split(F.col(text), ANY, -1)
-    woven = F.array_join(F.zip_with(rest, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    some = F.size("_ents") > 0
-    kind = F.col("_ents")["kind"]
-    tally = F.filter(F.array(*(F.concat(F.lit(f"{t}:"), (F.size("_ents") - F.size(F.array_remove(kind, t))).cast("string")) for t in TYPES)), lambda s: ~s.endswith(":0"))
-    return ents.select(*columns, F.when(some, woven).otherwise(F.col(text)).alias(text), F.size("_ents").alias("n_entities"), F.when(some, F.array_join(tally, ",")).otherwise("").alias("entity_types"))
+    woven = F.array_join(F.zip_with(rest, F.transform(found, new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    some = F.size(found) > 0
+    kind = F.col(found)["kind"]
+    tally = F.filter(F.array(*(F.concat(F.lit(f"{t}:"), (F.size(found) - F.size(F.array_remove(kind, t))).cast("string")) for t in TYPES)), lambda s: ~s.endswith(":0"))
+    counts = [F.size(found).alias("n_entities"), F.when(some, F.array_join(tally, ",")).otherwise("").alias("entity_types")] if report else []
+    columns = [F.when(some, woven).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if not report or c.lower() not in ("n_entities", "entity_types")]
+    return ents.select(*columns, *counts)

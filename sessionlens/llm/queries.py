@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontam import benchmark_matches
 from .langid import identify_languages
 from .minhash import near_duplicate_groups
-from .pii import pseudonymise
+from .pii import pseudonymise, surrogate_key
 from .quality import score_quality
 from .sentencepiece_fst import transcode_digest
 from .sharding import shard_digest
@@ -45,7 +45,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
