@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.decontam import clean_documents
 from sessionlens.llm.minhash import one_of_each_group
-from sessionlens.llm.pii import pseudonymise
+from sessionlens.llm.pii import pseudonymise, surrogate_key
 from sessionlens.llm.quality import good_documents
 from sessionlens.llm.sentencepiece_fst import encode
 from sessionlens.llm.store import release, saved
@@ -35,7 +35,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets give way to surrogates; n_chars follows the new text."""
-    out = pseudonymise(docs).select(*docs.columns)
+    out = pseudonymise(docs, surrogate_key(spark), report=False)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
