@@ -58,6 +58,12 @@ def owner_from_build_name(name: Column) -> Column:
     return F.when((F.length(head) <= 40) & ~head.contains(" "), head).otherwise("")
 
 
+def owner_of_build(name: str) -> str:
+    """As owner_from_build_name, of one name on the driver."""
+    head = name.split(" triggered", 1)[0].strip()
+    return head if len(head) <= 40 and " " not in head else ""
+
+
 def strip_log_prefix(line: Column) -> Column:
     return strip(F.regexp_replace(text_of(line), rx(fixed.LOG_PREFIX), ""))
 
@@ -171,7 +177,7 @@ def _unescape(text: Column) -> Column:
     return F.replace(F.replace(text_of(text), F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'"))
 
 
-def trim_delimiters(value: Column, depth: int = 8) -> Column:
+def trim_delimiters(value: Column) -> Column:
     """Quotes and brackets off the ends; a closing bracket that has its opening one stays."""
     bare = F.regexp_replace(strip(value), r"^['\"\[\]{},:; \\]+|['\"\[\]{},:; \\]+$", "")
 
@@ -184,8 +190,9 @@ def trim_delimiters(value: Column, depth: int = 8) -> Column:
             loose = loose | (F.right(acc, F.lit(1)) == b) & (count(acc, b) > count(acc, a))
         return F.when(loose, F.left(acc, F.length(acc) - 1)).otherwise(acc)
 
-    # a fold, so that the expression stays as small as one step
-    return strip(F.aggregate(F.sequence(F.lit(1), F.lit(depth)), bare, step))
+    # a fold, so that the expression stays as small as one step; no more steps than closing brackets at the end
+    ends = F.length(F.regexp_extract(bare, r"[)\]}]*$", 0))
+    return strip(F.aggregate(F.sequence(F.lit(0), ends), bare, step))
 
 
 def extract_locator(text: Column, most: int = 70) -> Column:

@@ -1,11 +1,9 @@
 """Failures grouped by root cause: exact fingerprints first, similar text for the rest.
 
-Texts that tell no error share one group.  The rest are joined where the cosine
-similarity of their word and character n-gram weights is at least 1 - eps; with
-two samples as the least size of a core point that is the same as density
-clustering, and texts without a neighbour stand alone.  Equal normalised texts
-are one text with a multiplicity; pairs meet through an inverted index, never as
-a product of all texts.
+Texts that tell no error share one group.  The rest are clustered by density over
+the cosine similarity of their word and character n-gram weights; noise stands
+alone.  Equal normalised texts are one text with a multiplicity; pairs meet
+through an inverted index of their rare terms, never as a product of all texts.
 """
 
 from __future__ import annotations
@@ -62,13 +60,41 @@ def term_weights(texts: DataFrame) -> DataFrame:
     return unit.join(blocks, "id").select("id", "term", (F.col("w") / F.sqrt("blocks")).alias("w"))
 
 
-def text_components(texts: DataFrame, eps: float) -> DataFrame:
-    """id, comp: texts (id, text, m) joined at a cosine similarity of 1 - eps."""
+def similar_texts(texts: DataFrame, least: float) -> DataFrame:
+    """a, b (a < b): texts (id, text, m) with a cosine similarity of `least` or more.
+
+    Each unit vector is put in order of its terms' rarity.  Once what is left of it
+    is shorter than `least`, a text that shares nothing before can't be similar
+    enough, as the rest has length 1 at most.  So a pair's rarest common term lies
+    in the heads of both, and common grams never meet.
+    """
     w = kept(term_weights(texts))
-    a, b = w.select(F.col("id").alias("a"), "term", F.col("w").alias("x")), w.select(F.col("id").alias("b"), "term", F.col("w").alias("y"))
-    near = a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where(F.col("s") >= 1 - eps - 1e-12)
-    comp = components(near.select("a", "b"))
-    return texts.select("id").join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    rarity = w.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = Window.partitionBy("id").orderBy(F.desc("df"), "term")
+    tail = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # terms of one text alone are the rarest and meet nobody, so they are heads that needn't be kept
+    heads = w.join(rarity, "term").withColumn("tail", tail).where(F.col("tail") >= least * least - 1e-9).select("id", "term")
+    pairs = heads.select(F.col("id").alias("a"), "term").join(heads.select(F.col("id").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
+    both = pairs.join(w.select(F.col("id").alias("a"), "term", F.col("w").alias("x")), "a").join(w.select(F.col("id").alias("b"), "term", F.col("w").alias("y")), ["b", "term"])
+    return both.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s")).where(F.col("s") >= least - 1e-12).select("a", "b")
+
+
+def text_components(texts: DataFrame, eps: float, min_samples: int = 2) -> DataFrame:
+    """id, comp, noise: density clusters of texts (id, text, m) at a cosine distance of eps; what is in none is noise.
+
+    A text is a core if at least min_samples rows, its own m counted, are as near.  Cores
+    near one another are one cluster; another text near cores joins the cluster of least id.
+    """
+    near = kept(similar_texts(texts, 1 - eps))
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    around = both.join(texts.select(F.col("id").alias("b"), F.col("m").alias("k")), "b").groupBy(F.col("a").alias("id")).agg(F.sum("k").alias("k"))
+    core = texts.join(around, "id", "left").where(F.col("m") + F.coalesce("k", F.lit(0)) >= min_samples).select("id")
+    core = kept(core)
+    edges = near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b")
+    own = core.join(components(edges.select("a", "b")), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
+    border = both.join(own.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("least"))
+    out = texts.select("id").join(own, "id", "left").join(border, "id", "left")
+    return out.select("id", F.coalesce("comp", "least", "id").alias("comp"), F.coalesce("comp", "least").isNull().alias("noise"))
 
 
 def assign_clusters(sessions: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -77,10 +103,11 @@ def assign_clusters(sessions: DataFrame, settings: Settings = SETTINGS) -> DataF
     kind = F.when(F.col("fp") != "", "signature").when(~F.col("signal"), "low").otherwise("text")
     f = f.withColumn("kind", kind)
     texts = f.where("kind = 'text'").groupBy("norm").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("m"), F.first("norm").alias("text"))
-    comp = text_components(texts.select("id", "text", "m"), settings.eps)
-    of_text = texts.select("norm", "id").join(comp, "id").select("norm", "comp")
+    comp = text_components(texts.select("id", "text", "m"), settings.eps, settings.min_samples)
+    of_text = texts.select("norm", "id").join(comp, "id").select("norm", F.when(~F.col("noise"), F.col("comp")).alias("comp"))
     out = f.join(of_text, "norm", "left")
-    key = F.when(F.col("kind") == "signature", F.concat(F.lit("s:"), "fp")).when(F.col("kind") == "low", F.lit("l:")).otherwise(F.concat(F.lit("t:"), F.col("comp").cast("string")))
+    # each row of noise stands alone
+    key = F.when(F.col("kind") == "signature", F.concat(F.lit("s:"), "fp")).when(F.col("kind") == "low", F.lit("l:")).otherwise(F.concat(F.lit("t:"), F.coalesce("comp", "row_id").cast("string")))
     return out.withColumn("cluster_key", key)
 
 

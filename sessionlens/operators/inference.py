@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.stats import chi2_tail, fisher_exact, mann_whitney_exact, normal_two_sided, odds_ratio, odds_ratio_bound
 from ..settings import SETTINGS, Settings
+from .graph import kept
 
 DIMENSIONS = ("platform", "device", "os_label", "feature_area", "app_version")
+RANGES = 200
+MOST_EXACT = 20_000
 METRICS = ("app_cpu_mean", "app_cpu_max", "app_mem_max_mb", "device_cpu_mean", "device_mem_used_max_mb")
 
 
@@ -45,11 +46,12 @@ def attribute(sessions: DataFrame, dimensions: str | list[str], settings: Settin
 
 def same_sessions(sessions: DataFrame, dimensions: list[str]) -> DataFrame:
     """d1, l1, d2, l2: levels of different dimensions that hold just the same sessions, by counts."""
-    frames = []
-    for i, x in enumerate(dimensions):
-        for y in dimensions[i + 1 :]:
-            frames.append(sessions.groupBy(F.col(x).cast("string").alias("l1"), F.col(y).cast("string").alias("l2")).agg(F.count(F.lit(1)).alias("n12")).select(F.lit(x).alias("d1"), "l1", F.lit(y).alias("d2"), "l2", "n12"))
-    both = reduce(DataFrame.unionByName, frames).where("l1 is not null and l2 is not null")
+    pairs = [(x, y) for i, x in enumerate(dimensions) for y in dimensions[i + 1 :]]
+    if not pairs:
+        return sessions.sparkSession.createDataFrame([], "d1 string, l1 string, d2 string, l2 string")
+    level = lambda c: F.col(c).cast("string")
+    cells = F.array(*(F.struct(F.lit(x).alias("d1"), level(x).alias("l1"), F.lit(y).alias("d2"), level(y).alias("l2")) for x, y in pairs))
+    both = sessions.select(F.explode(cells).alias("x")).select("x.*").where("l1 is not null and l2 is not null").groupBy("d1", "l1", "d2", "l2").agg(F.count(F.lit(1)).alias("n12"))
     counts = _levels(sessions, dimensions).select("dimension", "level", "n")
     one = counts.select(F.col("dimension").alias("d1"), F.col("level").alias("l1"), F.col("n").alias("n1"))
     two = counts.select(F.col("dimension").alias("d2"), F.col("level").alias("l2"), F.col("n").alias("n2"))
@@ -113,17 +115,34 @@ def _exact_p(u: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
 def rank_sums(sessions: DataFrame, metrics: list[str]) -> DataFrame:
     """For each metric: sizes, medians, U of the failed and the tie term.
 
-    Ranks come from counts of equal values and a running sum over them, so the
-    window holds distinct values, not sessions.
+    Values are counted first.  They are dealt to ranges of about equal counts; running
+    sums within a range and over the sums of the ranges before give ranks, and the
+    middle values from the same counts.
     """
     values = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))
     long = sessions.select("is_failure", F.explode(values).alias("x")).select("is_failure", "x.*").where("v is not null and not isnan(v)")
-    ties = long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("t"), F.count_if("is_failure").alias("tf"))
-    below = F.sum("t").over(Window.partitionBy("metric").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = ties.withColumn("rank", F.coalesce(below, F.lit(0)) + (F.col("t") + 1) / 2)
-    sums = ranked.groupBy("metric").agg(F.sum(F.col("rank") * F.col("tf")).alias("rs"), F.sum("tf").alias("n1"), F.sum(F.col("t") - F.col("tf")).alias("n2"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
-    medians = long.groupBy("metric").agg(F.median(F.when(F.col("is_failure"), F.col("v"))).alias("m1"), F.median(F.when(~F.col("is_failure"), F.col("v"))).alias("m2"))
-    return sums.join(medians, "metric").withColumn("u", F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2)
+    ties = kept(long.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("t"), F.count_if("is_failure").alias("tf")))
+    cuts = ties.groupBy("metric").agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)], 10 * RANGES).alias("cuts"))
+    placed = ties.join(F.broadcast(cuts), "metric")  # a row a metric
+    placed = placed.select("metric", "v", "t", "tf", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("range"))
+    sums = placed.groupBy("metric", "range").agg(F.sum("t").alias("t"), F.sum("tf").alias("tf"))
+    over = Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a metric
+    whole = Window.partitionBy("metric")
+    starts = sums.select("metric", "range", *(F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}0") for c in ("t", "tf")), F.sum("tf").over(whole).alias("n1"), F.sum(F.col("t") - F.col("tf")).over(whole).alias("n2"))
+    within = Window.partitionBy("metric", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumns({f"{c}1": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in ("t", "tf")}).join(F.broadcast(starts), ["metric", "range"])
+    below, failed_below = F.col("t0") + F.col("t1"), F.col("tf0") + F.col("tf1")
+
+    def median(before: Column, size: Column, n: Column) -> Column:
+        low, high = F.floor((n + 1) / 2), F.ceil((n + 1) / 2)
+        at = lambda place: F.max(F.when((before < place) & (before + size >= place), F.col("v")))
+        return (at(low) + at(high)) / 2
+
+    out = ranked.groupBy("metric").agg(
+        F.sum((below + (F.col("t") + 1) / 2) * F.col("tf")).alias("rs"), F.max("n1").alias("n1"), F.max("n2").alias("n2"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"),
+        median(failed_below, F.col("tf"), F.col("n1")).alias("m1"), median(below - failed_below, F.col("t") - F.col("tf"), F.col("n2")).alias("m2"),
+    )
+    return out.withColumn("u", F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2)
 
 
 def performance_vs_failure(sessions: DataFrame, metrics: tuple[str, ...] = METRICS, settings: Settings = SETTINGS) -> DataFrame:
@@ -134,7 +153,8 @@ def performance_vs_failure(sessions: DataFrame, metrics: tuple[str, ...] = METRI
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
     top = F.greatest(F.col("u"), F.col("n1") * F.col("n2") - F.col("u"))
     z = (top - F.col("n1") * F.col("n2") / 2.0 - 0.5) / sd
-    exact = (F.least("n1", "n2") <= 8) & (F.col("ties") == 0)
+    # the distribution of U has n1 * n2 + 1 values, so it is exact where that is short and the normal limit rough
+    exact = (F.least("n1", "n2") <= 8) & (F.greatest("n1", "n2") <= MOST_EXACT) & (F.col("ties") == 0)
     g = g.withColumns({"z": z, "exact": exact, "pe": _exact_p(F.when(exact, F.col("u")).otherwise(0.0), F.when(exact, F.col("n1")).otherwise(1), F.when(exact, F.col("n2")).otherwise(1))})
     p = F.when(F.col("exact"), F.col("pe")).when(F.col("z") <= 0, F.lit(1.0)).otherwise(normal_two_sided(F.col("z")))
     out = g.select(

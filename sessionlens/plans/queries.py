@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +14,14 @@ from .. import fixed
 from ..functions import stats
 from ..functions import text as t
 from ..operators import clusters, flakiness, inference, metrics, profiling, risk, taxonomy
+from ..operators.graph import checkpoint_folder
+from ..settings import Settings
 from ..sources import history as h
+from ..sources.api import Service, fetch_logs, fetch_profiles, land_builds, read_builds
 from ..sources.logs import enrich
-from ..sources.sessions import order_rows
+from ..sources.sessions import normalize_sessions, order_rows, read_document, read_landing, window_meta
 from . import report
-from .adapter import BUILDS_SQL, SESSIONS_SQL, builds_from_events, profiles_from_events, sessions_from_events
+from .adapter import BUILDS_SQL, SESSIONS_SQL, builds_from_events, payloads_from_events, profiles_from_events, service_over, sessions_from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,9 +141,104 @@ def _c(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- sources and filters ---------------------------------------------------
-@query("s16_sessions", f"{BASE} SELECT session_id, name, status, reason, duration, platform, project, os_version, device, app_version, browserstack_seconds, user_seconds, created_at, build_id, is_failure FROM s")
+_FLAT = ("session_id", "name", "status", "reason", "duration", "platform", "project", "os_version", "device", "app_version", "app_filename", "browserstack_seconds", "user_seconds", "session_url", "created_at", "build_id", "is_failure")
+_FLAT_SQL = f"{BASE} SELECT {', '.join(c if c != 'session_url' else _q('') + ' || split_part(session_url, ' + _q('?') + ', 1) AS session_url' for c in _FLAT)} FROM s"
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/query-{uuid.uuid4().hex}"
+
+
+@query("s16_sessions", _FLAT_SQL)
+def _(spark, d):
+    return normalize_sessions(payloads_from_events(spark, d)).select(*_FLAT)
+
+
+@query("s1_read_documents", _FLAT_SQL)
+def _(spark, d):
+    folder, raw = _folder(spark), payloads_from_events(spark, d)
+    build = F.struct(F.col("build_hashed_id").alias("hashed_id"), F.lit("alpha").alias("project"))
+    docs = raw.groupBy("build_hashed_id").agg(F.collect_list(F.struct(*(c for c in raw.columns if c != "row_id"))).alias("sessions"))  # a document holds one build
+    docs.select(F.to_json(F.struct(build.alias("build"), "sessions"))).write.option("maxRecordsPerFile", 1).text(folder)
+    return read_document(spark, folder)[0].select(*_FLAT)
+
+
+@query("js1_landing", _FLAT_SQL)
+def _(spark, d):
+    folder, raw = _folder(spark), payloads_from_events(spark, d).drop("row_id")
+    plain, wrapped = F.to_json(F.struct(*raw.columns)), F.to_json(F.struct(F.struct(*raw.columns).alias("automation_session")))
+    raw.select(F.explode(F.array(plain, wrapped))).write.text(folder)  # each session twice, in both forms
+    return read_landing(spark, folder).select(*_FLAT)
+
+
+def _service(spark, d):
+    rows = builds_from_events(spark, d).orderBy("created_at").collect()  # a build a day
+    return service_over([{"hashed_id": r["build_id"], "project": r["project"], "name": r["name"], "status": r["status"], "created_at": r["created_at"]} for r in rows])
+
+
+_ENDED = "lower(status) IN ('done', 'failed', 'timeout')"
+#: Sessions of the stand-in for the service.
+_SERVED = f"{BASE}, bb AS (SELECT build_id, project FROM b WHERE project IN ('alpha', 'beta') AND build_id < '2024-02'), k AS (SELECT build_id, project, unnest(range(CAST(right(build_id, 2) AS BIGINT) + 95)) AS k FROM bb), v AS (SELECT build_id || '#' || k AS session_id, build_id, project, k, k % 3 = 0 AS is_failure FROM k)"
+
+
+def _served(spark, d):
+    get = _service(spark, d)
+    own = [(p, b) for p, pid in Service(get).to_search("alpha, beta") for b in Service(get).builds(pid) if b["hashed_id"] < "2024-02"]
+    return get, read_builds(spark, get, own)
+
+
+@query("s8_projects", f"{BASE} SELECT project, row_number() OVER (ORDER BY project) - 1 AS id FROM (SELECT DISTINCT project FROM b)")
+def _(spark, d):
+    return spark.createDataFrame(Service(_service(spark, d)).to_search(None), "project string, id long")
+
+
+@query("s12_builds", f"{BASE} SELECT project, build_id, status FROM b")
+def _(spark, d):
+    service = Service(_service(spark, d))
+    return spark.createDataFrame([(p, b["hashed_id"], b["status"]) for p, pid in service.to_search(None) for b in service.builds(pid)], "project string, build_id string, status string")
+
+
+@query("s9_latest_builds", f"{BASE} SELECT project, build_id FROM b WHERE {_ENDED} QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC) = 1")
+def _(spark, d):
+    service = Service(_service(spark, d))
+    return spark.createDataFrame([(p, b["hashed_id"]) for p, pid in service.to_search(None) for b in service.recent_builds(pid)], "project string, build_id string")
+
+
+@query("s6_served_sessions", f"{_SERVED} SELECT session_id, build_id, project, CASE WHEN is_failure THEN 'failed' ELSE 'done' END AS status, is_failure, k::DOUBLE AS duration FROM v")
+def _(spark, d):
+    return _served(spark, d)[1].select("session_id", "build_id", "project", "status", "is_failure", "duration")
+
+
+@query("s2_landed_builds", f"{_SERVED} SELECT build_id, project, count(*) AS sessions, count(*) FILTER (is_failure) AS failures FROM v GROUP BY 1, 2")
+def _(spark, d):
+    get = _service(spark, d)
+    service = Service(get)
+    own = [(p, b) for p, pid in service.to_search("alpha, beta") for b in service.builds(pid) if b["hashed_id"] < "2024-02"]
+    sessions, _ = land_builds(spark, get, own, _folder(spark))
+    return sessions.groupBy("build_id", "project").agg(F.count(F.lit(1)).alias("sessions"), F.count_if("is_failure").alias("failures"))
+
+
+@query("s17_fetched_logs", f"{_SERVED} SELECT session_id, CASE WHEN k % 2 = 1 THEN 'appium' ELSE 'terminal' END AS source, CASE WHEN k % 2 = 1 THEN 'line' || chr(10) || 'FooError: ' || session_id ELSE 'signed ' || k END AS text FROM v WHERE is_failure AND (k % 2 = 1 OR k % 4 = 0)")
 def _(spark, d):
-    return _s(spark, d).select("session_id", "name", "status", "reason", "duration", "platform", "project", "os_version", "device", "app_version", "browserstack_seconds", "user_seconds", "created_at", "build_id", "is_failure")
+    get, sessions = _served(spark, d)
+    return fetch_logs(get, sessions.where("is_failure"))
+
+
+@query("s20_fetched_profiles", f"{_SERVED} SELECT session_id, build_id, CASE WHEN k % 5 = 0 THEN 3 END AS profile_samples, CASE WHEN k % 5 = 0 THEN 11.0 END AS device_cpu_mean, CASE WHEN k % 5 = 0 THEN 2.0 END AS profile_seconds FROM v")
+def _(spark, d):
+    get, sessions = _served(spark, d)
+    out = profiling.with_profiles(sessions, fetch_profiles(get, sessions))
+    return out.select("session_id", "build_id", "profile_samples", "device_cpu_mean", "profile_seconds")
+
+
+@query("s23_persisted", f"{BASE} SELECT s.session_id, s.build_id, b.project, s.status, s.is_failure, b.name AS build_name FROM s JOIN b USING (build_id)")
+def _(spark, d):
+    store, rows = h.History(spark, _folder(spark)), builds_from_events(spark, d).collect()
+    pairs = [(r["project"], {"hashed_id": r["build_id"], "name": r["name"], "status": r["status"], "created_at": r["created_at"]}) for r in rows]
+    s = _s(spark, d)
+    store.persist_builds(pairs[::2], s.withColumn("status", F.lit("old")))  # replaced below
+    store.persist_builds(pairs, s)
+    return store.read("sessions").join(store.read("builds").select("build_id", F.col("name").alias("build_name")), "build_id").select("session_id", "build_id", "project", "status", "is_failure", "build_name")
 
 
 @query("f1_failure_flags", f"{BASE} SELECT status, is_failure, length(reason) > 0 AS clusterable, count(*) AS n FROM s GROUP BY 1, 2, 3")
@@ -145,13 +246,23 @@ def _(spark, d):
     return _s(spark, d).groupBy("status", F.col("status").isin(*t.SETTINGS.failure_statuses).alias("is_failure"), (F.length("reason") > 0).alias("clusterable")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s15_window_meta", f"{BASE} SELECT count(DISTINCT build_id) AS n_builds, min(left(created_at, 10)) AS date_from, max(left(created_at, 10)) AS date_to FROM s")
+@query("s15_window_meta", f"{BASE}, x AS (SELECT count(DISTINCT build_id) AS n_builds, min(left(created_at, 10)) AS date_from, max(left(created_at, 10)) AS date_to FROM s) SELECT n_builds, date_from, date_to, 'alpha + beta' AS project, n_builds || ' builds · ' || date_from || ' → ' || date_to AS hashed_id, 'Last ' || n_builds || ' builds' AS name FROM x")
 def _(spark, d):
-    day = F.nullif(F.left("created_at", F.lit(10)), F.lit(""))
-    return _s(spark, d).agg(F.countDistinct("build_id").alias("n_builds"), F.min(day).alias("date_from"), F.max(day).alias("date_to"))
+    m = window_meta(_s(spark, d), ["alpha", "beta"])
+    return spark.createDataFrame([(m["n_builds"], m["date_from"], m["date_to"], m["project"], m["hashed_id"], m["name"])], "n_builds long, date_from string, date_to string, project string, hashed_id string, name string")
 
 
-@query("s18_enrich_logs")
+def _error(log: str) -> str:
+    """The last line with the most specific signal and what follows."""
+    lines = f"list_filter(string_split({log}, chr(10)), lambda x: {_strip('x')} <> '')"
+    quiet = f"list_filter({lines}, lambda x: NOT regexp_matches(x, {_re(fixed.LOG_NOISE)}, 'i'))"
+    kept = f"(CASE WHEN len({quiet}) > 0 THEN {quiet} ELSE {lines} END)"
+    at = ", ".join(f"list_max(list_filter(range(1, len({kept}) + 1), lambda i: regexp_matches({kept}[i], {_re(p)}, 'i')))" for p in fixed.ERROR_SIGNALS)
+    start = f"coalesce({at}, greatest(len({kept}) - 5, 1))"
+    return f"left(array_to_string(list_slice({kept}, {start}, {start} + 5), chr(10)), 2000)"
+
+
+@query("s18_enrich_logs", f"{BASE}, l AS (SELECT *, '--- ' || CASE WHEN row_id % 3 = 0 THEN 'crash' ELSE 'appium' END || ' ---' || chr(10) || 'setup line' || chr(10) || '[HTTP] --> GET' || chr(10) || reason || chr(10) || 'teardown' AS log FROM s WHERE is_failure), e AS (SELECT *, {_error('log')} AS snippet FROM l) SELECT session_id, CASE WHEN snippet <> '' AND NOT {_signal('reason')} THEN snippet ELSE reason END AS reason, CASE WHEN row_id % 3 = 0 THEN {_q(fixed.CRASH_MARKER)} || chr(10) ELSE '' END || snippet || chr(10) || log AS log_text FROM e")
 def _(spark, d):
     s = _s(spark, d)
     logs = s.where("is_failure").select("session_id", F.when(F.col("row_id") % 3 == 0, "crash").otherwise("appium").alias("source"), F.concat(F.lit("setup line\n[HTTP] --> GET\n"), "reason", F.lit("\nteardown")).alias("text"))
@@ -186,22 +297,29 @@ def _(spark, d):
     return h.phantom_builds(builds_from_events(spark, d), _s(spark, d))
 
 
-@query("o1_recent_builds", f"{BASE} SELECT build_id, project, created_at FROM b WHERE lower(status) IN ('done', 'failed', 'timeout') ORDER BY created_at DESC, build_id LIMIT 4")
+@query("o1_recent_builds", f"{BASE} SELECT build_id, project, created_at FROM b WHERE {_ENDED} QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC) <= 4")
 def _(spark, d):
-    return builds_from_events(spark, d).where(F.lower("status").isin(*t.SETTINGS.build_statuses)).orderBy(F.desc("created_at"), "build_id").limit(4).select("build_id", "project", "created_at")
+    service = Service(_service(spark, d))
+    return spark.createDataFrame([(b["hashed_id"], p, b["created_at"]) for p, pid in service.to_search(None) for b in service.recent_builds(pid, 4)], "build_id string, project string, created_at string")
+
 
+_WANTED = ["2024-01-05", "nightly 2024-01-07", "2024-01-09", "nowhere"]
 
-@query("j8_match_names", f"{BASE}, w AS (SELECT unnest(['2024-01-05', 'nightly 2024-01-07', 'nowhere']) AS wanted) SELECT wanted, b.build_id, b.name = wanted AS whole FROM w JOIN b ON contains(lower(b.name), lower(wanted))")
+
+@query("j8_match_names", f"{BASE}, w AS (SELECT unnest({_WANTED}) AS wanted) SELECT wanted, b.project, b.build_id FROM w JOIN b ON contains(lower(b.name), lower(wanted))")
 def _(spark, d):
-    wanted = F.broadcast(spark.createDataFrame([("2024-01-05",), ("nightly 2024-01-07",), ("nowhere",)], "wanted string"))
-    b = builds_from_events(spark, d)
-    return b.join(wanted, F.lower("name").contains(F.lower("wanted"))).select("wanted", "build_id", (F.col("name") == F.col("wanted")).alias("whole"))
+    service = Service(_service(spark, d))
+    return spark.createDataFrame([(n, p, b["hashed_id"]) for p, pid in service.to_search(None) for n, b in service.find_builds(pid, _WANTED)], "wanted string, project string, build_id string")
 
 
-@query("u3_unmatched_names", f"{BASE} SELECT wanted FROM (SELECT unnest(['nightly 2024-01-05', 'nowhere', 'nightly 2031-01-01']) AS wanted) EXCEPT SELECT name FROM b")
+@query("s4_named_builds", f"{BASE}, w AS (SELECT unnest({_WANTED}) AS wanted) SELECT b.project, b.build_id FROM w JOIN b ON contains(lower(b.name), lower(wanted))")
 def _(spark, d):
-    wanted = spark.createDataFrame([("nightly 2024-01-05",), ("nowhere",), ("nightly 2031-01-01",)], "wanted string")
-    return wanted.join(builds_from_events(spark, d).select(F.col("name").alias("wanted")), "wanted", "left_anti")
+    return spark.createDataFrame([(p, b["hashed_id"]) for p, b in Service(_service(spark, d)).resolve_builds(None, _WANTED[:3])], "project string, build_id string")
+
+
+@query("u3_unmatched_names", f"{BASE}, w AS (SELECT unnest({[*_WANTED, 'nightly 2031-01-01']}) AS wanted) SELECT wanted FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE contains(lower(b.name), lower(wanted)))")
+def _(spark, d):
+    return spark.createDataFrame([(n,) for n in Service(_service(spark, d)).match_builds(None, [*_WANTED, "nightly 2031-01-01"])[1]], "wanted string")
 
 
 # --- risk ------------------------------------------------------------------
@@ -238,9 +356,21 @@ def _(spark, d):
     return risk.device_heatmap(risk.device_risk(_s(spark, d)), [f"{p} {v}" for p in ("Android", "iOS") for v in range(12, 16)])
 
 
-@query("a20_comparability")
+# two platforms that ran different versions, one of them not since the twentieth
+@query("a20_comparability", f"{BASE}, p AS (SELECT platform, array_to_string(list_sort(list(DISTINCT v) FILTER (v <> '')), ', ') AS vs, CAST(max(created_at) AS TIMESTAMP) AS seen FROM (SELECT *, CASE WHEN platform = 'ios' THEN '9.9' ELSE app_version END AS v FROM s WHERE platform = 'ios' OR created_at < '2024-01-20') GROUP BY 1), x AS (SELECT count(*) AS n, count(DISTINCT vs) AS sets, string_agg(platform || ' on ' || vs, '; ' ORDER BY platform) AS shown, max(seen) AS newest, min(seen) AS oldest FROM p), y AS (SELECT *, CASE WHEN n >= 2 AND sets > 1 THEN 'different app builds (' || shown || ')' END AS r1, floor(epoch(newest - oldest) / 86400)::BIGINT AS gap FROM x), g AS (SELECT string_agg(platform || ' is ' || floor(epoch(newest - seen) / 86400)::BIGINT || ' days behind (last ran ' || strftime(seen, '%Y-%m-%d') || ')', ' | ' ORDER BY platform) AS stale FROM p, x WHERE floor(epoch(newest - seen) / 86400) > 1) SELECT r1 IS NULL AND NOT gap > 1 AS comparable, concat_ws(' | ', r1, CASE WHEN gap > 1 THEN 'runs ' || gap || ' days apart' END) AS reasons, coalesce(stale, '') AS stale FROM y, g")
+def _(spark, d):
+    s = _s(spark, d).where("platform = 'ios' or created_at < '2024-01-20'")
+    return risk.platform_comparability(s.withColumn("app_version", F.when(F.col("platform") == "ios", "9.9").otherwise(F.col("app_version"))))
+
+
+@query("f9_area_chart", f"{BASE} SELECT feature_area, count(*) AS sessions, round(1.0*count(*) FILTER (is_failure)/count(*), 3) AS failure_rate FROM s GROUP BY 1 HAVING count(*) >= 3")
+def _(spark, d):
+    return report.area_chart(risk.area_health(_s(spark, d))).select("feature_area", "sessions", "failure_rate")
+
+
+@query("f10_platform_names", f"{BASE} SELECT DISTINCT platform FROM s")
 def _(spark, d):
-    return risk.platform_comparability(_s(spark, d))
+    return spark.createDataFrame([(p,) for p in report.platform_names(risk.area_by_platform(_s(spark, d)).columns)], "platform string")
 
 
 # --- flakiness -------------------------------------------------------------
@@ -260,11 +390,20 @@ def _(spark, d):
     return flakiness.build_outcomes(_s(spark, d)).select("name", "build_id", "any_fail", "all_fail", "first_seen", "flip")
 
 
-@query("a9_flakiness_history", f"{BASE}, {_PER}, m AS (SELECT name, count(*) AS builds, CASE WHEN count(*) > 1 THEN 1.0*coalesce(sum(flip), 0)/(count(*) - 1) ELSE 0 END AS fr, avg((any_fail > all_fail)::INT) AS mixed FROM q GROUP BY 1), g AS (SELECT name, count(*) AS runs, avg(is_failure::INT) AS r, stddev_pop(duration) AS sd, avg(duration) AS mean FROM s GROUP BY 1), k AS (SELECT *, {_COV} AS cov, greatest(least(0.45*fr + 0.25*mixed + 0.20*{_SV} + 0.10*({_COV}), 1), 0) AS raw FROM m JOIN g USING (name)) SELECT name, runs, builds, round(r, 3) AS failure_rate, round(cov, 3) AS duration_cov, round(fr, 3) AS flip_rate, round(mixed, 3) AS mixed_rate, round(raw, 3) AS raw_flakiness, round(raw*builds/(builds+2), 3) AS flakiness_index, builds < 3 AS low_sample FROM k")
+_ACROSS = f"{BASE}, {_PER}, m AS (SELECT name, count(*) AS builds, CASE WHEN count(*) > 1 THEN 1.0*coalesce(sum(flip), 0)/(count(*) - 1) ELSE 0 END AS fr, avg((any_fail > all_fail)::INT) AS mixed FROM q GROUP BY 1), g AS (SELECT name, count(*) AS runs, avg(is_failure::INT) AS r, stddev_pop(duration) AS sd, avg(duration) AS mean FROM s GROUP BY 1), k AS (SELECT *, {_COV} AS cov, greatest(least(0.45*fr + 0.25*mixed + 0.20*{_SV} + 0.10*({_COV}), 1), 0) AS raw FROM m JOIN g USING (name)) SELECT name, runs, builds, round(r, 3) AS failure_rate, round(cov, 3) AS duration_cov, round(fr, 3) AS flip_rate, round(mixed, 3) AS mixed_rate, round(raw, 3) AS raw_flakiness, round(raw*builds/(builds+2), 3) AS flakiness_index, builds < 3 AS low_sample FROM k"
+
+
+@query("a9_flakiness_history", _ACROSS)
 def _(spark, d):
     return flakiness.across_builds(_s(spark, d))
 
 
+@query("a10_flakiness_index", _ACROSS)
+def _(spark, d):
+    s = _s(spark, d)
+    return flakiness.flakiness_index(s, s)
+
+
 @query("f8_flaky_display", f"{BASE}, g AS (SELECT name, count(*) AS runs, avg(is_failure::INT) AS r, stddev_pop(duration) AS sd, avg(duration) AS mean FROM s GROUP BY 1) SELECT name, round(greatest(least(0.65*{_SV} + 0.35*({_COV}), 1), 0)*runs/(runs+4), 3) AS flakiness_index FROM g WHERE round(greatest(least(0.65*{_SV} + 0.35*({_COV}), 1), 0)*runs/(runs+4), 3) > 0 ORDER BY runs < 5, flakiness_index DESC, name LIMIT 8")
 def _(spark, d):
     return flakiness.in_build(_s(spark, d)).where("flakiness_index > 0").limit(8).select("name", "flakiness_index")
@@ -276,6 +415,25 @@ def _(spark, d):
     return _c(spark, d).select("session_id", "category", "owner")
 
 
+@query("t23_rules_of_a_file", f"{FAILS} SELECT session_id, CASE WHEN contains(lower(reason), 'toggle') THEN 'own-toggle' ELSE category END AS category FROM c")
+def _(spark, d):
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:  # read here and now, on the driver
+        f.write(json.dumps({"rules": [{"category": "own-toggle", "owner": "Me", "patterns": ["toggle"]}]}))
+        f.flush()
+        rules = taxonomy.load_rules(Settings(taxonomy_path=f.name))
+    return taxonomy.classify_failures(_s(spark, d), rules).select("session_id", "category")
+
+
+@query("t28_owner_classes", f"{FAILS} SELECT session_id, {_case('owner', fixed.OWNER_CLASS, 'own-test')} AS css FROM c")
+def _(spark, d):
+    return _c(spark, d).select("session_id", t.owner_class(F.col("owner")).alias("css"))
+
+
+@query("t26_evidence", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount / 10 < 0.001 THEN 'very strong evidence' WHEN l_discount / 10 < 0.01 THEN 'strong evidence' ELSE 'moderate evidence' END AS strength FROM lineitem")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", t.evidence_strength(F.col("l_discount") / 10).alias("strength"))
+
+
 @query("a7_category_counts", f"{FAILS} SELECT category, owner, count(*) AS count, {_case('category', _TEXTS, '')} AS description FROM c GROUP BY 1, 2")
 def _(spark, d):
     return taxonomy.category_counts(_c(spark, d))
@@ -334,7 +492,10 @@ def _(spark, d):
     return _reasons(spark, d).select("reason", t.app_frame(F.col("reason")).alias("frame"))
 
 
-@query("t9_top_frames")
+_FRAMES = f"list_transform(list_zip(regexp_extract_all(reason, {_re(fixed.FRAME)}, 1), regexp_extract_all(reason, {_re(fixed.FRAME)}, 2)), lambda z: split_part(z[1], '.', -1) || '.' || z[2])"
+
+
+@query("t9_top_frames", f"{_R} SELECT reason, coalesce(nullif({_frame('reason')}, ''), {_FRAMES}[1], '') AS frame FROM r")
 def _(spark, d):
     return _reasons(spark, d).select("reason", t.top_frame(F.col("reason")).alias("frame"))
 
@@ -358,7 +519,12 @@ def _(spark, d):
     return _reasons(spark, d).select("reason", t.has_error(F.col("reason")).alias("signal"), t.looks_corrupted(F.col("reason")).alias("corrupted"))
 
 
-@query("t3_extract_error")
+@query("t19_crash_texts", f"{_R} SELECT reason, length({_strip('reason')}) >= 20 AND NOT ({' OR '.join(f'contains(lower(reason), {_q(w)})' for w in fixed.CRASH_PLACEHOLDERS)}) AS crash FROM r")
+def _(spark, d):
+    return _reasons(spark, d).select("reason", t.looks_like_crash(F.col("reason")).alias("crash"))
+
+
+@query("t3_extract_error", f"{_R}, l AS (SELECT reason, '[ADB] Getting focused window' || chr(10) || reason || chr(10) || 'next line' || chr(10) || 'last line' AS log FROM r) SELECT reason, {_error('log')} AS error FROM l")
 def _(spark, d):
     log = F.concat(F.lit("[ADB] Getting focused window\n"), F.col("reason"), F.lit("\nnext line\nlast line"))
     return _reasons(spark, d).select("reason", t.extract_error(log).alias("error"))
@@ -414,18 +580,34 @@ def _(spark, d):
 
 
 
-@query("a17_significant_findings")
-def _(spark, d):
+# one device fails more than the rest
+_FINDINGS = (
+    BASE.replace("s AS (SELECT *, ", "s9 AS (SELECT *, ", 1).replace(", b AS (", ", s AS (SELECT * REPLACE (is_failure OR (device = 'Redmi 12' AND row_id % 4 = 0) AS is_failure) FROM s9), b AS (", 1)
+    + f", {_ATTR}, hits AS (SELECT * FROM att WHERE p < 0.05 AND failure_rate > baseline_rate), "
+    + "tw AS (" + " UNION ALL ".join(f"SELECT {_q(x)} AS d1, CAST({x} AS VARCHAR) AS l1, {_q(y)} AS d2, CAST({y} AS VARCHAR) AS l2, count(*) AS n12 FROM s GROUP BY ALL" for x in inference.DIMENSIONS for y in inference.DIMENSIONS if x != y) + "), "
+    + "twin AS (SELECT d1, l1, d2, l2, y.rank AS r2 FROM tw JOIN lv x ON x.dimension = d1 AND x.level = l1 JOIN lv y ON y.dimension = d2 AND y.level = l2 WHERE n12 = x.n AND n12 = y.n), "
+    + "fnd AS (SELECT dimension, level, sessions, failures, failure_rate, baseline_rate, odds_ratio, ci_low, ci_high, p, coalesce((SELECT string_agg(d2 || '=' || l2, ', ' ORDER BY r2) FROM twin WHERE d1 = dimension AND l1 = level), '') AS confounded_with FROM hits h WHERE NOT EXISTS (SELECT 1 FROM twin JOIN hits o ON o.dimension = d2 AND o.level = l2 WHERE d1 = h.dimension AND l1 = h.level AND r2 < h.rank))"
+)
+
+
+def _more(spark, d):
     s = _s(spark, d)
-    s = s.withColumn("is_failure", F.col("is_failure") | ((F.col("device") == "Redmi 12") & (F.col("row_id") % 4 == 0)))
-    return inference.significant_findings(s).withColumn("p_value", F.round("p_value", 6))
+    return s.withColumn("is_failure", F.col("is_failure") | ((F.col("device") == "Redmi 12") & (F.col("row_id") % 4 == 0)))
 
 
-@query("t27_finding_cards")
+@query("a17_significant_findings", f"{_FINDINGS} SELECT dimension, level, sessions, failures, failure_rate, baseline_rate, odds_ratio, ci_low, ci_high, round(p, 6) AS p_value, true AS significant, confounded_with FROM fnd")
 def _(spark, d):
-    s = _s(spark, d)
-    s = s.withColumn("is_failure", F.col("is_failure") | ((F.col("device") == "Redmi 12") & (F.col("row_id") % 4 == 0)))
-    return report.finding_cards(inference.significant_findings(s)).withColumn("p_value", F.round("p_value", 6))
+    return inference.significant_findings(_more(spark, d)).withColumn("p_value", F.round("p_value", 6))
+
+
+def _words(k: int) -> str:
+    return _case("dimension", {d: w[k] for d, w in fixed.FINDING_WORDS.items()}, fixed.FINDING_DEFAULT[k])
+
+
+@query("t27_finding_cards", f"{_FINDINGS} SELECT replace(replace({_words(0)}, '{{level}}', upper(left(level, 1)) || substr(level, 2)), '{{ratio}}', regexp_replace(CAST(CAST(round(odds_ratio, 1) AS DECIMAL(30, 1)) AS VARCHAR), '\\.0$', '')) AS headline, failures, sessions, {_words(1)} AS comparison, {_words(2)} AS so_what, CASE WHEN p < 0.001 THEN 'very strong evidence' WHEN p < 0.01 THEN 'strong evidence' ELSE 'moderate evidence' END AS strength, odds_ratio, dimension, level FROM fnd")
+def _(spark, d):
+    cards = report.finding_cards(inference.significant_findings(_more(spark, d)))
+    return cards.select("headline", "failures", "sessions", "comparison", "so_what", "strength", "odds_ratio", "dimension", "level")
 
 
 _CHI = "o AS (SELECT category, os_label AS level, count(*) AS o FROM c GROUP BY 1, 2), rr AS (SELECT category, sum(o) AS rn FROM o GROUP BY 1), cc AS (SELECT level, sum(o) AS cn FROM o GROUP BY 1), nn AS (SELECT sum(o) AS n FROM o), g AS (SELECT category, level, coalesce(o, 0) AS observed, rn*cn/n AS expected FROM rr CROSS JOIN cc CROSS JOIN nn LEFT JOIN o USING (category, level))"
@@ -442,9 +624,9 @@ def _(spark, d):
     return inference.duration_outliers(_s(spark, d))
 
 
-@query("a19_performance_vs_failure", f"{BASE}, l AS (SELECT is_failure, 'app_cpu_mean' AS metric, app_cpu_mean AS v FROM s UNION ALL SELECT is_failure, 'app_cpu_max', app_cpu_max FROM s UNION ALL SELECT is_failure, 'app_mem_max_mb', app_mem_max_mb FROM s), k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1)/2.0 AS rk FROM l WHERE v IS NOT NULL), g AS (SELECT metric, count(*) FILTER (is_failure) AS n1, count(*) FILTER (NOT is_failure) AS n2, sum(rk) FILTER (is_failure) AS rs, median(v) FILTER (is_failure) AS m1, median(v) FILTER (NOT is_failure) AS m2 FROM k GROUP BY 1) SELECT metric, round(m1, 1) AS failed_median, round(m2, 1) AS passed_median, n1 AS failed_n, n2 AS passed_n, round(2*(rs - n1*(n1+1)/2.0)/(n1*n2) - 1, 2) AS effect, round(rs - n1*(n1+1)/2.0, 3) AS u FROM g")
+@query("a19_performance_vs_failure", f"{BASE}, l AS (SELECT is_failure, 'app_cpu_mean' AS metric, app_cpu_mean AS v FROM s UNION ALL SELECT is_failure, 'app_cpu_max', app_cpu_max FROM s UNION ALL SELECT is_failure, 'app_mem_max_mb', app_mem_max_mb FROM s), k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY metric, v) AS c FROM l WHERE v IS NOT NULL), g AS (SELECT metric, count(*) FILTER (is_failure) AS n1, count(*) FILTER (NOT is_failure) AS n2, sum(rk) FILTER (is_failure) AS rs, sum(1.0*c*c - 1) AS ties, median(v) FILTER (is_failure) AS m1, median(v) FILTER (NOT is_failure) AS m2 FROM k GROUP BY 1) SELECT metric, round(m1, 1) AS failed_median, round(m2, 1) AS passed_median, n1 AS failed_n, n2 AS passed_n, round(2*(rs - n1*(n1+1)/2.0)/(n1*n2) - 1, 2) AS effect, round(rs - n1*(n1+1)/2.0, 3) AS u, round((greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))), 6) AS z FROM g")
 def _(spark, d):
-    return inference.performance_vs_failure(_s(spark, d)).select("metric", "failed_median", "passed_median", "failed_n", "passed_n", "effect", F.round("u", 3).alias("u"))
+    return inference.performance_vs_failure(_s(spark, d)).select("metric", "failed_median", "passed_median", "failed_n", "passed_n", "effect", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"))
 
 
 @query("a14_time_split", f"{BASE}, x AS (SELECT sum(browserstack_seconds) AS b, sum(user_seconds) AS u FROM s) SELECT round(b, 1) AS browserstack_seconds, round(u, 1) AS user_seconds, round(100*b/(b+u), 1) AS browserstack_pct, round(100*u/(b+u), 1) AS user_pct FROM x WHERE b + u > 0")
@@ -453,7 +635,23 @@ def _(spark, d):
 
 
 # --- clusters and metrics --------------------------------------------------
-_KEYED = f"{FAILS}, k AS (SELECT *, {_fp('reason')} AS fp, lower({_mask('reason')}) AS norm, {_signal('reason')} AS sig FROM c WHERE length(reason) > 0), kk AS (SELECT *, CASE WHEN fp <> '' THEN 's:' || fp WHEN NOT sig THEN 'l:' ELSE 't:' || norm END AS ckey FROM k), g AS (SELECT ckey, count(*) AS size, min(row_id) AS first, arg_min(reason, row_id) AS reason, arg_min(fp, row_id) AS fp FROM kk GROUP BY 1), num AS (SELECT *, row_number() OVER (ORDER BY CASE ckey[1] WHEN 's' THEN 0 WHEN 't' THEN 1 ELSE 2 END, first) - 1 AS cluster_id FROM g), lab AS (SELECT *, CASE WHEN ckey = 'l:' THEN {_q(fixed.LOW_SIGNAL_LABEL)} WHEN fp <> '' THEN fp ELSE CASE WHEN length({_WITH}) > 100 THEN left({_WITH}, 99) || '…' ELSE {_WITH} END END AS label FROM num)"
+def _vectors(name: str, texts: str) -> str:
+    """CTEs that end in `name`: id, term, w of texts (id, text, m)."""
+    n = name
+    grams = "SELECT id, m, unnest(list_transform(ws, lambda w: 'w:' || w)) AS term FROM {n}_t UNION ALL SELECT id, m, unnest(list_transform(range(1, len(ws)), lambda i: 'w:' || ws[i] || ' ' || ws[i + 1])) FROM {n}_t"
+    for k in (3, 4, 5):
+        grams += f" UNION ALL SELECT id, m, unnest(flatten(list_transform(pw, lambda p: CASE WHEN length(p) + 2 >= {k} OR {k} = 3 THEN list_transform(range(1, greatest(length(p) + 4 - {k}, 2)), lambda i: 'c:' || substr(' ' || p || ' ', i, {k})) ELSE [] END))) FROM {{n}}_t"
+    return (
+        f"{n}_t AS MATERIALIZED (SELECT id, m, regexp_extract_all(text, '\\b\\w\\w+\\b') AS ws, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS pw FROM ({texts})), {n}_g AS ({grams.format(n=n)}), "
+        f"{n}_f AS MATERIALIZED (SELECT id, term, count(*) AS c, any_value(m) AS m FROM {n}_g GROUP BY 1, 2), {n}_d AS (SELECT term, sum(m) AS df FROM {n}_f GROUP BY 1), "
+        f"{n}_w AS MATERIALIZED (SELECT id, term, left(term, 1) AS block, (1 + ln(c)) * (ln((1 + (SELECT sum(m) FROM {n}_t)) / (1.0 + df)) + 1) AS w FROM {n}_f JOIN {n}_d USING (term)), "
+        f"{n}_n AS (SELECT id, block, sqrt(sum(w * w)) AS norm FROM {n}_w GROUP BY 1, 2), {n}_b AS (SELECT id, count(*) AS blocks FROM {n}_n GROUP BY 1), "
+        f"{name} AS MATERIALIZED (SELECT id, term, w / norm / sqrt(blocks) AS w FROM {n}_w JOIN {n}_n USING (id, block) JOIN {n}_b USING (id))"
+    )
+
+
+_TEXTS_SQL = "SELECT norm AS text, min(row_id) AS id, count(*) AS m FROM k WHERE fp = '' AND sig GROUP BY norm"
+_KEYED = f"{FAILS.replace('WITH ', 'WITH RECURSIVE ', 1)}, k AS MATERIALIZED (SELECT *, {_fp('reason')} AS fp, lower({_mask('reason')}) AS norm, {_signal('reason')} AS sig FROM c WHERE length(reason) > 0), {_vectors('vec', _TEXTS_SQL)}, near AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM vec x JOIN vec y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2 HAVING sum(x.w * y.w) >= {1 - t.SETTINGS.eps} - 1e-12), reach(id, comp) AS (SELECT id, id FROM ({_TEXTS_SQL}) UNION SELECT near.b, reach.comp FROM reach JOIN near ON near.a = reach.id), comps AS (SELECT id, min(comp) AS comp FROM reach GROUP BY 1), named AS (SELECT text AS norm, comp FROM ({_TEXTS_SQL}) JOIN comps USING (id)), kk AS (SELECT k.*, CASE WHEN fp <> '' THEN 's:' || fp WHEN NOT sig THEN 'l:' ELSE 't:' || comp END AS ckey FROM k LEFT JOIN named ON named.norm = k.norm), g AS (SELECT ckey, count(*) AS size, min(row_id) AS first, arg_min(reason, row_id) AS reason, arg_min(fp, row_id) AS fp FROM kk GROUP BY 1), num AS (SELECT *, row_number() OVER (ORDER BY CASE ckey[1] WHEN 's' THEN 0 WHEN 't' THEN 1 ELSE 2 END, first) - 1 AS cluster_id FROM g), lab AS (SELECT *, CASE WHEN ckey = 'l:' THEN {_q(fixed.LOW_SIGNAL_LABEL)} WHEN fp <> '' THEN fp ELSE CASE WHEN length({_WITH}) > 100 THEN left({_WITH}, 99) || '…' ELSE {_WITH} END END AS label FROM num)"
 
 
 def _groups(spark, d):
@@ -476,7 +674,12 @@ def _(spark, d):
     return clusters.chart_rows(_groups(spark, d)[0]).select("label", "failures")
 
 
-@query("m17_confidence")
+@query("t25_padded_labels", f"{_KEYED}, rk AS (SELECT *, row_number() OVER (ORDER BY size DESC, cluster_id) AS rn FROM lab), ch AS (SELECT CASE WHEN min(rn) <= 12 THEN '#' || min(cluster_id) || ': ' || min(label) ELSE '+' || count(*) || ' smaller' END AS label FROM rk GROUP BY least(rn, 13)) SELECT rpad(label, CAST((SELECT max(length(label)) FROM ch) AS INTEGER), chr(160)) AS label FROM ch")
+def _(spark, d):
+    return report.padded_labels(clusters.chart_rows(_groups(spark, d)[0])).select("label")
+
+
+@query("m17_confidence", f"{_KEYED}, {_vectors('all_vec', 'SELECT norm AS text, min(row_id) AS id, count(*) AS m FROM k GROUP BY norm')}, per AS (SELECT ckey, x.id, count(*) AS k FROM kk JOIN (SELECT norm, min(row_id) AS id FROM k GROUP BY norm) x ON x.norm = kk.norm GROUP BY 1, 2), sums AS (SELECT ckey, term, sum(per.k * w) AS s FROM per JOIN all_vec USING (id) GROUP BY 1, 2), sq AS (SELECT ckey, sum(s * s) AS ss FROM sums GROUP BY 1), un AS (SELECT ckey, sum(k) AS unit FROM per WHERE id IN (SELECT id FROM all_vec) GROUP BY 1) SELECT cluster_id, size, round(CASE WHEN size > 1 THEN (coalesce(ss, 0) - coalesce(unit, 0)) / (1.0 * size * (size - 1)) ELSE 1 END, 3) AS confidence FROM num LEFT JOIN sq USING (ckey) LEFT JOIN un USING (ckey)")
 def _(spark, d):
     return _groups(spark, d)[0].select("cluster_id", "size", "confidence")
 
@@ -517,10 +720,19 @@ def _(spark, d):
 
 
 # --- the same statistics on other tables -----------------------------------
-@query("m8_fisher_lineitem")
+@query("m8_fisher_lineitem", f"WITH g AS (SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS a, count(*) FILTER (l_linestatus <> 'O') AS b, count(*) FILTER (l_quantity > 25) AS c, count(*) FILTER (l_quantity <= 25) AS dd FROM lineitem GROUP BY 1) SELECT l_returnflag, round({_fisher_sql()}, 6) AS p FROM g")
 def _(spark, d):
     li = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "O").alias("a"), F.count_if(F.col("l_linestatus") != "O").alias("b"), F.count_if(F.col("l_quantity") > 25).alias("c"), F.count_if(F.col("l_quantity") <= 25).alias("e"))
-    return li.select("l_returnflag", F.round(stats.fisher_exact(F.least("a", F.lit(60)), F.least("b", F.lit(60)), F.least("c", F.lit(60)), F.least("e", F.lit(60))), 6).alias("p"))
+    return li.select("l_returnflag", F.round(stats.fisher_exact(*map(F.col, "abce")), 6).alias("p"))
+
+
+@query("m8_fisher_brands", f"WITH x AS (SELECT p_brand, l_returnflag = 'R' AS r FROM lineitem JOIN part ON p_partkey = l_partkey), g AS (SELECT p_brand, count(*) FILTER (r) AS a, count(*) FILTER (NOT r) AS b, (SELECT count(*) FROM x WHERE r) - count(*) FILTER (r) AS c, (SELECT count(*) FROM x WHERE NOT r) - count(*) FILTER (NOT r) AS dd FROM x GROUP BY 1) SELECT p_brand, a, b, c, dd, round({_fisher_sql()}, 6) AS p FROM g")
+def _(spark, d):
+    li, part = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/part.parquet")
+    g = li.join(part, li.l_partkey == part.p_partkey).groupBy("p_brand").agg(F.count_if(F.col("l_returnflag") == "R").alias("a"), F.count_if(F.col("l_returnflag") != "R").alias("b"))
+    whole = g.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    g = g.join(F.broadcast(whole), F.lit(True)).withColumns({"c": F.col("ta") - F.col("a"), "dd": F.col("tb") - F.col("b")})  # one row
+    return g.select("p_brand", "a", "b", "c", "dd", F.round(stats.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.col("dd")), 6).alias("p"))
 
 
 @query("j1_orders_by_segment", "SELECT c_mktsegment, count(o_orderkey) AS orders, round(sum(o_totalprice), 2) AS total, count(DISTINCT c_custkey) AS customers FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")

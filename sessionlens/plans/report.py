@@ -53,6 +53,17 @@ def root_causes(clusters: DataFrame) -> DataFrame:
     return clusters.groupBy(F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(listed.alias("root_causes"))
 
 
+def area_chart(areas: DataFrame, least: int = 3) -> DataFrame:
+    """Areas with enough sessions to show a rate, lowest rate first."""
+    return areas.where(F.col("sessions") >= least).orderBy("failure_rate", "feature_area")
+
+
+def padded_labels(chart: DataFrame) -> DataFrame:
+    """chart (few rows) with labels of equal width; no-break spaces, as others would collapse."""
+    width = chart.agg(F.max(F.length("label")).alias("width"))
+    return chart.join(F.broadcast(width), F.lit(True)).withColumn("label", F.rpad("label", F.col("width"), "\u00a0")).drop("width")
+
+
 def platform_names(columns: list[str]) -> list[str]:
     """Of an area table's columns those that are platforms."""
     return [c for c in columns if c != "feature_area" and not c.startswith(("n__", "f__"))]

@@ -40,6 +40,9 @@ class Settings:
     log_sources: tuple[str, ...] = field(default_factory=lambda: _words("LOG_SOURCES", "crash,appium,device"))
     log_fetch_chars: int = 200_000
     log_store_chars: int = 8_000
+    target_project: str = field(default_factory=lambda: os.environ.get("TARGET_PROJECT", ""))
+    target_project_id: str = field(default_factory=lambda: os.environ.get("TARGET_PROJECT_ID", ""))
+    profiling: bool = field(default_factory=lambda: os.environ.get("ENRICH_PROFILING", "").lower() in ("1", "true", "yes"))
     username: str = field(default_factory=lambda: os.environ.get("API_USERNAME", ""))
     access_key: str = field(default_factory=lambda: os.environ.get("API_ACCESS_KEY", ""))
 

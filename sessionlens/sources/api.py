@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
 import time
 import urllib.error
 import urllib.parse
@@ -18,10 +19,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..settings import SETTINGS, Settings
 from .sessions import RAW, IngestionError, normalize_sessions
 
 RETRY = (429, 500, 502, 503, 504)
+PROFILES = "appprofiling/v2"
+log = logging.getLogger(__name__)
 
 
 class HttpTransport:
@@ -34,8 +38,9 @@ class HttpTransport:
         self.token = base64.b64encode(f"{username}:{access_key}".encode()).decode()
 
     def __call__(self, path: str, params: dict | None = None):
-        url = f"{self.base}{path}" + (f"?{urllib.parse.urlencode(params)}" if params else "")
-        request = urllib.request.Request(url, headers={"Authorization": f"Basic {self.token}"})
+        signed = path.startswith(("http://", "https://"))  # an address that carries its own signature
+        url = (path if signed else f"{self.base}{path}") + (f"?{urllib.parse.urlencode(params)}" if params else "")
+        request = urllib.request.Request(url, headers={} if signed else {"Authorization": f"Basic {self.token}"})
         for k in range(self.retries + 1):
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as r:
@@ -71,7 +76,9 @@ class Service:
         return [_inner(p) for p in self.get("/projects.json")]
 
     def project_id(self, name: str) -> int:
-        """Case and outer spaces don't matter; an unknown name lists those that there are."""
+        """Case and outer spaces don't matter; an unknown name lists those that there are.  With one default project and its id set, that id holds."""
+        if self.settings.target_project_id and len(as_project_list(self.settings.target_project)) == 1:
+            return int(self.settings.target_project_id)
         known = self.projects()
         for p in known:
             if str(p.get("name", "")).strip().lower() == name.strip().lower():
@@ -79,7 +86,7 @@ class Service:
         raise IngestionError(f"project {name!r} is unknown; known: {', '.join(sorted(str(p.get('name', '')) for p in known))}")
 
     def to_search(self, project: str | Sequence[str] | None) -> list[tuple[str, int]]:
-        names = as_project_list(project)
+        names = as_project_list(project) or as_project_list(self.settings.target_project)
         return [(n, self.project_id(n)) for n in names] if names else [(str(p.get("name", "")), p["id"]) for p in self.projects()]
 
     def builds(self, project_id: int) -> list[dict]:
@@ -106,8 +113,8 @@ class Service:
                 out.append((name, fits[0]))
         return out
 
-    def resolve_builds(self, project: str | Sequence[str] | None, names: Sequence[str]) -> list[tuple[str, dict]]:
-        """(project, build) of every name, before anything is fetched; names that fit nothing are an error."""
+    def match_builds(self, project: str | Sequence[str] | None, names: Sequence[str]) -> tuple[list[tuple[str, dict]], list[str]]:
+        """((project, build) of every name, names that fit nothing); a name counts in the first project that has it."""
         left, out, seen = [n.strip() for n in names if n.strip()], [], set()
         for title, pid in self.to_search(project):
             if not left:
@@ -117,6 +124,11 @@ class Service:
                 if build["hashed_id"] not in seen:
                     seen.add(build["hashed_id"])
                     out.append((title, build))
+        return out, left
+
+    def resolve_builds(self, project: str | Sequence[str] | None, names: Sequence[str]) -> list[tuple[str, dict]]:
+        """(project, build) of every name, before anything is fetched; names that fit nothing are an error."""
+        out, left = self.match_builds(project, names)
         if left:
             raise IngestionError(f"no build fits: {', '.join(left)}")
         return out
@@ -138,8 +150,8 @@ def fetch_sessions(get: Callable, build_id: str, settings: Settings = SETTINGS):
             return
 
 
-def read_builds(spark: SparkSession, get: Callable, builds: list[tuple[str, dict]], settings: Settings = SETTINGS) -> DataFrame:
-    """Sessions of (project, build) pairs, tagged with their build; one partition a build."""
+def fetch_builds(spark: SparkSession, get: Callable, builds: list[tuple[str, dict]], settings: Settings = SETTINGS) -> DataFrame:
+    """p, b, row_id, raw: the payloads of (project, build) pairs, tagged with both; one partition a build.  Every run asks the service anew."""
     rows = [(i, p, b["hashed_id"]) for i, (p, b) in enumerate(builds)]
     if not rows:
         raise IngestionError("no build to read")
@@ -154,30 +166,92 @@ def read_builds(spark: SparkSession, get: Callable, builds: list[tuple[str, dict
                 n = len(raw)
                 yield pa.RecordBatch.from_arrays([pa.array([p] * n, pa.string()), pa.array([b] * n, pa.string()), pa.array([f"{i:06d}|{k:08d}" for k in range(n)], pa.string()), pa.array(raw, pa.string())], ["p", "b", "row_id", "raw"])
 
-    got = plan.mapInArrow(run, "p string, b string, row_id string, raw string")
-    flat = got.withColumn("r", F.from_json("raw", RAW)).select("p", "b", "row_id", "r.*")
-    out = normalize_sessions(flat.withColumns({"build_hashed_id": F.col("b"), "project_name": F.coalesce(F.nullif(F.col("project_name"), F.lit("")), F.col("p"))}), settings)
-    return out
+    return plan.mapInArrow(run, "p string, b string, row_id string, raw string")
+
+
+def sessions_of(payloads: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """What fetch_builds gives as sessions."""
+    flat = payloads.withColumn("r", F.from_json("raw", RAW)).select("p", "b", "row_id", "r.*")
+    return normalize_sessions(flat.withColumns({"build_hashed_id": F.col("b"), "project_name": F.coalesce(F.nullif(F.col("project_name"), F.lit("")), F.col("p"))}), settings)
+
+
+def land_builds(spark: SparkSession, get: Callable, builds: list[tuple[str, dict]], folder: str, settings: Settings = SETTINGS) -> tuple[DataFrame, list[tuple[str, dict]]]:
+    """(sessions, builds that have any): every page is fetched once, into the folder, and read from there.
+
+    A build without sessions is left out with a warning; none at all is an error.
+    """
+    fetch_builds(spark, get, builds, settings).write.parquet(folder)
+    sessions = sessions_of(spark.read.parquet(folder), settings)
+    filled = {r[0] for r in sessions.select("build_id").distinct().collect()}  # builds of one run
+    for p, b in builds:
+        if b["hashed_id"] not in filled:
+            log.warning("build %s of %s has no sessions and is left out", b.get("name") or b["hashed_id"], p)
+    if not filled:
+        raise IngestionError("the builds that were asked for have no sessions")
+    return sessions, [(p, b) for p, b in builds if b["hashed_id"] in filled]
+
+
+def read_builds(spark: SparkSession, get: Callable, builds: list[tuple[str, dict]], settings: Settings = SETTINGS) -> DataFrame:
+    """Sessions of (project, build) pairs, fetched whenever the result is computed; land_builds keeps them."""
+    return sessions_of(fetch_builds(spark, get, builds, settings), settings)
+
+
+def _asked(get: Callable, path: str):
+    """What the service returns, None if the request fails; refused credentials are an error."""
+    try:
+        return get(path, None)
+    except urllib.error.HTTPError as e:
+        if e.code in (401, 403) and not path.startswith("http"):
+            raise
+        return None
+    except (OSError, ValueError, LookupError):
+        return None
 
 
 def fetch_logs(get: Callable, failures: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """session_id, source, text of failures (session_id, build_id): every source on its own, a failed request is no text."""
-    sources = settings.log_sources
+    """session_id, source, text of failures (session_id, build_id, and terminal_logs_url if there is one).
+
+    Every source is asked for on its own, and a failed request is no text.  The signed
+    address is read only where no source has given a usable text.
+    """
+    sources, placeholders = settings.log_sources, fixed.CRASH_PLACEHOLDERS
+
+    def usable(source, text):
+        if not isinstance(text, str) or not text.strip():
+            return False
+        return source != "crash" or (len(text.strip()) >= 20 and not any(w in text.lower() for w in placeholders))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             out = []
-            for sid, bid in zip(*(batch.column(c).to_pylist() for c in ("session_id", "build_id")), strict=True):
-                for s in sources if sid and bid else ():
-                    try:
-                        text = get(f"/builds/{bid}/sessions/{sid}/{s}logs", None)
-                    except Exception:  # noqa: BLE001 a source that fails is left out
-                        continue
-                    if isinstance(text, str) and text.strip():
-                        out.append((sid, s, text))
+            for sid, bid, url in zip(*(batch.column(c).to_pylist() for c in ("session_id", "build_id", "url")), strict=True):
+                got = [(sid, s, _asked(get, f"/builds/{bid}/sessions/{sid}/{s}logs")) for s in sources] if sid and bid else []
+                got = [x for x in got if usable(*x[1:])]
+                if not got and url and usable("terminal", text := _asked(get, url)):
+                    got = [(sid, "terminal", text)]
+                out += got
             a, b, c = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (a, b, c)], ["session_id", "source", "text"])
 
-    return failures.select("session_id", "build_id").mapInArrow(run, "session_id string, source string, text string")
+    url = F.col("terminal_logs_url") if "terminal_logs_url" in failures.columns else F.lit("")
+    return failures.select("session_id", "build_id", url.alias("url")).mapInArrow(run, "session_id string, source string, text string")
+
+
+def fetch_profiles(get: Callable, sessions: DataFrame) -> DataFrame:
+    """session_id, series (JSON) of sessions (session_id, build_id) that were profiled; passed ones too, as slowness fails no test."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for sid, bid in zip(*(batch.column(c).to_pylist() for c in ("session_id", "build_id")), strict=True):
+                series = _asked(get, f"/builds/{bid}/sessions/{sid}/{PROFILES}") if sid and bid else None
+                if isinstance(series, list):
+                    out.append((sid, json.dumps(series)))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["session_id", "series"])
+
+    return sessions.select("session_id", "build_id").mapInArrow(run, "session_id string, series string")

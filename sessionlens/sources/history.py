@@ -59,10 +59,15 @@ class History:
     def persist_build(self, meta: dict, sessions: DataFrame) -> None:
         """Stores a build and its sessions; rows of the same ids are replaced, also those of other builds."""
         build, project = str(meta.get("hashed_id") or ""), str(meta.get("project") or "")
-        row = [(build, project, str(meta.get("name") or ""), str(meta.get("status") or ""), str(meta.get("created_at") or ""))]
-        new_build = self.spark.createDataFrame(row, "build_id string, project string, name string, status string, created_at string").withColumn("ingested_at", F.current_timestamp().cast("string"))
-        self._swap("builds", upsert(self.read("builds"), new_build.select(BUILDS.names), "build_id"))
-        mine = sessions.withColumns({"build_id": F.lit(build), "project": F.lit(project)})
+        self.persist_builds([(project, meta)], sessions.withColumns({"build_id": F.lit(build), "project": F.lit(project)}))
+
+    def persist_builds(self, builds: list[tuple[str, dict]], sessions: DataFrame) -> None:
+        """Stores (project, build) pairs and their sessions (by build_id) at once: both tables are written once, whatever the number of builds."""
+        text = lambda b, k: str(b.get(k) or "")
+        rows = [(text(b, "hashed_id"), p, text(b, "name"), text(b, "status"), text(b, "created_at")) for p, b in builds]
+        new = self.spark.createDataFrame(rows, "build_id string, project string, name string, status string, created_at string").withColumn("ingested_at", F.current_timestamp().cast("string"))
+        self._swap("builds", upsert(self.read("builds"), new.select(BUILDS.names), "build_id"))
+        mine = sessions.drop("project").join(F.broadcast(new.select("build_id", "project")), "build_id")  # builds of one run
         self._swap("sessions", upsert(self.read("sessions"), mine.select(*(F.col(f.name).cast(f.dataType) for f in SESSIONS.fields)), "session_id"))
 
     def drop_phantoms(self, apply: bool = False) -> DataFrame:

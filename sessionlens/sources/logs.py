@@ -12,9 +12,11 @@ from ..settings import SETTINGS, Settings
 
 def combine_logs(logs: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """session_id, combined, crash of logs (session_id, source, text): sources in the configured order; an empty crash log is none."""
-    order = F.array_position(F.array(*map(F.lit, settings.log_sources)), F.col("source"))
+    # the signed address comes last, and as it is
+    order = F.array_position(F.array(*map(F.lit, (*settings.log_sources, "terminal"))), F.col("source"))
     good = logs.where((order > 0) & (strip(F.col("text")) != "") & ((F.col("source") != "crash") | looks_like_crash(F.col("text"))))
-    part = F.concat(F.lit("--- "), "source", F.lit(" ---\n"), F.right("text", F.lit(settings.log_fetch_chars)))
+    end = F.right("text", F.lit(settings.log_fetch_chars))
+    part = F.when(F.col("source") == "terminal", end).otherwise(F.concat(F.lit("--- "), "source", F.lit(" ---\n"), end))
     parts = good.select("session_id", F.struct(order.alias("o"), part.alias("p")).alias("x"), (F.col("source") == "crash").alias("c"))
     return parts.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["p"]), "\n").alias("combined"), F.bool_or("c").alias("crash"))
 

@@ -58,7 +58,7 @@ def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """Sessions of a folder of JSON lines, each a payload or one wrapped in automation_session; one row a session id."""
-    wrapped = T.StructType(RAW.fields).add("automation_session", RAW)
+    wrapped = T.StructType([*RAW.fields, T.StructField("automation_session", RAW)])
     raw = spark.read.schema(wrapped).json(path)
     fields = [F.coalesce(F.col(f"automation_session.{f.name}"), F.col(f.name)).alias(f.name) for f in RAW.fields]
     rows = raw.select(*fields)

@@ -124,6 +124,29 @@ def test_similar_texts_join(spark):
     assert [r["size"] for r in got] == [3, 1] and 0.45 < got[0]["confidence"] < 1 and got[1]["confidence"] == 1.0
 
 
+@pytest.mark.parametrize("least", [2, 3, 4])
+def test_density_clusters_match_brute_force(spark, least):
+    rng = random.Random(8)
+    words = "savings icon wallet menu toggle page screen visible landing header".split()
+    texts = {k: " ".join(rng.choice(words) for _ in range(4)) for k in range(30)}
+    rows = [(k, x, 1 + k % 3 // 2) for k, x in texts.items()]
+    df = spark.createDataFrame(rows, "id long, text string, m long")
+    w = {}
+    for r in clusters.term_weights(df).collect():
+        w.setdefault(r["id"], {})[r["term"]] = r["w"]
+    near = lambda a, b: sum(v * w[b].get(t, 0) for t, v in w[a].items()) >= 0.7 - 1e-12
+    around = {a: [b for b in texts if b != a and near(a, b)] for a in texts}
+    m = {k: n for k, _, n in rows}
+    core = {a for a in texts if m[a] + sum(m[b] for b in around[a]) >= least}
+    comp = {a: a for a in core}
+    for _ in texts:
+        for a in core:
+            comp[a] = min([comp[a], *(comp[b] for b in around[a] if b in core)])
+    want = {a: comp.get(a, min((comp[b] for b in around[a] if b in core), default=None)) for a in texts}
+    got = {r["id"]: None if r["noise"] else r["comp"] for r in clusters.text_components(df, 0.3, least).collect()}
+    assert got == want and (least == 2 or None in want.values())
+
+
 def test_cluster_category_ties_go_to_the_first(spark):
     f = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "cluster_id int, session_id string, row_id long")
     c = spark.createDataFrame([("a", "x", "o"), ("b", "y", "o")], "session_id string, category string, owner string")

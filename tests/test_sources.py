@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from sessionlens import cli, settings
 from sessionlens.plans import report
 from sessionlens.plans.triage import run_triage
 from sessionlens.sources import api, history, sessions
@@ -72,6 +73,78 @@ def test_pages(spark):
     assert df.count() == 260 and {r[0] for r in df.select("build_id").distinct().collect()} == {"1", "3"} and df.where("project = 'Alpha'").count() == 260
 
 
+def service_in(folder, builds):
+    """A transport that notes each request in a folder, as executors make them too."""
+
+    def get(path, params=None):
+        import os
+        import uuid
+
+        name = path.strip("/").replace("/", "~") + (f"~{params['offset']}" if params else "")
+        open(os.path.join(folder, f"{name}@{uuid.uuid4().hex}"), "w").close()
+        if path == "/projects.json":
+            return [{"project": {"id": 7, "name": "Alpha"}}]
+        if path == "/projects/7.json":
+            return {"project": {"builds": builds}}
+        if path.endswith("sessions.json"):
+            n = 0 if "/none/" in path else 130
+            every = [{"hashed_id": f"{path.split('/')[2]}-{k}", "name": "testGold", "status": "failed" if k % 2 else "passed", "reason": "FooError: x" if k % 2 else "", "created_at": "2026-01-01"} for k in range(n)]
+            return every[params["offset"] : params["offset"] + params["limit"]]
+        if path.endswith("appprofiling/v2"):
+            return [{"ts": t, "cpu": 5.0, "mem": 1.0, "mema": 1.0, "batt": 1.0, "temp": 1.0, "app_cpu": 3.0, "app_mem": 2.0} for t in range(3)]
+        raise OSError(path)
+
+    return get
+
+
+def test_every_page_is_fetched_once(spark, tmp_path, monkeypatch, caplog):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    builds = [{"hashed_id": b, "name": f"{b} triggered", "status": "done", "created_at": f"2026-01-0{k}"} for k, b in enumerate(("one", "two", "none"), 1)]
+    monkeypatch.setattr(cli, "SETTINGS", settings.Settings(history_path=str(tmp_path / "h")))
+    monkeypatch.setattr(cli, "build_session", lambda: spark)
+    monkeypatch.setattr(cli, "run_triage", lambda s, past: {"profiles": s.select("session_id", "app_cpu_mean"), "past": past.select("session_id")})
+    assert cli.main(["--source", "api", "--mode", "range", "--profile", "--project", "alpha", "--output", str(tmp_path / "r.html")], service_in(str(asked), builds)) == 0
+    pages = [x.name.split("@")[0] for x in asked.iterdir() if "sessions.json" in x.name]
+    assert sorted(pages) == sorted(f"builds~{b}~sessions.json~{o}" for b, o in (("one", 0), ("one", 100), ("two", 0), ("two", 100), ("none", 0)))
+    profiled = [x.name.split("@")[0] for x in asked.iterdir() if "appprofiling" in x.name]
+    assert len(profiled) == len(set(profiled)) == 260
+    assert "none" in caplog.text
+    out = spark.read.parquet(str(tmp_path / "r_artifacts" / "profiles"))
+    assert out.count() == 260 and out.where("app_cpu_mean = 3.0").count() == 260
+    assert history.History(spark, str(tmp_path / "h")).read("builds").count() == 2
+    assert cli.main(["--source", "api", "--build", "none", "--output", str(tmp_path / "x.html")], service_in(str(asked), builds)) == 1
+
+
+def test_default_project(monkeypatch):
+    service = api.Service(fake, settings.Settings(target_project="Beta", target_project_id="31"))
+    assert service.to_search(None) == [("Beta", 31)]
+
+
+def test_signed_address_is_the_last_resort(spark):
+    def get(path, params=None):
+        if path == "https://logs/x":
+            return "signed text"
+        if "/a/" in path and path.endswith("appiumlogs"):
+            return "api text"
+        if path.endswith("crashlogs"):
+            return "no crash found here at all"
+        raise OSError(path)
+
+    f = spark.createDataFrame([("a", "1", "https://logs/x"), ("b", "1", "https://logs/x"), ("c", "1", "")], "session_id string, build_id string, terminal_logs_url string")
+    logs = api.fetch_logs(get, f)
+    assert {tuple(r) for r in logs.collect()} == {("a", "appium", "api text"), ("b", "terminal", "signed text")}
+    assert {r["session_id"]: r["combined"] for r in combine_logs(logs).collect()} == {"a": "--- appium ---\napi text", "b": "signed text"}
+
+
+def test_landing_leaves_the_schema_alone(spark, tmp_path):
+    n = len(sessions.RAW.fields)
+    (tmp_path / "x.json").write_text('{"hashed_id": "a"}\n{"automation_session": {"hashed_id": "b"}}\n{"hashed_id": "a"}\n')
+    for _ in range(2):
+        assert sessions.read_landing(spark, str(tmp_path)).count() == 2
+    assert len(sessions.RAW.fields) == n
+
+
 def test_logs_augment(spark):
     s = sample_sessions(spark, 20).where("is_failure").limit(2)
     a, b = [r["session_id"] for r in s.orderBy("row_id").collect()]

@@ -18,12 +18,19 @@ def fisher(a, b, c, d):
     return float(sum(v for v in p.values() if v <= p[a]))
 
 
-@pytest.mark.parametrize("cells", [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 5, 0), (40, 60, 900, 1000), (1, 99, 5, 4000), (7, 7, 7, 7)])
+@pytest.mark.parametrize("cells", [(3, 1, 1, 3), (10, 2, 3, 15), (0, 5, 5, 0), (40, 60, 900, 1000), (1, 99, 5, 4000), (7, 7, 7, 7), (0, 0, 3, 4), (200, 150, 1200, 1300)])
 def test_fisher(spark, cells):
     got = value(spark, stats.fisher_exact(*(F.lit(x) for x in cells)))
     assert got == pytest.approx(fisher(*cells), rel=1e-8)
 
 
+def test_fisher_of_large_tables_is_quick(spark):
+    # a normal statistic of 2.828: the tables are so large that the limit holds
+    got = value(spark, stats.fisher_exact(*(F.lit(x) for x in (500_000_000, 500_100_000, 500_000_000, 499_900_000))))
+    z = abs(500_000_000 / 1_000_100_000 - 500_000_000 / 999_900_000) / (0.25 * (1 / 1_000_100_000 + 1 / 999_900_000)) ** 0.5
+    assert got == pytest.approx(math.erfc(z / 2**0.5), rel=1e-2)
+
+
 @pytest.mark.parametrize("x", [0.0, 0.3, 1.0, 2.4, 2.6, 4.0, 6.0])
 def test_erfc(spark, x):
     assert value(spark, stats.erfc(F.lit(x))) == pytest.approx(math.erfc(x), rel=1e-9, abs=1e-15)
