@@ -12,14 +12,17 @@ strings that can be equal together:
   its suffixes by Larsson-Sadakane refinement, measures common prefixes by
   Kasai's method, and reports the strings with a neighbour equal for `length`
   bytes.  An anchor too large for a shard is dealt over several; each sends its
-  distinct strings as a sorted run of fingerprints, and runs are merged by binary
-  search within ranges of the fingerprint.
+  distinct strings as packed sorted runs of fingerprints, runs are merged by binary
+  search within ranges of the distance to the anchor, and what they share is
+  confirmed by its bytes.
 
 Equal texts are one text from the start; where a text of at least `length` bytes
 occurs twice, all of it goes.  Matches never cross documents.  Null texts are
-empty; texts shorter than `length` are kept whole.  Anchors, segments and
-fingerprints are compared by 64-bit hashes within groups already equal in
-another 64-bit hash; suffixes are compared by their bytes.
+empty; texts shorter than `length` are kept whole, longer ones of any length are
+searched whole.  Repeated rows are copies of one another; rows may share an id; no rows
+give no rows; columns other than doc_id and text are not read.  Equal segments are
+found by a 64-bit hash among those of one 64-bit anchor, equal texts by 128 bits of
+SHA-256; suffixes and merged runs are compared by their bytes.
 """
 
 import hashlib
@@ -219,80 +222,143 @@ def _true_runs(mask):
     return edge[::2], edge[1::2]
 
 
-def _shard_runs(parts: DataFrame, length: int, split: bool) -> DataFrame:
-    """anchor, content, shard, a, b: runs of strings repeated within their shard (`kind` 0).
+def _groups(batches, keys):
+    """The rows of sorted batches as one table for each run of equal keys; one such table is held at a time."""
+    held, current = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        cut = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            mine = tuple(c[a] for c in columns)
+            if held and mine != current:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            current = mine
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _joined(raw):
+    """Byte strings one after another, each ended by a byte that no UTF-8 text holds; where each begins; sizes."""
+    sizes = np.array([len(x) for x in raw], np.int64)
+    return np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8), np.concatenate([[0], np.cumsum(sizes + 1)]), sizes
+
+
+def _shard_repeats(parts: DataFrame, length: int) -> DataFrame:
+    """anchor, content, a, b: runs of strings repeated within their shard."""
 
-    With `split`, also the fingerprints of the strings of each shard (`kind` 1: f of string a; b is 1 where it repeats in the shard).
+    def run(batches):
+        for t in _groups(batches, ["shard"]):
+            buf, begin, sizes = _joined(t.column("bytes").to_pylist())
+            hit = repeated_starts(buf, length)
+            runs = [_true_runs(hit[begin[k] : begin[k] + sizes[k] - length + 1]) for k in range(len(sizes))]
+            k = np.repeat(np.arange(len(sizes)), [len(a) for a, _ in runs])
+            a, b = (np.concatenate([r[j] for r in runs]) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks().take(pa.array(k)) for c in ("anchor", "content")), pa.array(a), pa.array(b)], ["anchor", "content", "a", "b"])
+
+    return parts.mapInArrow(run, "anchor long, content long, a long, b long")
+
+
+_PRINT = np.dtype([("f", "<u8"), ("content", "<i8"), ("a", "<i4")])
+
+
+def _split_shard_runs(parts: DataFrame, length: int, gram: int) -> DataFrame:
+    """What the shards of anchors over several shards have found and what they send.
+
+    kind 0: content, a, b, a run of strings repeated within the shard.  kind 1: prints,
+    the packed strings of a shard (fingerprint, content, start), sorted by fingerprint,
+    one row for each range of the distance to the anchor.  Equal strings lie as far
+    before their anchor, so they share a range, and neighbours nearly always do.
     """
-    schema = "anchor long, content long, shard long, kind int, a long, b long, f long"
+    schema = "anchor long, kind int, content long, a long, b long, reach int, part int, prints binary"
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["anchor", "kind", "content", "a", "b", "reach", "part", "prints"]
 
     def solve(t):
-        raw = t.column("bytes").to_pylist()
-        sizes = np.array([len(x) for x in raw], np.int64)
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        buf = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)  # no UTF-8 text holds this byte
+        anchor, pieces = t.column("anchor")[0].as_py(), int(t.column("pieces")[0].as_py())
+        contents = t.column("content").to_numpy()
+        buf, begin, sizes = _joined(t.column("bytes").to_pylist())
         hit = repeated_starts(buf, length)
-        if split:
-            spans, _, _ = _gram_hashes(buf, length)
-        cols, sent = [], np.zeros(0, np.int64)
-        for k in range(len(raw)):
-            count = int(sizes[k]) - length + 1
-            mask = hit[begin[k] : begin[k] + count]
-            a, b = _true_runs(mask)
-            cols.append((np.full(len(a), k), np.zeros(len(a), np.int32), a, b, np.zeros(len(a), np.int64)))
-            if split:
-                # of strings repeated here each occurrence is known to repeat; a run needs them once
-                mine = spans[begin[k] : begin[k] + count].view(np.int64)
-                send = ~mask
-                if mask.any():
-                    f, first = np.unique(mine[mask], return_index=True)
-                    send[np.flatnonzero(mask)[first[~np.isin(f, sent)]]] = True
-                    sent = np.concatenate([sent, f])
-                a = np.flatnonzero(send)
-                cols.append((np.full(len(a), k), np.ones(len(a), np.int32), a, mask[a].astype(np.int64), mine[a]))
-        k, kind, a, b, f = (np.concatenate(x) for x in zip(*cols, strict=True))
-        return pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(k)) for c in ("anchor", "content", "shard")] + [pa.array(x) for x in (kind, a, b, f)], ["anchor", "content", "shard", "kind", "a", "b", "f"])
+        count = sizes - length + 1
+        own = np.zeros(len(buf) + 1, np.int8)
+        own[begin[:-1]] += 1
+        own[begin[:-1] + count] -= 1
+        starts = np.cumsum(own[:-1], dtype=np.int8) > 0
+        a, b = _true_runs(hit & starts)
+        k = np.searchsorted(begin, a, "right") - 1
+        found = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((np.full(len(a), anchor), np.zeros(len(a)), contents[k], a - begin[k], b - begin[k], [None] * len(a), [None] * len(a), [None] * len(a)), kinds, strict=True)], names)
+        # of strings repeated here each occurrence is known to repeat; other shards need them once
+        spans = _gram_hashes(buf, length)[0]
+        again = np.flatnonzero(hit & starts)
+        send = starts & ~hit
+        send[again[np.unique(spans[again], return_index=True)[1]]] = True
+        at = np.flatnonzero(send)
+        k = np.searchsorted(begin, at, "right") - 1
+        gram_at = np.flatnonzero(_gram_hashes(buf, gram)[0] == np.array([anchor]).view(np.uint64)[0])
+        far = gram_at[np.searchsorted(gram_at, begin[k])] - at
+        rows = np.empty(len(at), _PRINT)
+        rows["f"], rows["content"], rows["a"] = spans[at], contents[k], at - begin[k]
+        # four pieces' strings a range; beyond what distances can part, fingerprints do
+        width = length - gram + 1
+        ranges, parts_a_range = min(width, -(-pieces // 4)), max(1, -(-pieces // (4 * width)))
+        name = (far * ranges // width) * parts_a_range + ((rows["f"] >> U64(32)).astype(np.int64) * parts_a_range >> 32)
+        order = np.lexsort((rows["f"], name))
+        rows, name = rows[order], name[order]
+        cut = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
+        n = len(cut) - 1
+        which = name[cut[:-1]]
+        packed = [rows[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        prints = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((np.full(n, anchor), np.ones(n), [None] * n, [None] * n, [None] * n, which // parts_a_range, which % parts_a_range, packed), kinds, strict=True)], names)
+        return [found, prints]
 
     def run(batches):
-        held, size = [], 0
-        current = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            shard = t.column("shard").to_numpy()
-            cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                if b > a:
-                    if current is not None and shard[a] != current and size:
-                        yield solve(pa.concat_tables(held))
-                        held, size = [], 0
-                    current = shard[a]
-                    held.append(t.slice(a, b - a))
-                    size += b - a
-        if size:
-            yield solve(pa.concat_tables(held))
+        for t in _groups(batches, ["shard", "anchor"]):
+            yield from solve(t)
 
     return parts.mapInArrow(run, schema)
 
 
-def _merge_runs(prints: DataFrame) -> DataFrame:
-    """anchor, content, a of the strings whose fingerprint is in the run of another shard."""
+def _merged_runs(sent: DataFrame) -> DataFrame:
+    """anchor, content, a, b, content2, a2: runs of strings a to b - 1 that have the fingerprints of those from a2 on in another shard.
 
-    def run(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables).combine_chunks()
-        f, shard = t.column("f").to_numpy(), t.column("shard").to_numpy()
-        order = np.lexsort((shard, f))
-        f, shard = f[order], shard[order]
-        # a run's strings elsewhere: as many as the merged run holds, less its own
-        left, right = np.searchsorted(f, f, "left"), np.searchsorted(f, f, "right")
-        elsewhere = (shard[left] != shard) | (shard[right - 1] != shard)
-        out = t.select(["anchor", "content", "a"]).take(pa.array(order[elsewhere]))
-        yield from out.combine_chunks().to_batches()
-
-    ranges = prints.select("anchor", "content", "shard", "a", "f").repartition("f")
-    return ranges.mapInArrow(run, "anchor long, content long, a long")
+    The sorted runs of a range become one, in which each string looks for its
+    fingerprint by binary search: no shard sends a string twice.
+    """
+
+    def merge(t):
+        anchor = t.column("anchor")[0].as_py()
+        rows = np.concatenate([np.frombuffer(x, _PRINT) for x in t.column("prints").to_pylist()])
+        rows = rows[np.argsort(rows["f"], kind="stable")]
+        left, right = (np.searchsorted(rows["f"], rows["f"], side) for side in ("left", "right"))
+        mine = np.flatnonzero(right - left > 1)
+        other = np.where(left[mine] == mine, mine + 1, left[mine])
+        x = np.stack([rows["content"][mine], rows["a"][mine], rows["content"][other], rows["a"][other]], 1).astype(np.int64)
+        x = x[np.lexsort((x[:, 1], x[:, 0]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:, 0] != x[:-1, 0]) | (x[1:, 2] != x[:-1, 2]) | (x[1:, 1] != x[:-1, 1] + 1) | (x[1:, 3] != x[:-1, 3] + 1)
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(x)))
+        x = x[first]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), anchor)), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 1] + n), pa.array(x[:, 2]), pa.array(x[:, 3])], ["anchor", "content", "a", "b", "content2", "a2"])
+
+    dealt = sent.repartition("anchor", "reach", "part").sortWithinPartitions("anchor", "reach", "part")
+    return dealt.mapInArrow(lambda batches: map(merge, _groups(batches, ["anchor", "reach", "part"])), "anchor long, content long, a long, b long, content2 long, a2 long")
+
+
+def _same_bytes(runs: DataFrame, parts: DataFrame, length: int) -> DataFrame:
+    """anchor, content, a, b of those runs whose bytes are those of the other place."""
+    one = parts.select("anchor", "content", "bytes")
+    two = parts.select("anchor", F.col("content").alias("content2"), F.col("bytes").alias("bytes2"))
+    both = runs.join(one, ["anchor", "content"]).join(two, ["anchor", "content2"])
+    size = F.col("b") - F.col("a") + (length - 1)
+    cut = lambda c, a: F.substring(F.col(c), (F.col(a) + 1).cast("int"), size.cast("int"))
+    return both.where(cut("bytes", "a") == cut("bytes2", "a2")).select("anchor", "content", "a", "b")
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -318,15 +384,15 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, shard_bytes: int = S
     shards = max(64, 2 * int(total // shard_bytes + 1))
     large = sizes.where(F.col("size") > shard_bytes).select("anchor", F.ceil(F.col("size") / shard_bytes).alias("pieces"))
     dealt = parts.join(large, "anchor", "left")
-    piece = F.when(F.col("pieces").isNull(), 0).otherwise(1 + F.pmod("content", "pieces"))
     # an anchor that is too large has shards of its own
-    name = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor", piece))
-    dealt = dealt.select("anchor", "content", "bytes", name.cast("long").alias("shard"), F.col("pieces").isNotNull().alias("large"))
-    placed = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    runs = checkpointed(_shard_runs(placed.where("not large").drop("large"), length, False).select("anchor", "content", "a", "b"))
+    piece = F.xxhash64("anchor", F.pmod("content", "pieces"))
+    name = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(piece)
+    dealt = dealt.select("anchor", "content", "bytes", "pieces", name.cast("long").alias("shard"))
+    placed = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "anchor")
+    runs = checkpointed(_shard_repeats(placed.where("pieces is null"), length))
     if large.head(1):
-        both = saved(_shard_runs(placed.where("large").drop("large"), length, True))
-        cross = _merge_runs(both.where("kind = 1")).select("anchor", "content", "a", (F.col("a") + 1).alias("b"))
+        both = saved(_split_shard_runs(placed.where("pieces is not null"), length, GRAM))
+        cross = _same_bytes(_merged_runs(both.where("kind = 1").select("anchor", "reach", "part", "prints")), parts, length)
         runs = runs.unionByName(both.where("kind = 0").select("anchor", "content", "a", "b")).unionByName(cross)
     whole_segments = used.where("repeats").select("key", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
     by_segment = runs.groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs"))

@@ -234,6 +234,35 @@ def test_repeated_bytes_go(spark, shard_bytes, monkeypatch):
         assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["kept_sha256"]) == (len(b), int(cover.sum()), hashlib.sha256(kept).hexdigest()), k
 
 
+def test_rows_follow_a_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(16)
+    base = [rng.choice("abcdefgh ") for _ in range(1500)]
+    texts = []
+    for _ in range(120):
+        x = list(base)
+        for _ in range(3):
+            x[rng.randrange(len(x))] = "#"
+        texts.append("".join(x))
+    seen = []
+    real = suffix_dedup._split_shard_runs
+
+    def counted(*args):
+        seen.append(real(*args))
+        return seen[-1]
+
+    monkeypatch.setattr(suffix_dedup, "_split_shard_runs", counted)
+    monkeypatch.setattr(suffix_dedup.repeated_ranges, "__defaults__", (400, 9_000))
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    count = Counter(x[i : i + 400] for x in texts for i in range(len(x) - 399))
+    for k, x in enumerate(texts):
+        cover = np.zeros(len(x), bool)
+        for i in range(len(x) - 399):
+            if count[x[i : i + 400]] > 1:
+                cover[i : i + 400] = True
+        assert got[k] == cover.sum()
+    assert seen and seen[0].count() < 20 * len(texts)
+
+
 def shingles(text, size):
     w = [x for x in re.split(r"[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
     return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
@@ -437,3 +466,5 @@ def test_leaks_match_brute_force(spark):
 def test_sample_bound(spark):
     d, labels, _ = labelled(spark, 60)
     assert linear.labelled_sample(d, labels.unionByName(labels), "quality", F.lit(True), 20).count() == 20
+    some = linear.labelled_sample(d, labels, "quality", F.lit(True), 60, most_bytes=5_000).agg(F.sum(F.octet_length("text")), F.count("text")).head()
+    assert 0 < some[0] <= 5_000 and some[1] > 5
