@@ -1,11 +1,13 @@
 """SentencePiece encoding and decoding as shortest paths of a weighted transducer.
 
-Three machines are compiled from the model file and composed with each input:
-
-1. the normaliser: marks spaces, puts a mark before the text;
-2. the piece transducer: a trie over characters whose arcs end in pieces, each
-   with a weight of 1; a character that no piece spells leaves by its UTF-8 bytes;
-3. the pair acceptor: its state is the last piece, and it lets a piece follow
+These machines are compiled from the model file and composed with each input:
+
+1. the normaliser: the model's character map, longest match first, then its rules
+   for spaces; spaces become marks, and a mark goes before the text;
+2. the piece transducer: a trie over characters whose arcs end in pieces; a
+   character that no piece spells leaves by its UTF-8 bytes.  In a unigram model an
+   arc weighs the piece's negative log probability, in a merge model 1;
+3. for merge models the pair acceptor: its state is the last piece, and it lets a piece follow
    another only if merging the characters of both, best piece first, gives just
    these two.  A path that it accepts throughout is the merge order's own
    segmentation, so the model's ids come out, not only some cheap path.  The
@@ -16,9 +18,13 @@ in lockstep: one vectorised relaxation for each place in a word.  Words end wher
 no piece of the model spans the two characters, which leaves paths unchanged.
 Words met before are remembered up to `MEMORY_WORDS`.
 
-Models with a character map (other than identity) or without byte fallback are
-refused.  Null texts have no ids; the empty text has none either.  A text that
-itself holds the mark U+2581 decodes to a space there, as the model defines.
+Models without byte fallback, with pieces defined by users or with marks after
+words are refused.  Null texts have no ids; the empty text has none either; texts of any length
+are encoded whole.  Round trips are to the normalised text, which is the text itself
+where a model has no character map.  A text that itself holds the mark U+2581
+decodes to a space there, as the model defines.  Equal texts have equal ids and
+repeated rows a row each; no rows give no rows.  Other columns pass through;
+columns of the names that `encode` and `decode` add are replaced.
 """
 
 import hashlib
@@ -49,26 +55,121 @@ def read_model(path: str) -> dict:
     m = pb.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
+    return model_of(m)
+
+
+def model_of(m) -> dict:
     spec = m.normalizer_spec
-    if spec.precompiled_charsmap or not m.trainer_spec.byte_fallback or spec.remove_extra_whitespaces or m.trainer_spec.model_type != 2:
-        raise ValueError("only merge models with byte fallback and an identity normaliser are known")
+    kinds = {p.type for p in m.pieces}
+    if not m.trainer_spec.byte_fallback or m.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces or 4 in kinds or m.trainer_spec.model_type not in (1, 2):
+        raise ValueError("only unigram and merge models with byte fallback, marks before words and no pieces defined by users are known")
     bytes_of = {int(p.piece[3:5], 16): k for k, p in enumerate(m.pieces) if p.type == 6}
     return {
         "pieces": [p.piece if p.type == 1 else None for p in m.pieces],
         "scores": [p.score for p in m.pieces],
         "bytes": [bytes_of[b] for b in range(256)],
         "prefix": spec.add_dummy_prefix,
+        "squeeze": spec.remove_extra_whitespaces,
+        "unigram": m.trainer_spec.model_type == 1,
+        "map": character_map(spec.precompiled_charsmap),
     }
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """What a compiled character map replaces by what: all strings of its double-array trie."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, values = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    letters = np.arange(1, 256)
+    out, todo = {}, [(0, b"")]
+    while todo:
+        at, spelled = todo.pop()
+        unit = int(units[at])
+        base = at ^ ((unit >> 10) << ((unit & (1 << 9)) >> 6))
+        if unit >> 8 & 1:
+            start = int(units[base]) & 0x7FFFFFFF
+            out[spelled.decode()] = values[start : values.index(b"\0", start)].decode()
+        to = base ^ letters
+        ok = to < len(units)
+        ok[ok] = (units[to[ok]] & 0x800000FF) == letters[ok]
+        todo += [(int(k), spelled + bytes([int(c)])) for k, c in zip(to[ok], letters[ok], strict=True)]
+    return out
+
+
+class Normaliser:
+    """The character map and the rules for spaces, as one step over the texts of a block."""
+
+    def __init__(self, rules: dict[str, str], squeeze: bool):
+        self.rules, self.squeeze = rules, squeeze
+        self.longest = max(map(len, rules), default=0)
+        self.single = np.array(sorted({ord(k) for k in rules if len(k) == 1}) or [-1], np.int64)
+        self.pairs = np.array(sorted({(ord(k[0]) << 21) | ord(k[1]) for k in rules if len(k) > 1}) or [-1], np.int64)
+
+    def __call__(self, buf, offsets):
+        """Bytes and offsets of the normalised texts."""
+        if not (self.rules or self.squeeze) or not len(buf):
+            return buf, offsets
+        codes, at = code_points(buf)
+        codes = codes.astype(np.int64)
+        cut = np.searchsorted(at, offsets)
+        if self.rules:
+            codes, cut = self._mapped(codes, cut)
+        if self.squeeze:
+            space = codes == 32
+            first, last = np.zeros(len(codes), bool), np.zeros(len(codes), bool)
+            filled = cut[:-1] < cut[1:]
+            first[cut[:-1][filled]] = True
+            last[cut[1:][filled] - 1] = True
+            keep = ~space
+            keep[:-1] |= space[:-1] & ~space[1:] & ~last[:-1]  # the last of a run, unless it leads or trails
+            lead = np.flatnonzero(keep & space)
+            row = np.searchsorted(cut, lead, "right") - 1
+            letters = np.concatenate([[0], np.cumsum(~space)])
+            keep[lead[letters[lead] == letters[cut[row]]]] = False
+            cut = np.concatenate([[0], np.cumsum(keep)])[cut]
+            codes = codes[keep]
+        size = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+        out = np.frombuffer(codes.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+        return out, np.concatenate([[0], np.cumsum(size)])[cut]
+
+    def _mapped(self, codes, cut):
+        def among(table, keys):
+            k = np.searchsorted(table, keys)
+            k[k == len(table)] = 0
+            return table[k] == keys
+
+        some = among(self.single, codes)
+        some[:-1] |= among(self.pairs, (codes[:-1] << 21) | codes[1:])
+        count, new, done = np.ones(len(codes), np.int64), [], 0
+        ends = cut[np.searchsorted(cut, np.arange(len(codes)), "right")] if some.any() else cut
+        for k in np.flatnonzero(some).tolist():
+            if k < done:
+                continue
+            text = "".join(map(chr, codes[k : min(k + self.longest, int(ends[k]))].tolist()))
+            for n in range(len(text), 0, -1):  # the longest match
+                if (to := self.rules.get(text[:n])) is not None:
+                    count[k : k + n] = 0
+                    count[k] = len(to)
+                    new.append((k, to))
+                    done = k + n
+                    break
+        start = np.concatenate([[0], np.cumsum(count)])
+        out = np.repeat(codes, count)
+        for k, to in new:
+            out[start[k] : start[k] + len(to)] = [ord(c) for c in to]
+        return out, start[cut]
+
+
 class Transducer:
     """The compiled machines."""
 
     def __init__(self, model: dict):
         pieces = model["pieces"]
-        self.bytes, self.prefix = np.array(model["bytes"], np.int32), model["prefix"]
+        self.bytes, self.prefix, self.unigram = np.array(model["bytes"], np.int32), model["prefix"], model["unigram"]
+        self.normalise = Normaliser(model["map"], model["squeeze"])
         self.count = len(pieces)
-        self.size = np.array([len(p) if p else 1 for p in pieces], np.int32)
+        self.size = np.array([*(len(p) if p else 1 for p in pieces), 1], np.int32)  # after the pieces: a character spelled by bytes
         known = {p: k for k, p in enumerate(pieces) if p}
         self.byte_of = {int(k): b for b, k in enumerate(self.bytes)}
         self.spelled = [bytes([self.byte_of[k]]) if k in self.byte_of else (p or "").replace(chr(MARK), " ").encode() for k, p in enumerate(pieces)]
@@ -89,6 +190,9 @@ class Transducer:
         self.pair_keys = np.array(sorted(merges) or [-1], np.int64)
         self.pair_piece = np.array([merges[k] for k in sorted(merges)] or [0], np.int64)
         self.score = np.array(model["scores"])
+        self.weight = np.append(-self.score, 0.0) if self.unigram else np.ones(self.count + 1)
+        self.weight[-1] = 10.0 - min((model["scores"][k] for k in known.values()), default=0.0)
+        self.alone = np.array(sorted(ord(p) for p in known if len(p) == 1) or [-1], np.int64)
         char_ids = {c: known.get(chr(c), -1) for c in map(int, self.chars)}
         self.char_id = np.array([char_ids[int(c)] for c in self.chars], np.int64)
         longest = int(self.size.max())
@@ -97,8 +201,11 @@ class Transducer:
             self.spelling[k, : len(p)] = [char_ids[ord(c)] for c in p]
         # a piece that its own characters don't merge to is never an arc
         ids = np.array(sorted(known.values()), np.int64)
-        merged, n = self.merge(self.spelling[ids])
-        usable = {int(k) for k in ids[(n == 1) & (merged[:, 0] == ids)]}
+        if self.unigram:
+            usable = set(known.values())
+        else:
+            merged, n = self.merge(self.spelling[ids])
+            usable = {int(k) for k in ids[(n == 1) & (merged[:, 0] == ids)]}
         # trie
         children, piece_at = {}, [-1]
         for p, k in known.items():
@@ -192,6 +299,11 @@ class Transducer:
         end = np.repeat(first[1:], n)
         alive, node = np.arange(len(seq)), np.zeros(len(seq), np.int64)
         arcs = []
+        if self.unigram:
+            k = np.searchsorted(self.alone, seq)
+            k[k == len(self.alone)] = 0
+            bare = np.flatnonzero(self.alone[k] != seq)
+            arcs.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), self.count)))
         for k in range(self.spelling.shape[1]):
             ok = alive + k < end[alive]
             alive, node = alive[ok], node[ok]
@@ -212,22 +324,27 @@ class Transducer:
         cut = np.searchsorted(place[start], np.arange(int(n.max()) + 1))
         state = start + word[start]  # each word has one state more than characters
         begin = first[:-1] + np.arange(len(n))
-        last, cost = np.full(len(seq) + len(n), -2, np.int64), np.full(len(seq) + len(n), np.iinfo(np.int32).max, np.int64)
-        last[begin], cost[begin] = -1, 0
+        last, cost = np.full(len(seq) + len(n), -2, np.int64), np.full(len(seq) + len(n), np.inf)
+        last[begin], cost[begin] = -1, 0.0
+        hops = np.zeros(len(seq) + len(n), np.int64)
         for p in range(int(n.max())):
             s, w, x = state[cut[p] : cut[p + 1]], size[cut[p] : cut[p + 1]], piece[cut[p] : cut[p + 1]]
-            prev = last[s]
-            ok = prev == -1
-            some = np.flatnonzero(prev >= 0)
-            if len(some):
-                ok[some] = self.may_follow((prev[some] << 20) | x[some])
-            ok &= cost[s] + 1 < cost[s + w]
-            last[s[ok] + w[ok]] = x[ok]
-            cost[s[ok] + w[ok]] = cost[s[ok]] + 1
+            if self.unigram:
+                ok = last[s] != -2
+            else:
+                prev = last[s]
+                ok = prev == -1
+                some = np.flatnonzero(prev >= 0)
+                if len(some):
+                    ok[some] = self.may_follow((prev[some] << 20) | x[some])
+            far = cost[s] + self.weight[x]
+            ok &= far < cost[s + w]
+            to = s[ok] + w[ok]
+            last[to], cost[to], hops[to] = x[ok], far[ok], hops[s[ok]] + 1
         at = begin + n
         if (last[at] < 0).any():
             raise AssertionError("a word without an accepted path")
-        total = cost[at]
+        total = hops[at]
         offset = np.concatenate([[0], np.cumsum(total)])
         out = np.empty(int(offset[-1]), np.int32)
         todo, k = np.arange(len(n)), 1
@@ -237,10 +354,19 @@ class Transducer:
             at[todo] -= self.size[x]
             todo = todo[total[todo] > k]
             k += 1
-        return out, total
+        return self._spelled_out(out, total, seq, n) if self.unigram and (out == self.count).any() else (out, total)
+
+    def _spelled_out(self, ids, total, seq, n):
+        """The arcs of characters without a piece replaced by their bytes."""
+        size = self.size[ids]
+        place = np.cumsum(size) - size  # words and their ids lie one after another in the same order
+        parts = [self.bytes[np.frombuffer(chr(int(seq[p])).encode(), np.uint8)] if k == self.count else np.array([k], np.int32) for k, p in zip(ids, place, strict=True)]
+        lengths = np.array([len(x) for x in parts])
+        word = np.repeat(np.arange(len(n)), total)
+        return np.concatenate(parts).astype(np.int32), np.bincount(word, weights=lengths, minlength=len(n)).astype(np.int64)
 
     def encode(self, buf, offsets):
-        """Flat ids of all rows and where each row's begin."""
+        """Flat ids of all rows (normalised texts) and where each row's begin."""
         rows = len(offsets) - 1
         codes, at = code_points(buf)
         codes = codes.astype(np.int64)
@@ -334,7 +460,7 @@ def _machine(model: dict) -> Transducer:
 def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", out: str = "token_ids", check: str | None = None) -> DataFrame:
     """df plus the ids of `text`; null for null.
 
-    With `check`, also a column of that name: whether the ids decode to the text.
+    With `check`, also a column of that name: whether the ids decode to the (normalised) text.
     """
     small_batches(df.sparkSession)
     model = read_model(model_path)
@@ -345,6 +471,7 @@ def encode(df: DataFrame, model_path: str = MODEL, text: str = "text", out: str
         machine = _machine(model)
         for batch in batches:
             for lo, buf, offsets in utf8_chunks(batch.column(text), CHUNK):
+                buf, offsets = machine.normalise(buf, offsets)
                 ids, cut = machine.encode(buf, offsets)
                 part = batch.slice(lo, len(offsets) - 1)
                 none = part.column(text).is_null()
@@ -389,6 +516,7 @@ def transcode_digest(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
         is_byte[machine.bytes] = True
         for batch in batches:
             for lo, buf, offsets in utf8_chunks(batch.column("text"), CHUNK):
+                buf, offsets = machine.normalise(buf, offsets)
                 ids, cut = machine.encode(buf, offsets)
                 raw = buf.tobytes()
                 bytes_before = np.concatenate([[0], np.cumsum(is_byte[ids])])[cut]

@@ -339,6 +339,40 @@ def test_sentencepiece_equals_the_library():
             assert machine.decode(mine).decode() == texts[lo + k]
 
 
+def test_unigram_model_with_a_character_map_equals_the_library():
+    sp = pytest.importorskip("sentencepiece")
+    pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    m = pb.ModelProto()
+    with open(sentencepiece_fst.MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    # no model is trained: pieces of the merge model under scores by a rule
+    for k, p in enumerate(m.pieces):
+        if p.type == 1:
+            p.score = -6.0 - 3.7 * len(p.piece) ** 0.5 - (k * 7919 % 10_007) / 3001
+    m.trainer_spec.model_type = 1
+    m.normalizer_spec.remove_extra_whitespaces = True
+    rng = random.Random(18)
+    texts = ["", " ", "Hello  world\n new  ", "\t a\xa0b ﬁ É \x00x", "日本語テスト 😀😀 x", "a" * 60, "①②½ ＡＢＣ e\u0301 ｶﾞ", "x" * 300, "\r\n\r\n", "  lead", "trail  "]
+    texts += ["".join(chr(rng.choice([*range(32, 127), 233, 0x301, 0x416, 0x4E2D, 0x1F600, 0x3000, 0xFF21])) for _ in range(40)) for _ in range(60)]
+    texts += [prose(rng, 30) for _ in range(20)]
+    specs = [b""]
+    if hasattr(sp, "SentencePieceNormalizer"):
+        own = pb.ModelProto()
+        own.ParseFromString(sp.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+        specs.append(own.normalizer_spec.precompiled_charsmap)
+    for spec in specs:
+        m.normalizer_spec.precompiled_charsmap = spec
+        lib = sp.SentencePieceProcessor(model_proto=m.SerializeToString())
+        machine = sentencepiece_fst.Transducer(sentencepiece_fst.model_of(m))
+        for lo, buf, offsets in sentencepiece_fst.utf8_chunks(pa.array(texts), 300):
+            buf, offsets = machine.normalise(buf, offsets)
+            ids, cut = machine.encode(buf, offsets)
+            for k in range(len(offsets) - 1):
+                mine = ids[cut[k] : cut[k + 1]]
+                assert mine.tolist() == lib.encode(texts[lo + k]), texts[lo + k]
+                assert machine.decode(mine) == buf[offsets[k] : offsets[k + 1]].tobytes()
+
+
 def test_sentencepiece_columns(spark):
     df = docs(spark, [*ODD, "plain words"])
     out = sentencepiece_fst.decode(sentencepiece_fst.encode(df, check="same"))
