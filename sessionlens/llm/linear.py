@@ -7,7 +7,7 @@ it is small enough to travel with the task (its size is bounded by `2 ** bits`).
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,15 +18,24 @@ def held_out(parts: int, out: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(parts)) == out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, seed: int = 11) -> DataFrame:
-    """At most `rows` labelled documents (doc_id, text, label), chosen by a hash of doc_id among those that `keep` admits.
+SAMPLE_BYTES = 64 << 20
 
-    Of documents labelled twice the smaller label counts.  Rows without id or label are left out.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, most_bytes: int = SAMPLE_BYTES, seed: int = 11) -> DataFrame:
+    """At most `rows` labelled documents (doc_id, text, label) of `most_bytes` together, chosen by a hash of doc_id among those that `keep` admits.
+
+    Documents are taken whole in order of the hash as long as they fit.  Of documents
+    labelled twice the smaller label counts.  Rows without id or label are left out.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep)
     ids = ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    ids = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # `rows` ids at most
+    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
+    ids = ids.orderBy(*order).limit(rows)
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(ids), "doc_id")  # `rows` ids at most
+    sizes = sizes.groupBy("doc_id", "label").agg(F.sum("size").alias("size"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over `rows` numbers
+    fits = sizes.withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= most_bytes).select("doc_id", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id")
 
 
 def bucket(hashes, bits):
@@ -82,16 +91,28 @@ def with_scores(df: DataFrame, keep: list[str], featurise, bits: int, index: np.
     return read.mapInArrow(run, T.StructType([df.schema[c] for c in keep]).add(out, "double"))
 
 
-def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through the margins, by Newton's method with a weak prior."""
-    a, b, prior = 1.0, 0.0, 1e-2
+def platt(margins: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through the margins, by damped Newton steps.
+
+    Labels are drawn towards the middle by one case of each class, so the curve stays
+    finite where margins part the classes.
+    """
+    ones, size = labels.sum(), len(labels)
+    target = np.where(labels > 0.5, (ones + 1) / (ones + 2), 1 / (size - ones + 2))
+    unit = max(float(np.std(margins)), 1e-9)
+    x, at = margins / unit, np.array([1.0, 0.0])
+    loss = lambda at: (np.logaddexp(0, at[0] * x + at[1]) - target * (at[0] * x + at[1])).sum()
+    now = loss(at)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * margins + b, -60, 60)))
-        g = np.array([((p - labels) * margins).sum() + prior * (a - 1), (p - labels).sum() + prior * b])
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -60, 60)))
         v = p * (1 - p) + 1e-9
-        h = np.array([[(v * margins**2).sum() + prior, (v * margins).sum()], [(v * margins).sum(), v.sum() + prior]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-9:
+        g = np.array([((p - target) * x).sum(), (p - target).sum()])
+        h = np.array([[(v * x * x).sum() + 1e-9, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-9]])
+        step, share = np.linalg.solve(h, g), 1.0
+        while share > 1e-6 and loss(at - share * step) > now:
+            share /= 2
+        at = at - share * step
+        before, now = now, loss(at)
+        if before - now < 1e-10:
             break
-    return float(a), float(b)
+    return float(at[0] / unit), float(at[1])
