@@ -6,8 +6,8 @@ pairs of neighbours, pairs with one word between.  Each
 coordinate has its own learning rate; the L1 term keeps most weights at exactly
 zero, so the model that travels with the tasks is small.
 
-Scores are calibrated: margins of each fifth of the sample, under a model of the
-other four, give a logistic curve; its offset is moved half the way to equally
+Scores are calibrated: margins of each third of the sample, under a model of the
+other two, give a logistic curve; its offset is moved half the way to equally
 frequent labels, as toxic texts are rare and few of them are known.
 
 The model is fitted on a bounded sample, LABELLED_ROWS labelled documents of
@@ -30,7 +30,7 @@ from .text import LOWER, ngram_hashes, span_hashes, words
 
 BITS = 20
 LABELLED_ROWS = 8_000
-FOLDS = 5
+FOLDS = 3
 STEMS = (4, 5)
 THRESHOLD = 0.7
 
@@ -63,7 +63,7 @@ class Ftrl:
         return np.array([table[f].sum() for f in rows]) + self.bias
 
 
-def fit_ftrl(labels, rows, bits=BITS, alpha=1.0, beta=1.0, l1=4.0, l2=0.01, epochs=10, seed=5) -> Ftrl:
+def fit_ftrl(labels, rows, bits=BITS, alpha=1.0, beta=1.0, l1=4.0, l2=0.01, epochs=5, seed=5) -> Ftrl:
     """FTRL-proximal: w = -(z - sign(z) l1) / ((beta + sqrt(n)) / alpha + l2) where |z| > l1, else 0.
 
     The bias is a coordinate without the L1 term.
