@@ -112,11 +112,19 @@ def assign_clusters(sessions: DataFrame, settings: Settings = SETTINGS) -> DataF
 
 
 def number_clusters(assigned: DataFrame) -> DataFrame:
-    """cluster_key, cluster_id: signatures first, then texts, then the one without signal, each in order of first appearance."""
+    """cluster_key, cluster_id: signatures first, then texts, then the one without signal, each in order of first appearance.
+
+    Clusters are sorted in ranges; what lies before a range comes from the ranges' counts.
+    """
     first = assigned.groupBy("cluster_key").agg(F.min("row_id").alias("first"), F.first("kind").alias("kind"))
     order = F.when(F.col("kind") == "signature", 0).when(F.col("kind") == "text", 1).otherwise(2)
-    # one row a cluster
-    return first.select("cluster_key", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, "first")) - 1).alias("cluster_id"))
+    ranged = first.select("cluster_key", order.alias("k"), "first").repartitionByRange("k", "first").withColumn("part", F.spark_partition_id())
+    ranged = kept(ranged)
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy("k", "first"))
+    return ranged.withColumn("at", at).join(F.broadcast(starts), "part").select("cluster_key", (F.col("start") + F.col("at") - 1).cast("int").alias("cluster_id"))
 
 
 def confidence(assigned: DataFrame) -> DataFrame:
@@ -166,9 +174,10 @@ def label_clusters(failures: DataFrame, classified: DataFrame) -> DataFrame:
 
 def chart_rows(clusters: DataFrame, top: int = 12) -> DataFrame:
     """label, failures, confidence of the largest clusters and one row for all smaller ones."""
-    rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "cluster_id"))  # one row a cluster
-    ranked = clusters.select("cluster_id", "label", "size", "confidence", rn.alias("rn"))
-    return ranked.groupBy(F.least("rn", F.lit(top + 1)).alias("rn")).agg(
-        F.when(F.min("rn") <= top, F.concat(F.lit("#"), F.min("cluster_id").cast("string"), F.lit(": "), F.min("label"))).otherwise(F.concat(F.lit("+"), F.count(F.lit(1)).cast("string"), F.lit(" smaller"))).alias("label"),
-        F.sum("size").alias("failures"), F.avg("confidence").alias("confidence"),
-    ).orderBy("rn")
+    slim = clusters.select("cluster_id", "label", "size", "confidence")
+    best = kept(slim.orderBy(F.desc("size"), "cluster_id").limit(top))
+    rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "cluster_id"))  # `top` rows
+    named = best.select(rn.alias("rn"), F.concat(F.lit("#"), F.col("cluster_id").cast("string"), F.lit(": "), "label").alias("label"), F.col("size").alias("failures"), "confidence")
+    rest = slim.join(F.broadcast(best.select("cluster_id")), "cluster_id", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("failures"), F.avg("confidence").alias("confidence")).where("n > 0")
+    other = rest.select(F.lit(top + 1).alias("rn"), F.concat(F.lit("+"), F.col("n").cast("string"), F.lit(" smaller")).alias("label"), "failures", "confidence")
+    return named.unionByName(other).orderBy("rn")

@@ -1,15 +1,15 @@
 """The history of builds and sessions: two tables under one folder.
 
-Every change writes a whole new version beside the old one and then moves a
-pointer, so a reader never meets a half-written table and a lost executor
-costs a retry.
+Every change writes a whole new version beside the old one and then names it as
+the next, so a reader never meets a half-written table and a lost executor
+costs a retry.  A version is named once only: of two writers at a time one fails.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,30 +31,52 @@ class History:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self, table: str):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/current.txt")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+    def _folder(self, table: str):
+        jvm = self.spark.sparkContext._jvm  # files of any store that Spark reaches
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm.org.apache.hadoop.fs.Path
 
-    def _current(self, table: str) -> str | None:
-        fs, path = self._pointer(table)
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(path.toString()).head()[0]
+    def _versions(self, table: str) -> list[int]:
+        fs, folder, _ = self._folder(table)
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n[3:]) for n in names if n.startswith("at-"))
+
+    def _name(self, table: str, version: int) -> str | None:
+        row = self.spark.read.text(f"{self.path}/{table}/at-{version:012d}").head()
+        return row[0] if row else None  # empty: its writer is about to fill it
+
+    def _read(self, table: str) -> tuple[int, DataFrame]:
+        schema = BUILDS if table == "builds" else SESSIONS
+        versions = self._versions(table)
+        for v in reversed(versions):
+            if name := self._name(table, v):
+                return versions[-1], self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{name}")
+        return versions[-1] if versions else 0, self.spark.createDataFrame([], schema)
 
     def read(self, table: str) -> DataFrame:
         """The table; columns that an older version lacks are null."""
-        schema = BUILDS if table == "builds" else SESSIONS
-        at = self._current(table)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{at}") if at else self.spark.createDataFrame([], schema)
+        return self._read(table)[1]
+
+    def change(self, table: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Writes make(the table) as the next version.  If another writer was faster that is an error, and nothing is changed.
 
-    def _swap(self, table: str, df: DataFrame) -> None:
+        The version before stays for those who still read it; older ones go.
+        """
+        at, now = self._read(table)
         name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{table}/{name}")
-        fs, path = self._pointer(table)
-        out = fs.create(path, True)
+        make(now).write.parquet(f"{self.path}/{table}/{name}")
+        fs, folder, path = self._folder(table)
+        try:
+            out = fs.create(path(folder, f"at-{at + 1:012d}"), False)
+        except Exception as e:
+            fs.delete(path(folder, name), True)
+            raise RuntimeError(f"{table} was changed by another writer meanwhile; try again") from e
         out.write(bytearray(name.encode()))
         out.close()
+        for v in self._versions(table)[:-2]:
+            if old := self._name(table, v):
+                fs.delete(path(folder, old), True)
+            fs.delete(path(folder, f"at-{v:012d}"), False)
 
     def persist_build(self, meta: dict, sessions: DataFrame) -> None:
         """Stores a build and its sessions; rows of the same ids are replaced, also those of other builds."""
@@ -66,18 +88,17 @@ class History:
         text = lambda b, k: str(b.get(k) or "")
         rows = [(text(b, "hashed_id"), p, text(b, "name"), text(b, "status"), text(b, "created_at")) for p, b in builds]
         new = self.spark.createDataFrame(rows, "build_id string, project string, name string, status string, created_at string").withColumn("ingested_at", F.current_timestamp().cast("string"))
-        self._swap("builds", upsert(self.read("builds"), new.select(BUILDS.names), "build_id"))
+        self.change("builds", lambda old: upsert(old, new.select(BUILDS.names), "build_id"))
         mine = sessions.drop("project").join(F.broadcast(new.select("build_id", "project")), "build_id")  # builds of one run
-        self._swap("sessions", upsert(self.read("sessions"), mine.select(*(F.col(f.name).cast(f.dataType) for f in SESSIONS.fields)), "session_id"))
+        self.change("sessions", lambda old: upsert(old, mine.select(*(F.col(f.name).cast(f.dataType) for f in SESSIONS.fields)), "session_id"))
 
     def drop_phantoms(self, apply: bool = False) -> DataFrame:
         """Builds without sessions and those of several projects at once; with `apply` they go, the latter with their sessions."""
         bad = phantom_builds(self.read("builds"), self.read("sessions"))
         if apply:
             gone = bad.select("build_id")
-            builds, sessions = self.read("builds"), self.read("sessions")
-            self._swap("sessions", sessions.join(bad.where("synthetic").select("build_id"), "build_id", "left_anti").select(SESSIONS.names))
-            self._swap("builds", builds.join(gone, "build_id", "left_anti").select(BUILDS.names))
+            self.change("sessions", lambda old: old.join(bad.where("synthetic").select("build_id"), "build_id", "left_anti").select(SESSIONS.names))
+            self.change("builds", lambda old: old.join(gone, "build_id", "left_anti").select(BUILDS.names))
         return bad
 
     def blank_corrupted(self, apply: bool = False) -> DataFrame:
@@ -88,7 +109,7 @@ class History:
         report = repair_counts(sessions)
         if apply:
             bad = F.col("is_failure") & looks_corrupted(F.col("reason"))
-            self._swap("sessions", sessions.withColumn("reason", F.when(bad, "").otherwise(F.col("reason"))))
+            self.change("sessions", lambda old: old.withColumn("reason", F.when(bad, "").otherwise(F.col("reason"))))
         return report
 
 

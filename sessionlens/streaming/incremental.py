@@ -21,6 +21,6 @@ def fold_into(history: History):
 
     def run(batch: DataFrame, _: int) -> None:
         rows = batch.select(*(F.col(f.name).cast(f.dataType) for f in SESSIONS.fields))
-        history._swap("sessions", upsert(history.read("sessions"), rows, "session_id"))
+        history.change("sessions", lambda old: upsert(old, rows, "session_id"))
 
     return run

@@ -171,6 +171,24 @@ def test_history(spark, tmp_path):
     assert h.read("builds").count() == 2 and history.project_names("a + b, c") == ["a", "b", "c"]
 
 
+def test_of_two_writers_one_fails(spark, tmp_path):
+    h = history.History(spark, str(tmp_path / "h"))
+    s = sample_sessions(spark, 6)
+    meta = {"hashed_id": "b1", "project": "alpha", "created_at": "2026-01-01"}
+    h.persist_build(meta, s)
+
+    def slow(old):
+        h.persist_build(meta, s.limit(2))  # another writer in between
+        return old.limit(0)
+
+    with pytest.raises(RuntimeError, match="another writer"):
+        h.change("sessions", slow)
+    assert h.read("sessions").count() == 6
+    for _ in range(3):
+        h.persist_build(meta, s)
+    assert len(list((tmp_path / "h" / "sessions").glob("v-*"))) == 2
+
+
 def test_whole_run(spark, tmp_path):
     artifacts = run_triage(sample_sessions(spark, 60, builds=2))
     page = report.write_html(artifacts, str(tmp_path / "r.html"), "run")
