@@ -8,13 +8,16 @@ set of spot hashes; likeness is the Jaccard similarity of two sets.  A text
 without spots has one signature, of its whole normalised text, so that equal
 texts are always alike.
 
-`similar_pairs` compares all documents: equal sets become one class; classes are
+The fingerprint query compares the pairs that it is given, each document with its
+edited text and with the next document.  `similar_pairs` compares all documents: equal sets become one class; classes are
 partitioned by set length so that only lengths within the threshold of one
 another meet, candidates share a signature among the rarest few of both (prefix
 filter, exact), and the bound on the overlap prunes before the sets are compared.
 
-Null texts count as empty.  Rows of equal or null id are ordered by text; nulls
-come first.  Repeated rows are rows of their own.
+Null texts count as empty, and empty ones have one signature; texts of any length
+are taken whole.  Rows of equal or null id are ordered by text; nulls come first.
+Repeated rows are rows of their own.  No rows give no rows.  Only doc_id and text are
+read, so further columns of any name don't matter.
 """
 
 import math
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 CHAIN = 2
 ROWS_A_BUCKET = 20_000
+#: Beyond MOST_BUCKETS * ROWS_A_BUCKET rows the buckets hold more rows each, and their sorts spill.
 LEAST_BUCKETS, MOST_BUCKETS = 96, 16_384
 
 # Common words that serve as anchors.
@@ -104,7 +108,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     before = docs.sparkSession.createDataFrame([(b, there[i - 1]) for i, b in enumerate(there)], "_bucket int, _to int")
     extra = heads.join(before, "_bucket").select(F.lit(1).alias("_extra"), F.col("f._key").alias("_key"), F.col("f._text").alias("_text"), F.col("_to").alias("_bucket"))
     rows = slim.select(F.lit(0).alias("_extra"), "_key", "_text", "_bucket").unionByName(extra)
-    rows = rows.withColumn("_spots", spot_set(F.col("_text")))
+    # spots follow the shuffle, which the window takes over: texts alone travel
+    rows = rows.repartition("_bucket").sortWithinPartitions("_bucket", "_extra", "_key", "_text").withColumn("_spots", spot_set(F.col("_text")))
     w = Window.partitionBy("_bucket").orderBy("_extra", "_key", "_text")
     rows = rows.withColumns({"_next": F.lead("_text").over(w), "_next_spots": F.lead("_spots").over(w)}).where("_extra = 0")
     return rows.select(F.col("_key").alias(key), F.col("_text").alias(text), F.col("_spots").alias("spots"), F.col("_next").alias("next_text"), F.col("_next_spots").alias("next_spots"))
