@@ -459,7 +459,18 @@ def _(spark, d):
     return _c(spark, d).select("session_id", "locator", "screen")
 
 
-@query("t18_selectors")
+def _selector(x: str) -> str:
+    """The first pattern that gives four characters or more; what has to follow is consumed, as only the first match counts."""
+    unescaped = lambda c: "replace(replace(" + c + ", " + _q('\\"') + ", " + _q('"') + "), " + _q("\\'") + ", " + _q("'") + ")"
+    clean = lambda c: f"regexp_replace(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '[,;]+$', '')"
+    long = lambda c: f"CASE WHEN length({c}) >= 4 THEN left({c}, 300) END"
+    found = [long(unescaped(clean(f"regexp_extract({x}, {_q(fixed.JSON_SELECTOR)}, 1)")))]
+    for p in fixed.SELECTORS:
+        found.append(long(clean(f"regexp_extract({unescaped(x)}, {_q(p.replace('(?=', '(?:'))}, 1)")))
+    return f"coalesce({', '.join(found)}, '')"
+
+
+@query("t18_selectors", f"{FAILS}, x AS (SELECT {_selector(_BOTH)} AS selector FROM c) SELECT selector, count(*) AS n FROM x GROUP BY 1")
 def _(spark, d):
     return _c(spark, d).groupBy("selector").agg(F.count(F.lit(1)).alias("n"))
 
