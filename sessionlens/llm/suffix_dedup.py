@@ -388,11 +388,12 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, shard_bytes: int = S
     piece = F.xxhash64("anchor", F.pmod("content", "pieces"))
     name = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(piece)
     dealt = dealt.select("anchor", "content", "bytes", "pieces", name.cast("long").alias("shard"))
-    placed = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "anchor")
-    runs = checkpointed(_shard_repeats(placed.where("pieces is null"), length))
+    small = dealt.where("pieces is null").repartition(shards, "shard").sortWithinPartitions("shard", "anchor")
+    runs = checkpointed(_shard_repeats(small, length))
     if large.head(1):
-        both = saved(_split_shard_runs(placed.where("pieces is not null"), length, GRAM))
-        cross = _same_bytes(_merged_runs(both.where("kind = 1").select("anchor", "reach", "part", "prints")), parts, length)
+        big = saved(dealt.where("pieces is not null"))
+        both = saved(_split_shard_runs(big.repartition(shards, "shard").sortWithinPartitions("shard", "anchor"), length, GRAM))
+        cross = _same_bytes(_merged_runs(both.where("kind = 1").select("anchor", "reach", "part", "prints")), big, length)
         runs = runs.unionByName(both.where("kind = 0").select("anchor", "content", "a", "b")).unionByName(cross)
     whole_segments = used.where("repeats").select("key", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
     by_segment = runs.groupBy("anchor", "content").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
