@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import transcode_digest as byte_bpe_digest
 from .decontam import benchmark_matches
 from .langid import identify_languages
 from .minhash import near_duplicate_groups
@@ -60,7 +61,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality)}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality, op11_byte_bpe)}
+
 # All pairs that share a shingle, and the closure of their links: the brute-force form, fine at small scale.
 MINHASH_SQL = """WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
