@@ -8,6 +8,7 @@ from .byte_bpe import transcode_digest as byte_bpe_digest
 from .decontam import benchmark_matches
 from .langid import identify_languages
 from .minhash import near_duplicate_groups
+from .phrases import collocations
 from .pii import pseudonymise, surrogate_key
 from .quality import score_quality
 from .sentencepiece_fst import transcode_digest
@@ -65,7 +66,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality, op11_byte_bpe)}
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality, op11_byte_bpe, op12_phrases)}
 
 # All pairs that share a shingle, and the closure of their links: the brute-force form, fine at small scale.
 MINHASH_SQL = """WITH RECURSIVE w AS (
@@ -80,4 +85,20 @@ MINHASH_SQL = """WITH RECURSIVE w AS (
 ), reach(id, comp) AS (SELECT doc_id, doc_id FROM n UNION SELECT l.b, r.comp FROM reach r JOIN both_ways l ON l.a = r.id)
 SELECT n.doc_id, n.n AS n_shingles, min(r.comp) AS component_id, n.doc_id = min(r.comp) AS kept FROM n JOIN reach r ON r.id = n.doc_id GROUP BY n.doc_id, n.n"""
 
-ORACLE_SQL: dict[str, str] = {"op5_minhash": MINHASH_SQL}
+# All phrases counted, every cut and every longer candidate compared.
+PHRASES_SQL = """WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p
+), g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)
+), f AS MATERIALIZED (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY 1, 2), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1
+), c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
+), inner_ AS (SELECT lang, a AS b, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) AS phrase FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < k
+), most AS (SELECT lang, phrase, max(b) AS b FROM inner_ GROUP BY 1, 2
+), cuts AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, h, 2000000::HUGEINT * a // (x.f + y.f) AS score FROM c JOIN (SELECT unnest([1, 2, 3]) AS h) ON h < c.k
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:h], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[h + 1:c.k], ' ')
+  LEFT JOIN most ON most.lang = c.lang AND most.phrase = c.phrase WHERE b IS NULL OR 100 * b < 80 * a
+), one AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op5_minhash": MINHASH_SQL, "op12_phrases": PHRASES_SQL}

@@ -41,11 +41,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """As checkpointed, as a compressed table: for large intermediate results."""
+def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As checkpointed, as a compressed table: for large intermediate results.  Also its path, for `discard`."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    return saved_at(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing will read again, in any store that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
