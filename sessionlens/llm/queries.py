@@ -13,6 +13,7 @@ from .pii import pseudonymise, surrogate_key
 from .quality import score_quality
 from .sentencepiece_fst import transcode_digest
 from .sharding import shard_digest
+from .spelling import spelling_variants
 from .spotsigs import fingerprint_documents
 from .suffix_dedup import remove_repeats
 from .toxicity import score_toxicity
@@ -70,7 +71,11 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality, op11_byte_bpe, op12_phrases)}
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_spotsigs, op4_suffix_dedup, op5_minhash, op6_sentencepiece, op7_pii, op8_decontamination, op9_sharding, op10_quality, op11_byte_bpe, op12_phrases, op13_spelling)}
 
 # All pairs that share a shingle, and the closure of their links: the brute-force form, fine at small scale.
 MINHASH_SQL = """WITH RECURSIVE w AS (
@@ -94,9 +99,11 @@ PHRASES_SQL = """WITH p AS (
 ), c AS MATERIALIZED (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
 ), inner_ AS (SELECT lang, a AS b, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) AS phrase FROM c, (SELECT unnest([2, 3]) AS j) WHERE j < k
 ), most AS (SELECT lang, phrase, max(b) AS b FROM inner_ GROUP BY 1, 2
-), cuts AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, h, 2000000::HUGEINT * a // (x.f + y.f) AS score FROM c JOIN (SELECT unnest([1, 2, 3]) AS h) ON h < c.k
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:h], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[h + 1:c.k], ' ')
-  LEFT JOIN most ON most.lang = c.lang AND most.phrase = c.phrase WHERE b IS NULL OR 100 * b < 80 * a
+), left_ AS MATERIALIZED (SELECT c.* FROM c LEFT JOIN most USING (lang, phrase) WHERE b IS NULL OR 100 * b < 80 * a
+), halves AS MATERIALIZED (SELECT *, array_to_string(w[1:h], ' ') AS head, array_to_string(w[h + 1:k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS h FROM left_)
+), much AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 30
+), cuts AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, h, 2000000::HUGEINT * a // (x.f + y.f) AS score FROM halves c
+  JOIN much x ON x.lang = c.lang AND x.phrase = c.head JOIN much y ON y.lang = c.lang AND y.phrase = c.tail
 ), one AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, h) = 1
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM one)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
