@@ -169,7 +169,7 @@ class Merges:
         places = np.flatnonzero(made >= 0)
         places = places[np.argsort(made[places], kind="stable")]
         ranks, cut = np.unique(made[places], return_index=True)
-        index = {int(r): p.tolist() for r, p in zip(ranks, np.split(places, cut[1:]), strict=True)}
+        index = {int(r): p.tolist() for r, p in zip(ranks, np.split(places, cut[1:]), strict=False)}  # nothing to merge: no ranks, one empty part
         after, before = after.tolist(), before.tolist()
         waiting = list(index)  # ascending, so a heap
         odd = set()

@@ -14,9 +14,10 @@ searched whole.  Of several equally near passages the first counts.  Repeated
 documents give repeated rows, items listed twice are matched once, no rows give no
 rows.  Further columns pass through `clean_documents` whatever their names.
 
-Items are taken in blocks of at most `block`; each block is one pass over the
-documents, so the driver and the tasks hold one block at a time whatever the
-number of items.
+Documents are judged row by row, with or without an id.  They are read once: the
+items are dealt to blocks of about `block`, and each block is one step of the same
+pass, which adds its hits to those of the steps before.  A step's worker holds one
+block, the driver one at a time.
 """
 
 import re
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import spare
+from .store import small_batches, spare
 
 RATE = 0.05
-BLOCK = 5_000
+BLOCK = 20_000
 MEMO = 20_000
 
 _GAP = re.compile(r"[\W_]+")
@@ -135,44 +136,46 @@ class Matcher:
         return out
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, distance, item_chars, end_at: every pair of a document and an item that it holds within the budget.
+HITS = "array<struct<item_id:bigint,distance:int,item_chars:int,end_at:bigint>>"
+_HIT = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_chars", pa.int32()), ("end_at", pa.int64())])
 
-    Repeated documents give repeated rows; an item listed twice is matched once a text.
-    """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, hits: str, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+    """docs plus `hits`: the items that each row's text holds within the budget.  An item listed twice is matched once."""
+    small_batches(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     blocks = max(1, -(-items.count() // block))
-    out = None
+    out = docs.withColumn(hits, F.array().cast(HITS))
     for k in range(blocks):
         # a share of a hash, so a block may be a little over `block`
         part = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
 
         def run(batches, part=part):
             matcher = Matcher(part, rate)
-            length = {}
-            for item, clean, _, _ in matcher.items:
-                length[item] = len(clean.strip())
+            length = {item: len(clean.strip()) for item, clean, _, _ in matcher.items}
             for batch in batches:
-                ids, found = [], []
+                at = batch.schema.get_field_index(hits)
+                found = batch.column(at).to_pylist()
                 for row, text in enumerate(batch.column("text").to_pylist()):
-                    for hit in matcher.find(text):
-                        ids.append(row)
-                        found.append(hit)
-                if ids:
-                    item, distance, end = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(ids)), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array([length[i] for i in item], pa.int32()), pa.array(end, pa.int64())],
-                        ["doc_id", "item_id", "distance", "item_chars", "end_at"],
-                    )
-
-        got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, distance int, item_chars int, end_at long")
-        out = got if out is None else out.unionByName(got)
+                    found[row] += [{"item_id": i, "distance": d, "item_chars": length[i], "end_at": e} for i, d, e in matcher.find(text)]
+                columns = list(batch.columns)
+                columns[at] = pa.array(found, pa.list_(_HIT))
+                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+        out = out.mapInArrow(run, out.schema)
     return out
 
 
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, distance, item_chars, end_at: every pair of a document and an item that it holds within the budget.
+
+    Repeated documents give repeated rows; an item listed twice is matched once a text.
+    """
+    found = with_hits(docs.select("doc_id", "text"), benchmark, "hits", rate, block)
+    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no benchmark item; documents without an id stay, as no match can name them."""
-    name = spare("leaked", docs.columns)
-    leaked = benchmark_matches(docs, benchmark, rate).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(leaked, F.col("doc_id") == F.col(name), "left_anti")
+    """The documents that hold no benchmark item; each row is judged by its own text."""
+    name = spare("hits", docs.columns)
+    return with_hits(docs, benchmark, name, rate).where(F.size(name) == 0).drop(name)

@@ -7,10 +7,11 @@ it is small enough to travel with the task (its size is bounded by `2 ** bits`).
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import small_batches
 from .text import U64, utf8_chunks
 
 
@@ -24,17 +25,26 @@ SAMPLE_BYTES = 64 << 20
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, rows: int, most_bytes: int = SAMPLE_BYTES, seed: int = 11) -> DataFrame:
     """At most `rows` labelled documents (doc_id, text, label) of `most_bytes` together, chosen by a hash of doc_id among those that `keep` admits.
 
-    Documents are taken whole in order of the hash as long as they fit.  Of documents
-    labelled twice the smaller label counts.  Rows without id or label are left out.
+    Documents are taken whole in order of the hash; one that doesn't fit any more is
+    passed over, and smaller ones after it are still taken.  If there are labelled
+    documents and none fits, that is an error.  Of documents labelled twice the smaller
+    label counts.  Rows without id or label are left out.
     """
+    small_batches(docs.sparkSession)
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & keep)
     ids = ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
     ids = ids.orderBy(*order).limit(rows)
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(ids), "doc_id")  # `rows` ids at most
-    sizes = sizes.groupBy("doc_id", "label").agg(F.sum("size").alias("size"))
-    before = Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over `rows` numbers
-    fits = sizes.withColumn("sum", F.sum("size").over(before)).where(F.col("sum") <= most_bytes).select("doc_id", "label")
+    sizes = sizes.groupBy("doc_id", "label").agg(F.sum("size").alias("size")).orderBy(*order).collect()  # `rows` numbers at most
+    fits, room = [], most_bytes
+    for r in sizes:
+        if r["size"] <= room:
+            fits.append((r["doc_id"], r["label"]))
+            room -= r["size"]
+    if sizes and not fits:
+        raise ValueError(f"none of {len(sizes)} labelled documents is within {most_bytes} bytes")
+    fits = docs.sparkSession.createDataFrame(fits, T.StructType([T.StructField("doc_id", ids.schema["doc_id"].dataType), T.StructField("label", T.IntegerType())]))
     return docs.select("doc_id", "text").join(F.broadcast(fits), "doc_id")
 
 
@@ -72,6 +82,7 @@ def with_scores(df: DataFrame, keep: list[str], featurise, bits: int, index: np.
     The margin sums the weights of the distinct features of `text`; a null or empty
     text has the margin of the bias alone.
     """
+    small_batches(df.sparkSession)
 
     def run(batches):
         table = np.zeros(1 << bits, np.float32)
