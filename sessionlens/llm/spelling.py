@@ -37,6 +37,7 @@ from .text import LOWER, utf8_chunks
 LEAST_LETTERS, LEAST, FACTOR = 5, 3, 2
 BLOCK = 8 << 20
 SHARD_BYTES, GROUP_BYTES = 4 << 20, 16 << 20
+WORDS_A_TASK = 20_000
 MOST_ROUNDS = 64
 #: One in so many words of a document loses a letter.
 SLIP = 97
@@ -230,7 +231,7 @@ def near_words(words: DataFrame) -> DataFrame:
             room = GROUP_BYTES
         groups[-1].append(head)
         room -= letters
-    found = None
+    found, parts = None, -(-words.count() // WORDS_A_TASK) or 1
     for heads in groups:
         rows = shards.where(F.col("head").between(heads[0], heads[-1])).select("labels", "first", "counts").collect()  # GROUP_BYTES letters at most
         tries = spark.sparkContext.broadcast([tuple(map(bytes, r)) for r in rows])
@@ -250,8 +251,8 @@ def near_words(words: DataFrame) -> DataFrame:
                         most.append(n)
                 yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(near, pa.int64()), pa.array(best, pa.string()), pa.array(most, pa.int64())], ["word", "n_near", "best", "best_n"])
 
-        # dealt out anew: a word costs far more here than a row elsewhere
-        part = words.select("word").repartition("word").mapInArrow(run, "word string, n_near long, best string, best_n long")
+        # dealt out in tasks of so many words: a word costs far more here than a row elsewhere
+        part = words.select("word").repartition(parts, "word").mapInArrow(run, "word string, n_near long, best string, best_n long")
         part = saved(part)
         found = part if found is None else found.unionByName(part)
     if found is None:

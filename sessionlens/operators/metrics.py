@@ -9,12 +9,12 @@ from ..settings import SETTINGS, Settings
 
 
 def exec_metrics(sessions: DataFrame, clusters: DataFrame, risk: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """One row: totals, health, time saved and the riskiest device cell.
+    """One row: totals, health, time saved and the riskiest device cell.  `clusters` are rows a cluster, or their count as one row num_root_causes.
 
     Time saved counts every failure against the clusters, those without a reason too.
     """
     total = sessions.agg(F.count(F.lit(1)).alias("total_tests"), F.count_if("is_failure").alias("failed"))
-    groups = clusters.agg(F.count(F.lit(1)).alias("num_root_causes"))
+    groups = clusters if clusters.columns == ["num_root_causes"] else clusters.agg(F.count(F.lit(1)).alias("num_root_causes"))
     # the first row of the risk table, as it is ordered
     first = F.min_by(F.struct("device", "os_version", "os_label", "failure_rate", "risk_score", F.col("failed").alias("cell_failed"), "total", "low_sample"), F.struct(-F.col("risk_score"), -F.col("failure_rate"), "device", "os_version", "os_label"))
     worst = risk.agg(F.coalesce(F.max("risk_score"), F.lit(0.0)).alias("worst"), first.alias("top_risk_cell"))

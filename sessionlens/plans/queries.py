@@ -661,8 +661,9 @@ def _vectors(name: str, texts: str) -> str:
     )
 
 
-_TEXTS_SQL = "SELECT norm AS text, min(row_id) AS id, count(*) AS m FROM k WHERE fp = '' AND sig GROUP BY norm"
-_KEYED = f"{FAILS.replace('WITH ', 'WITH RECURSIVE ', 1)}, k AS MATERIALIZED (SELECT *, {_fp('reason')} AS fp, lower({_mask('reason')}) AS norm, {_signal('reason')} AS sig FROM c WHERE length(reason) > 0), {_vectors('vec', _TEXTS_SQL)}, near AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM vec x JOIN vec y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2 HAVING sum(x.w * y.w) >= {1 - t.SETTINGS.eps} - 1e-12), reach(id, comp) AS (SELECT id, id FROM ({_TEXTS_SQL}) UNION SELECT near.b, reach.comp FROM reach JOIN near ON near.a = reach.id), comps AS (SELECT id, min(comp) AS comp FROM reach GROUP BY 1), named AS (SELECT text AS norm, comp FROM ({_TEXTS_SQL}) JOIN comps USING (id)), kk AS (SELECT k.*, CASE WHEN fp <> '' THEN 's:' || fp WHEN NOT sig THEN 'l:' ELSE 't:' || comp END AS ckey FROM k LEFT JOIN named ON named.norm = k.norm), g AS (SELECT ckey, count(*) AS size, min(row_id) AS first, arg_min(reason, row_id) AS reason, arg_min(fp, row_id) AS fp FROM kk GROUP BY 1), num AS (SELECT *, row_number() OVER (ORDER BY CASE ckey[1] WHEN 's' THEN 0 WHEN 't' THEN 1 ELSE 2 END, first) - 1 AS cluster_id FROM g), lab AS (SELECT *, CASE WHEN ckey = 'l:' THEN {_q(fixed.LOW_SIGNAL_LABEL)} WHEN fp <> '' THEN fp ELSE CASE WHEN length({_WITH}) > 100 THEN left({_WITH}, 99) || '…' ELSE {_WITH} END END AS label FROM num)"
+# Term weights come from all failures with a reason; texts without fingerprint are compared by them.
+_TEXTS_SQL = "SELECT norm AS text, min(row_id) AS id, count(*) AS m FROM k GROUP BY norm"
+_KEYED = f"{FAILS.replace('WITH ', 'WITH RECURSIVE ', 1)}, k AS MATERIALIZED (SELECT *, {_fp('reason')} AS fp, lower({_mask('reason')}) AS norm, {_signal('reason')} AS sig FROM c WHERE length(reason) > 0), {_vectors('vec', _TEXTS_SQL)}, loose AS MATERIALIZED (SELECT norm, min(row_id) AS id FROM k GROUP BY norm HAVING bool_or(fp = '' AND sig)), lv AS MATERIALIZED (SELECT vec.* FROM vec JOIN loose USING (id)), near AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM lv x JOIN lv y ON x.term = y.term AND x.id <> y.id GROUP BY 1, 2 HAVING sum(x.w * y.w) >= {1 - t.SETTINGS.eps} - 1e-12), reach(id, comp) AS (SELECT id, id FROM loose UNION SELECT near.b, reach.comp FROM reach JOIN near ON near.a = reach.id), comps AS (SELECT id, min(comp) AS comp FROM reach GROUP BY 1), named AS (SELECT norm, comp FROM loose JOIN comps USING (id)), kk AS (SELECT k.*, CASE WHEN fp <> '' THEN 's:' || fp WHEN NOT sig THEN 'l:' ELSE 't:' || comp END AS ckey FROM k LEFT JOIN named ON named.norm = k.norm), g AS (SELECT ckey, count(*) AS size, min(row_id) AS first, arg_min(reason, row_id) AS reason, arg_min(fp, row_id) AS fp FROM kk GROUP BY 1), num AS (SELECT *, row_number() OVER (ORDER BY CASE ckey[1] WHEN 's' THEN 0 WHEN 't' THEN 1 ELSE 2 END, first) - 1 AS cluster_id FROM g), lab AS (SELECT *, CASE WHEN ckey = 'l:' THEN {_q(fixed.LOW_SIGNAL_LABEL)} WHEN fp <> '' THEN fp ELSE CASE WHEN length({_WITH}) > 100 THEN left({_WITH}, 99) || '…' ELSE {_WITH} END END AS label FROM num)"
 
 
 def _groups(spark, d):
@@ -690,7 +691,7 @@ def _(spark, d):
     return report.padded_labels(clusters.chart_rows(_groups(spark, d)[0])).select("label")
 
 
-@query("m17_confidence", f"{_KEYED}, {_vectors('all_vec', 'SELECT norm AS text, min(row_id) AS id, count(*) AS m FROM k GROUP BY norm')}, per AS (SELECT ckey, x.id, count(*) AS k FROM kk JOIN (SELECT norm, min(row_id) AS id FROM k GROUP BY norm) x ON x.norm = kk.norm GROUP BY 1, 2), sums AS (SELECT ckey, term, sum(per.k * w) AS s FROM per JOIN all_vec USING (id) GROUP BY 1, 2), sq AS (SELECT ckey, sum(s * s) AS ss FROM sums GROUP BY 1), un AS (SELECT ckey, sum(k) AS unit FROM per WHERE id IN (SELECT id FROM all_vec) GROUP BY 1) SELECT cluster_id, size, round(CASE WHEN size > 1 THEN (coalesce(ss, 0) - coalesce(unit, 0)) / (1.0 * size * (size - 1)) ELSE 1 END, 3) AS confidence FROM num LEFT JOIN sq USING (ckey) LEFT JOIN un USING (ckey)")
+@query("m17_confidence", f"{_KEYED}, per AS (SELECT ckey, x.id, count(*) AS k FROM kk JOIN (SELECT norm, min(row_id) AS id FROM k GROUP BY norm) x ON x.norm = kk.norm GROUP BY 1, 2), sums AS (SELECT ckey, term, sum(per.k * w) AS s FROM per JOIN vec USING (id) GROUP BY 1, 2), sq AS (SELECT ckey, sum(s * s) AS ss FROM sums GROUP BY 1), un AS (SELECT ckey, sum(k) AS unit FROM per WHERE id IN (SELECT id FROM vec) GROUP BY 1) SELECT cluster_id, size, round(CASE WHEN size > 1 THEN (coalesce(ss, 0) - coalesce(unit, 0)) / (1.0 * size * (size - 1)) ELSE 1 END, 3) AS confidence FROM num LEFT JOIN sq USING (ckey) LEFT JOIN un USING (ckey)")
 def _(spark, d):
     return _groups(spark, d)[0].select("cluster_id", "size", "confidence")
 
@@ -701,14 +702,14 @@ _METRICS = f"{_KEYED}, r AS ({_RISK}), x AS (SELECT (SELECT count(*) FROM s) AS
 @query("a21_exec_metrics", f"{_METRICS} SELECT n AS total_tests, n - k AS passed, k AS failed, round(1 - 1.0*k/n, 9) AS pass_rate, round(greatest(least(100*(1 - 1.0*k/n) - 15*w, 100), 0), 6) AS suite_health_index, g AS num_root_causes, round((greatest(k - g, 0)*12.0)::DOUBLE, 3) AS mttr_minutes_saved, round((greatest(k - g, 0)*12.0)::DOUBLE/60, 6) AS mttr_hours_saved FROM x")
 def _(spark, d):
     s = _s(spark, d)
-    m = metrics.exec_metrics(s, clusters.cluster_failures(s)[0], risk.device_risk(s))
+    m = metrics.exec_metrics(s, clusters.count_clusters(s), risk.device_risk(s))
     return m.select("total_tests", "passed", "failed", F.round("pass_rate", 9).alias("pass_rate"), F.round("suite_health_index", 6).alias("suite_health_index"), "num_root_causes", F.round("mttr_minutes_saved", 3).alias("mttr_minutes_saved"), F.round("mttr_hours_saved", 6).alias("mttr_hours_saved"))
 
 
 @query("a22_summary_cards", f"{_METRICS} SELECT n AS total_tests, n - k AS passed, k AS failed, round((1 - 1.0*k/n)*100, 1) AS pass_rate_pct, round(greatest(least(100*(1 - 1.0*k/n) - 15*w, 100), 0), 1) AS suite_health_index, g AS num_root_causes, round((greatest(k - g, 0)*12.0)::DOUBLE/60, 1) AS mttr_hours_saved FROM x")
 def _(spark, d):
     s = _s(spark, d)
-    return metrics.summary_cards(metrics.exec_metrics(s, clusters.cluster_failures(s)[0], risk.device_risk(s)))
+    return metrics.summary_cards(metrics.exec_metrics(s, clusters.count_clusters(s), risk.device_risk(s)))
 
 
 # --- profiling -------------------------------------------------------------

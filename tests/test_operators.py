@@ -143,10 +143,68 @@ def test_density_clusters_match_brute_force(spark, least):
         for a in core:
             comp[a] = min([comp[a], *(comp[b] for b in around[a] if b in core)])
     want = {a: comp.get(a, min((comp[b] for b in around[a] if b in core), default=None)) for a in texts}
-    got = {r["id"]: None if r["noise"] else r["comp"] for r in clusters.text_components(df, 0.3, least).collect()}
+    got = {r["id"]: None if r["noise"] else r["comp"] for r in clusters.text_components(df, clusters.term_weights(df), 0.3, least).collect()}
     assert got == want and (least == 2 or None in want.values())
 
 
+def test_weights_come_from_all_failures(spark):
+    """Two texts that are alike only if the words of failures with a fingerprint count too, and the other way round."""
+    loose = ["savings icon is not visible", "wallet banner is not visible"]
+    traces = [f"java.lang.FooException: balance {'abcdefghij'[k % 10] * (k // 10 + 2)} refused\n\tat com.gojek.Wallet.open(Wallet.java:{k})" for k in range(200)]
+    groups, _ = clusters.cluster_failures(sessions(spark, [dict(is_failure=True, reason=x) for x in loose + traces]))
+    assert sorted(r["size"] for r in groups.collect()) == [2, 200]
+    same = [f"java.lang.FooException: {'xyz'[k % 3]} icon is not visible\n\tat com.gojek.Wallet.open(Wallet.java:{k})" for k in range(200)]
+    texts = ["savings icon is not visible", "wallet icon is not visible"]
+    alone, _ = clusters.cluster_failures(sessions(spark, [dict(is_failure=True, reason=x) for x in texts]))
+    among, _ = clusters.cluster_failures(sessions(spark, [dict(is_failure=True, reason=x) for x in texts + same]))
+    assert [r["size"] for r in alone.collect()] == [2] and sorted(r["size"] for r in among.collect()) == [1, 1, 200]
+
+
+def _boilerplate(n, seed=3):
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    return [f"{name()} {name()} {name()} {name()} was not visible before the wait ended in the main window" for _ in range(n)]
+
+
+def test_similar_texts_match_brute_force(spark, monkeypatch):
+    texts = _boilerplate(600)
+    texts += [" ".join([*x.split()[:3], "zzzz", *x.split()[4:]]) for x in texts[:40]] + ["wait ended"] * 0
+    w = clusters.term_weights(spark.createDataFrame([(k, x, 1) for k, x in enumerate(texts)], "id long, text string, m long")).cache()
+    vectors = {}
+    for r in w.collect():
+        vectors.setdefault(r["id"], {})[r["term"]] = r["w"]
+    for least in (0.45, 0.2):
+        want = {(a, b) for a in vectors for b in vectors if a < b and sum(v * vectors[b].get(t, 0) for t, v in vectors[a].items()) >= least - 1e-12}
+        for block in (1000, 7):
+            monkeypatch.setattr(clusters, "BLOCK", block)
+            assert {tuple(r) for r in clusters.similar_texts(w, least).collect()} == want
+        assert len(want) >= 40
+
+
+def test_a_line_that_all_texts_share_makes_no_pairs(spark):
+    """Candidates follow the links, not the square of the texts with the line."""
+    n = 5000
+    texts = _boilerplate(n)
+    texts += [" ".join([*x.split()[:3], "zzzz", *x.split()[4:]]) for x in texts[:100]]
+    w = clusters.term_weights(spark.createDataFrame([(k, x, 1) for k, x in enumerate(texts)], "id long, text string, m long")).cache()
+    index = clusters.heads(w, 0.45)
+    links = clusters.similar_texts(w, 0.45).count()
+    candidates = clusters.candidate_pairs(index, 0.45).count()
+    assert 100 <= links <= candidates < 20 * n
+
+
+def test_cluster_rows_are_bounded_and_members_whole(spark, tmp_path):
+    rows = [dict(is_failure=True, reason="java.lang.FooException: x", session_url="" if k % 2 else f"u{k:04d}") for k in range(300)] + [dict(is_failure=True, reason="BarError: y")]
+    groups, failures = clusters.cluster_failures(sessions(spark, rows), examples=5)
+    first = groups.head()
+    assert (first["size"], len(first["session_ids"]), first["session_urls"]) == (300, 5, [f"u{k:04d}" for k in range(0, 10, 2)])
+    every, _ = clusters.cluster_failures(sessions(spark, rows), examples=None)
+    assert len(every.head()["session_ids"]) == 300 and every.head()["session_ids"][:5] == first["session_ids"]
+    clusters.write_members(failures, str(tmp_path / "members"))
+    back = spark.read.parquet(str(tmp_path / "members"))
+    assert back.count() == 301 and clusters.cluster_sessions(back, [first["cluster_id"]]).count() == 300
+
+
 def test_cluster_category_ties_go_to_the_first(spark):
     f = spark.createDataFrame([(0, "a", 1), (0, "b", 2)], "cluster_id int, session_id string, row_id long")
     c = spark.createDataFrame([("a", "x", "o"), ("b", "y", "o")], "session_id string, category string, owner string")
