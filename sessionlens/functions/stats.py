@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -135,14 +137,41 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(erfc(F.abs(z) / math.sqrt(2)), F.lit(1.0))
 
 
+@lru_cache(maxsize=32)
+def _partition_numerator(parts: int) -> tuple[int, tuple[int, ...]]:
+    """(L, c) with 1 / ((1 - q) (1 - q) (1 - q^2) ... (1 - q^parts)) = sum c_k q^k / (1 - q^L)^(parts + 1)."""
+    period = math.lcm(*range(1, parts + 1))
+    out = [1]
+    for step in (1, *range(1, parts + 1)):
+        wide = [0] * (len(out) + period - step)
+        for k in range(0, period, step):  # (1 - q^L) / (1 - q^step)
+            for i, c in enumerate(out):
+                wide[i + k] += c
+        out = wide
+    return period, tuple(out)
+
+
+def partitions_up_to(x: int, parts: int) -> int:
+    """How many partitions into at most `parts` parts have a sum of x or less."""
+    if x < 0:
+        return 0
+    period, numerator = _partition_numerator(parts)
+    whole, rest = divmod(x, period)
+    return sum(numerator[k] * math.comb(whole - j + parts, parts) for j, k in enumerate(range(rest, len(numerator), period)) if j <= whole)
+
+
 def mann_whitney_exact(u: float, n: int, m: int) -> float:
-    """Two-sided p of U without ties, from the exact distribution."""
-    top = max(u, n * m - u)
-    ways = [1] + [0] * (n * m)
-    for i in range(1, n + 1):  # Gaussian binomial, factor by factor
-        for k in range(n * m, m + i - 1, -1):
-            ways[k] -= ways[k - m - i]
-        for k in range(i, n * m + 1):
-            ways[k] += ways[k - i]
-    total = math.comb(n + m, n)
-    return min(1.0, 2 * sum(ways[math.ceil(top) :]) / total)
+    """Two-sided p of U without ties, from the exact distribution; the smaller size has to be small (8 and less in use).
+
+    Rank sums of n among n + m are partitions into at most n parts of at most m.  Parts
+    over m are counted out by inclusion and exclusion over n bounds, and each count
+    is a polynomial in the sum, so the work doesn't depend on the larger size.
+    """
+    n, m = min(n, m), max(n, m)
+    low = math.floor(min(u, n * m - u))
+    shifts = Counter({0: 1})  # sums over sets of m + 1 ... m + n, signed by the size of the set
+    for i in range(1, n + 1):
+        for shift, sign in list(shifts.items()):
+            shifts[shift + m + i] -= sign
+    ways = sum(sign * partitions_up_to(low - shift, n) for shift, sign in shifts.items() if shift <= low)
+    return min(1.0, 2 * ways / math.comb(n + m, n))

@@ -14,7 +14,8 @@ from .graph import kept
 
 DIMENSIONS = ("platform", "device", "os_label", "feature_area", "app_version")
 RANGES = 200
-MOST_EXACT = 20_000
+EXACT_SIDE = 8
+SKETCH, BRACKET = 1_000, 0.004
 METRICS = ("app_cpu_mean", "app_cpu_max", "app_mem_max_mb", "device_cpu_mean", "device_mem_used_max_mb")
 
 
@@ -94,12 +95,38 @@ def category_by_dimension(failures: DataFrame, dimension: str = "os_label") -> D
     return out.select("category", "level", "observed", "expected", "residual", F.when(F.col("some"), F.col("x")).alias("chi2"), F.when(F.col("some"), chi2_tail(F.col("x"), F.greatest(F.col("df"), F.lit(1)))).alias("p_value")).orderBy("category", "level")
 
 
+def group_medians(values: DataFrame, key: str, v: str, least: int = 1) -> DataFrame:
+    """key, n, med, top (largest), avg of v in every group of `least` rows or more; rows without key or value don't count.
+
+    A sketch brackets the middle of each group closely; the values below the bracket
+    are only counted and those in it are put in order, equal ones as one row, so a task
+    never holds a group.  Where the sketch has missed the middle, the side that
+    has it is put in order instead: the result is exact anyway.
+    """
+    rows = values.where(F.col(key).isNotNull() & F.col(v).isNotNull()).select(F.col(key).alias("key"), F.col(v).cast("double").alias("v"))
+    near = F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH)
+    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), near.alias("near"), F.max("v").alias("top"), F.avg("v").alias("avg")).where(F.col("n") >= least)
+    stats = stats.withColumns({"lo": F.get("near", F.lit(0)), "hi": F.get("near", F.lit(1))}).drop("near")
+    placed = rows.join(stats.select("key", "n", "lo", "hi"), "key").withColumn("side", F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") <= F.col("hi"), 1).otherwise(2))
+    sides = placed.groupBy("key", "side").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("key").orderBy("side").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # three rows a group
+    sides = sides.withColumn("before", before)
+    middles = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)))
+    wanted = stats.select("key", F.explode(middles).alias("at")).join(sides, "key").where("before < at and at <= before + k").select("key", "side", "at", "before")
+    held = placed.join(wanted.select("key", "side").distinct(), ["key", "side"], "left_semi").groupBy("key", "side", "v").agg(F.count(F.lit(1)).alias("t"))
+    upto = F.sum("t").over(Window.partitionBy("key", "side").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("upto", upto)
+    hits = held.join(wanted, ["key", "side"]).where((F.col("before") + F.col("upto") >= F.col("at")) & (F.col("before") + F.col("upto") - F.col("t") < F.col("at")))
+    # one value or two; equal values at both places are two rows
+    return stats.drop("lo", "hi").join(hits.groupBy("key").agg(F.avg("v").alias("med")), "key").withColumnRenamed("key", key)
+
+
 def duration_outliers(sessions: DataFrame, z: float = 3.5, settings: Settings = SETTINGS) -> DataFrame:
     """Scenarios with a session far slower than their median, by robust scores."""
     known = sessions.where("name is not null and duration is not null").select("name", "duration")
-    med = known.groupBy("name").agg(F.count(F.lit(1)).alias("sessions"), F.median("duration").alias("med"), F.max("duration").alias("slowest")).where(F.col("sessions") >= settings.min_group)
-    spread = known.join(med, "name").withColumn("gap", F.abs(F.col("duration") - F.col("med")))
-    spread = spread.groupBy("name").agg(F.first("sessions").alias("sessions"), F.first("med").alias("med"), F.first("slowest").alias("slowest"), F.median("gap").alias("mad"), F.avg("gap").alias("ad"))
+    med = kept(group_medians(known, "name", "duration", settings.min_group).select("name", F.col("n").alias("sessions"), "med", F.col("top").alias("slowest")))
+    gaps = known.join(med.select("name", "med"), "name").select("name", F.abs(F.col("duration") - F.col("med")).alias("gap"))
+    spread = med.join(group_medians(gaps, "name", "gap").select("name", F.col("med").alias("mad"), F.col("avg").alias("ad")), "name")
     over = F.col("slowest") - F.col("med")
     score = F.when(F.col("mad") > 0, 0.6745 * over / F.col("mad")).when(F.col("ad") > 0, over / (1.253314 * F.col("ad")))
     out = spread.withColumn("score", score).where(F.col("score") >= z)
@@ -153,13 +180,15 @@ def performance_vs_failure(sessions: DataFrame, metrics: tuple[str, ...] = METRI
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
     top = F.greatest(F.col("u"), F.col("n1") * F.col("n2") - F.col("u"))
     z = (top - F.col("n1") * F.col("n2") / 2.0 - 0.5) / sd
-    # the distribution of U has n1 * n2 + 1 values, so it is exact where that is short and the normal limit rough
-    exact = (F.least("n1", "n2") <= 8) & (F.greatest("n1", "n2") <= MOST_EXACT) & (F.col("ties") == 0)
-    g = g.withColumns({"z": z, "exact": exact, "pe": _exact_p(F.when(exact, F.col("u")).otherwise(0.0), F.when(exact, F.col("n1")).otherwise(1), F.when(exact, F.col("n2")).otherwise(1))})
-    p = F.when(F.col("exact"), F.col("pe")).when(F.col("z") <= 0, F.lit(1.0)).otherwise(normal_two_sided(F.col("z")))
+    # the exact distribution where a side is small and nothing is tied, as the normal limit is rough there
+    exact = (F.least("n1", "n2") <= EXACT_SIDE) & (F.col("ties") == 0)
+    g = kept(g.withColumns({"z": z, "exact": exact}))  # a row a metric
+    limit = F.when(F.col("z") <= 0, F.lit(1.0)).otherwise(normal_two_sided(F.col("z")))
+    small, large = g.where("exact"), g.where("not exact").withColumn("p", limit)
+    g = small.withColumn("p", _exact_p("u", "n1", "n2")).unionByName(large)
     out = g.select(
         "metric", F.round("m1", 1).alias("failed_median"), F.round("m2", 1).alias("passed_median"), F.col("n1").alias("failed_n"), F.col("n2").alias("passed_n"),
-        F.round(2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1, 2).alias("effect"), "u", "z", p.alias("p_value"),
+        F.round(2 * F.col("u") / (F.col("n1") * F.col("n2")) - 1, 2).alias("effect"), "u", "z", F.col("p").alias("p_value"),
     )
     return out.withColumn("significant", F.col("p_value") < settings.alpha).orderBy("p_value", "metric")
 

@@ -621,13 +621,20 @@ def _(spark, d):
     return cards.select("headline", "failures", "sessions", "comparison", "so_what", "strength", "odds_ratio", "dimension", "level")
 
 
+def _erfc(x: str) -> str:
+    """Complementary error function of x >= 0: its series, and beyond 2.5 the continued fraction."""
+    series = f"1 - 2/sqrt(pi())*{x}*list_sum(list_transform(range(0, 60), lambda n: CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * exp(n*ln(greatest({x}*{x}, 1e-300)) - lgamma(n + 1.0))/(2*n + 1)))"
+    fraction = f"exp(-{x}*{x})/sqrt(pi())/list_reduce(list_prepend({x}::DOUBLE, list_transform(range(80, 0, -1), lambda n: n::DOUBLE)), lambda a, n: {x} + n/(2*a))"
+    return f"(CASE WHEN {x} < 2.5 THEN {series} ELSE {fraction} END)"
+
+
 _CHI = "o AS (SELECT category, os_label AS level, count(*) AS o FROM c GROUP BY 1, 2), rr AS (SELECT category, sum(o) AS rn FROM o GROUP BY 1), cc AS (SELECT level, sum(o) AS cn FROM o GROUP BY 1), nn AS (SELECT sum(o) AS n FROM o), g AS (SELECT category, level, coalesce(o, 0) AS observed, rn*cn/n AS expected FROM rr CROSS JOIN cc CROSS JOIN nn LEFT JOIN o USING (category, level))"
 
 
-@query("a18_category_by_os", f"{FAILS}, {_CHI} SELECT category, level, observed, round(expected, 6) AS expected, round((observed - expected)/sqrt(expected), 2) AS residual, round(sum((observed - expected)*(observed - expected)/expected) OVER (), 6) AS chi2 FROM g")
+@query("a18_category_by_os", f"{FAILS}, {_CHI} SELECT category, level, observed, round(expected, 6) AS expected, round((observed - expected)/sqrt(expected), 2) AS residual, round(x, 6) AS chi2, round(least(CASE WHEN df % 2 = 1 THEN {_erfc('sqrt(x/2)')} ELSE 0 END + coalesce(list_sum(list_transform(range(0, df // 2), lambda i: exp((i + CASE WHEN df % 2 = 1 THEN 0.5 ELSE 0 END)*ln(x/2) - x/2 - lgamma(i + 1 + CASE WHEN df % 2 = 1 THEN 0.5 ELSE 0 END)))), 0), 1), 9) AS p_value FROM (SELECT *, sum((observed - expected)*(observed - expected)/expected) OVER () AS x, ((SELECT count(*) FROM rr) - 1)*((SELECT count(*) FROM cc) - 1) AS df FROM g)")
 def _(spark, d):
     out = inference.category_by_dimension(_c(spark, d))
-    return out.select("category", "level", "observed", F.round("expected", 6).alias("expected"), "residual", F.round("chi2", 6).alias("chi2"))
+    return out.select("category", "level", "observed", F.round("expected", 6).alias("expected"), "residual", F.round("chi2", 6).alias("chi2"), F.round("p_value", 9).alias("p_value"))
 
 
 @query("a15_duration_outliers", f"{BASE}, m AS (SELECT name, count(*) AS sessions, median(duration) AS med, max(duration) AS slow FROM s GROUP BY 1 HAVING count(*) >= 5), q AS (SELECT name, sessions, med, slow, median(abs(duration - med)) AS mad, avg(abs(duration - med)) AS ad FROM s JOIN m USING (name) GROUP BY 1, 2, 3, 4), z AS (SELECT *, CASE WHEN mad > 0 THEN 0.6745*(slow - med)/mad WHEN ad > 0 THEN (slow - med)/(1.253314*ad) END AS score FROM q) SELECT name, sessions, round(med, 1) AS median_seconds, round(slow, 1) AS slowest_seconds, CASE WHEN med <> 0 THEN round(slow/med, 1) ELSE 0 END AS ratio, round(score, 1) AS modified_z FROM z WHERE score >= 3.5")
@@ -635,9 +642,9 @@ def _(spark, d):
     return inference.duration_outliers(_s(spark, d))
 
 
-@query("a19_performance_vs_failure", f"{BASE}, l AS (SELECT is_failure, 'app_cpu_mean' AS metric, app_cpu_mean AS v FROM s UNION ALL SELECT is_failure, 'app_cpu_max', app_cpu_max FROM s UNION ALL SELECT is_failure, 'app_mem_max_mb', app_mem_max_mb FROM s), k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY metric, v) AS c FROM l WHERE v IS NOT NULL), g AS (SELECT metric, count(*) FILTER (is_failure) AS n1, count(*) FILTER (NOT is_failure) AS n2, sum(rk) FILTER (is_failure) AS rs, sum(1.0*c*c - 1) AS ties, median(v) FILTER (is_failure) AS m1, median(v) FILTER (NOT is_failure) AS m2 FROM k GROUP BY 1) SELECT metric, round(m1, 1) AS failed_median, round(m2, 1) AS passed_median, n1 AS failed_n, n2 AS passed_n, round(2*(rs - n1*(n1+1)/2.0)/(n1*n2) - 1, 2) AS effect, round(rs - n1*(n1+1)/2.0, 3) AS u, round((greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))), 6) AS z FROM g")
+@query("a19_performance_vs_failure", f"{BASE}, l AS (SELECT is_failure, 'app_cpu_mean' AS metric, app_cpu_mean AS v FROM s UNION ALL SELECT is_failure, 'app_cpu_max', app_cpu_max FROM s UNION ALL SELECT is_failure, 'app_mem_max_mb', app_mem_max_mb FROM s), k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY metric, v) AS c FROM l WHERE v IS NOT NULL), g AS (SELECT metric, count(*) FILTER (is_failure) AS n1, count(*) FILTER (NOT is_failure) AS n2, sum(rk) FILTER (is_failure) AS rs, sum(1.0*c*c - 1) AS ties, median(v) FILTER (is_failure) AS m1, median(v) FILTER (NOT is_failure) AS m2 FROM k GROUP BY 1), zz AS (SELECT metric, round(m1, 1) AS failed_median, round(m2, 1) AS passed_median, n1 AS failed_n, n2 AS passed_n, round(2*(rs - n1*(n1+1)/2.0)/(n1*n2) - 1, 2) AS effect, round(rs - n1*(n1+1)/2.0, 3) AS u, round((greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))), 6) AS z, (greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))) AS z0 FROM g), pp AS (SELECT *, CASE WHEN z0 <= 0 THEN 1 ELSE least({_erfc('(z0/sqrt(2))')}, 1) END AS p FROM zz) SELECT * EXCLUDE (z0, p), round(p, 9) AS p_value, p < 0.05 AS significant FROM pp")
 def _(spark, d):
-    return inference.performance_vs_failure(_s(spark, d)).select("metric", "failed_median", "passed_median", "failed_n", "passed_n", "effect", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"))
+    return inference.performance_vs_failure(_s(spark, d)).select("metric", "failed_median", "passed_median", "failed_n", "passed_n", "effect", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"), F.round("p_value", 9).alias("p_value"), "significant")
 
 
 @query("a14_time_split", f"{BASE}, x AS (SELECT sum(browserstack_seconds) AS b, sum(user_seconds) AS u FROM s) SELECT round(b, 1) AS browserstack_seconds, round(u, 1) AS user_seconds, round(100*b/(b+u), 1) AS browserstack_pct, round(100*u/(b+u), 1) AS user_pct FROM x WHERE b + u > 0")

@@ -85,6 +85,34 @@ def test_outlier_with_equal_durations(spark):
     assert [(r["name"], r["slowest_seconds"], r["ratio"]) for r in got] == [("t", 600.0, 60.0)]
 
 
+@pytest.mark.parametrize("sketch", [1000, 1])
+def test_group_medians_are_exact(spark, monkeypatch, sketch):
+    """Hot, tied and tiny groups; with a sketch so coarse that it misses, too."""
+    import statistics
+
+    monkeypatch.setattr(inference, "SKETCH", sketch)
+    rng = random.Random(9)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(5001)] + [("tied", float(rng.choice([1, 1, 1, 2]))) for _ in range(400)] + [("two", 1.0), ("two", 4.0), ("one", 3.0), (None, 1.0), ("one", None)]
+    rows += [("steps", float(k // 100)) for k in range(1000)]
+    df = spark.createDataFrame(rows, "name string, v double").repartition(7)
+    got = {r["name"]: (r["n"], r["med"], r["top"]) for r in inference.group_medians(df, "name", "v").collect()}
+    groups = {}
+    for k, v in rows:
+        if k and v is not None:
+            groups.setdefault(k, []).append(v)
+    assert got == {k: (len(v), pytest.approx(statistics.median(v)), max(v)) for k, v in groups.items()}
+    assert set(r["name"] for r in inference.group_medians(df, "name", "v", 3).collect()) == {"hot", "tied", "steps"}
+
+
+def test_rank_test_with_a_small_side_is_exact(spark):
+    v = [5.5, 7.25, 9.5, 100.75, 101.5] + [float(k) for k in range(25_000)]
+    s = sessions(spark, [dict(is_failure=k < 5) for k in range(len(v))]).join(spark.createDataFrame(list(enumerate(v)), "row_id long, app_cpu_mean double"), "row_id")
+    r = inference.performance_vs_failure(s, ("app_cpu_mean",)).head()
+    from sessionlens.functions import stats
+
+    assert r["failed_n"] == 5 and r["p_value"] == stats.mann_whitney_exact(r["u"], 5, 25_000) and r["p_value"] < 1e-4
+
+
 def test_time_split(spark):
     r = inference.time_split(sessions(spark, [{}, {}])).head()
     assert (r["browserstack_pct"], r["user_pct"]) == (25.0, 75.0)

@@ -53,3 +53,22 @@ def test_mann_whitney_exact():
     for u in range(n * m + 1):
         top = max(u, n * m - u)
         assert stats.mann_whitney_exact(u, n, m) == pytest.approx(min(1.0, 2 * sum(x >= top for x in us) / len(us)))
+
+
+def test_mann_whitney_exact_is_whole_at_any_size():
+    """Against counts by the recurrence of the distribution, and at sizes where only closed counts are possible."""
+    n, m = 6, 40
+    ways = {(0, 0): 1}
+    for k in range(1, n + m + 1):  # subsets of 1 ... n + m by size and sum
+        for (size, total), c in list(ways.items()):
+            if size < n:
+                ways[size + 1, total + k] = ways.get((size + 1, total + k), 0) + c
+    counts = [ways.get((n, u + n * (n + 1) // 2), 0) for u in range(n * m + 1)]
+    assert sum(counts) == math.comb(n + m, n)
+    for u in (0, 1, 7, 60, 119, 120, 121, 233, 240):
+        low = min(u, n * m - u)
+        assert stats.mann_whitney_exact(u, n, m) == min(1.0, 2 * sum(counts[: low + 1]) / math.comb(n + m, n)) == stats.mann_whitney_exact(u, m, n)
+    for u in (2_600_000, 1_500_000):
+        z = (8_000_000 - u - 4_000_000 - 0.5) / math.sqrt(8 * 1_000_000 * 1_000_009 / 12)
+        assert stats.mann_whitney_exact(u, 8, 1_000_000) == pytest.approx(math.erfc(z / math.sqrt(2)), abs=0.002)
+    assert stats.mann_whitney_exact(3, 8, 10**9) == pytest.approx(2 * 7 / math.comb(10**9 + 8, 8))
