@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.history import SESSIONS, History, upsert
+from ..sources.history import History
 from ..sources.sessions import RAW, normalize_sessions
 
 
@@ -20,7 +20,6 @@ def fold_into(history: History):
     """A foreachBatch function; a batch given twice changes nothing, as sessions are replaced by id."""
 
     def run(batch: DataFrame, _: int) -> None:
-        rows = batch.select(*(F.col(f.name).cast(f.dataType) for f in SESSIONS.fields))
-        history.change("sessions", lambda old: upsert(old, rows, "session_id"))
+        history.put_sessions(batch)
 
     return run

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlens import cli, settings
 from sessionlens.plans import report
@@ -184,9 +185,89 @@ def test_of_two_writers_one_fails(spark, tmp_path):
     with pytest.raises(RuntimeError, match="another writer"):
         h.change("sessions", slow)
     assert h.read("sessions").count() == 6
+    assert len(list((tmp_path / "h" / "versions").glob("at-*"))) == 2
     for _ in range(3):
         h.persist_build(meta, s)
-    assert len(list((tmp_path / "h" / "sessions").glob("v-*"))) == 2
+    assert len(list((tmp_path / "h" / "versions").glob("at-*"))) == 2
+    named = {p for v in h._versions() for t in ("builds", "sessions") for _, p in h._files_of(v)[t]}
+    assert {str(x.relative_to(tmp_path / "h")) for x in (tmp_path / "h").glob("*/v-*/bucket=*")} == named
+
+
+def test_a_build_rewrites_only_files_with_its_sessions(spark, tmp_path):
+    h = history.History(spark, str(tmp_path / "h"), {"builds": 2, "sessions": 5})
+    s = sample_sessions(spark, 40)
+    old, some = s.where("row_id % 2 = 0"), s.where("row_id % 2 = 1")
+    h.persist_build({"hashed_id": "b1", "project": "p"}, old)
+    first = h.version()[1]["sessions"]
+    h.persist_build({"hashed_id": "b2", "project": "p"}, some)
+    second = h.version()[1]["sessions"]
+    assert all(x in second for x in first)  # new ids: nothing is written anew
+    one = old.limit(1)
+    h.persist_build({"hashed_id": "b3", "project": "p"}, one)
+    third = h.version()[1]["sessions"]
+    assert len([x for x in second if x not in third]) == 1
+    rows = {r["session_id"]: r["build_id"] for r in h.read("sessions").collect()}
+    assert len(rows) == h.read("sessions").count() == 40 and rows[one.head()["session_id"]] == "b3"
+
+
+def test_a_crash_between_the_tables_changes_nothing(spark, tmp_path, monkeypatch):
+    h = history.History(spark, str(tmp_path / "h"))
+    s = sample_sessions(spark, 6)
+    h.persist_build({"hashed_id": "b1", "project": "p"}, s)
+    whole, plain = h.version(), h._put
+
+    def broken(files, table, rows):
+        if table == "sessions":
+            raise OSError("lost")
+        plain(files, table, rows)
+
+    monkeypatch.setattr(h, "_put", broken)
+    with pytest.raises(OSError, match="lost"):
+        h.persist_build({"hashed_id": "b2", "project": "p"}, s)
+    assert h.version() == whole and [r["build_id"] for r in h.read("builds").collect()] == ["b1"]
+    (tmp_path / "h" / "versions" / "at-000000000002").write_text("")  # a writer that was lost before it named its files
+    assert h.read("sessions").count() == 6
+    monkeypatch.undo()
+    h.persist_build({"hashed_id": "b2", "project": "p"}, s)
+    assert h.version()[0] == 3 and {r["build_id"] for r in h.read("sessions").collect()} == {"b2"}
+
+
+def test_many_small_files_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "MOST_FILES", 3)
+    h = history.History(spark, str(tmp_path / "h"), {"builds": 1, "sessions": 1})
+    for k in range(7):
+        h.persist_build({"hashed_id": f"b{k}", "project": "p"}, sample_sessions(spark, 2).withColumn("session_id", F.concat(F.lit(f"{k}-"), "session_id")))
+        assert len(h.version()[1]["sessions"]) <= 4
+    assert h.read("sessions").count() == 14 and h.read("builds").count() == 7
+
+
+def test_older_files_lack_columns(spark, tmp_path):
+    import datetime
+
+    h = history.History(spark, str(tmp_path / "h"))
+    start = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None) - datetime.timedelta(seconds=1)
+    h.persist_build({"hashed_id": "b1", "project": "p"}, sample_sessions(spark, 8))
+    stored = datetime.datetime.fromisoformat(h.read("builds").head()["ingested_at"])
+    assert start <= stored <= start + datetime.timedelta(minutes=5)
+    for _, p in h.version()[1]["sessions"]:
+        rows = spark.read.parquet(str(tmp_path / "h" / p)).drop("app_version").toPandas()
+        for f in (tmp_path / "h" / p).iterdir():
+            f.unlink()
+        rows.to_parquet(tmp_path / "h" / p / "part-0.parquet")
+    old = h.read("sessions")
+    assert old.columns == history.SESSIONS.names and old.where("app_version is null").count() == 8
+    h.persist_build({"hashed_id": "b2", "project": "p"}, sample_sessions(spark, 8).limit(3))
+    assert h.read("sessions").where("app_version is null").count() == 5
+
+
+def test_replayed_stream_batches_change_nothing(spark, tmp_path):
+    h = history.History(spark, str(tmp_path / "h"))
+    from sessionlens.streaming.incremental import fold_into
+
+    fold, s = fold_into(h), sample_sessions(spark, 9)
+    for k in (0, 1, 0):
+        fold(s.where(f"row_id % 2 = {k}"), k)
+    assert h.read("sessions").count() == 9
 
 
 def test_whole_run(spark, tmp_path):
