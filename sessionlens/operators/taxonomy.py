@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.literals import LiteralIndex
 from ..functions.text import extract_locator, extract_screen, extract_selector, has_error, rx, text_of
 from ..settings import SETTINGS, Settings
 
@@ -26,8 +27,15 @@ class Rule:
     statuses: tuple[str, ...] = ()
     max_seconds: float | None = None
 
-    def matches(self, text: Column, duration: Column, status: Column) -> Column:
-        any_of = lambda ps: text.rlike(rx("|".join(f"(?:{p})" for p in ps), "i"))
+    def matches(self, text: Column, found: Column, index: LiteralIndex, duration: Column, status: Column) -> Column:
+        """found: the literals of `index` that the text holds."""
+
+        def any_of(patterns):
+            out = F.lit(False)
+            for p in patterns:
+                out = out | (index.may_match(found, [p]) & text.rlike(rx(p, "i")))
+            return index.may_match(found, list(patterns)) & out
+
         weak = F.lit(False)
         if self.statuses:
             weak = weak | F.lower(status).isin(*self.statuses)
@@ -38,6 +46,10 @@ class Rule:
         return (any_of(self.patterns) | weak) if self.patterns else weak
 
 
+def index_of(rules: list[Rule]) -> LiteralIndex:
+    return LiteralIndex([p for r in rules for p in (*r.patterns, *r.excludes)])
+
+
 def default_rules(settings: Settings = SETTINGS) -> list[Rule]:
     rules = [Rule(c, o, d, p) for c, o, d, p in fixed.TAXONOMY]
     last = rules.pop()
@@ -57,13 +69,21 @@ def load_rules(settings: Settings = SETTINGS) -> list[Rule]:
 
 
 def classify(reason: Column, log_text: Column, duration: Column, status: Column, rules: list[Rule] | None = None) -> Column:
-    """The category as one CASE over the rules."""
-    text = F.concat(text_of(reason), F.lit("\n"), text_of(log_text))
-    out = None
-    for r in rules or load_rules():
-        hit = F.coalesce(r.matches(text, F.coalesce(duration, F.lit(0.0)), text_of(status)), F.lit(False))
-        out = F.when(hit, r.category) if out is None else out.when(hit, r.category)
-    return out.when(~has_error(text), fixed.NO_DIAGNOSTICS[0]).otherwise(fixed.UNCATEGORIZED[0])
+    """The category as one CASE over the rules; only patterns whose literals the text holds are run."""
+    rules = rules or load_rules()
+    index = index_of(rules)
+    joined = F.concat(text_of(reason), F.lit("\n"), text_of(log_text))
+
+    def of(x: Column) -> Column:
+        text, found, out = x["text"], x["found"], None
+        for r in rules:
+            hit = F.coalesce(r.matches(text, found, index, x["duration"], x["status"]), F.lit(False))
+            out = F.when(hit, r.category) if out is None else out.when(hit, r.category)
+        return out.when(~has_error(text), fixed.NO_DIAGNOSTICS[0]).otherwise(fixed.UNCATEGORIZED[0])
+
+    # text and literals are made once a row
+    known = F.struct(joined.alias("text"), index.found(joined).alias("found"), F.coalesce(duration, F.lit(0.0)).alias("duration"), text_of(status).alias("status"))
+    return F.get(F.transform(F.array(known), of), F.lit(0))
 
 
 def _known(rules: list[Rule] | None) -> dict[str, tuple[str, str]]:

@@ -61,6 +61,29 @@ def test_taxonomy_order(spark, reason, duration, status, want):
     assert df.select(taxonomy.classify(F.col("r"), F.lit(""), F.col("d"), F.col("s")).alias("c")).head()["c"] == want
 
 
+def test_few_patterns_are_run(spark):
+    """Rules give what all their patterns give, and a text leaves few of them to run."""
+    from sessionlens import fixed
+    from sessionlens.functions.literals import LiteralIndex, required
+    from sessionlens.functions.text import rx
+    from sessionlens.plans.adapter import REASONS
+
+    rules = taxonomy.default_rules()
+    index = taxonomy.index_of(rules)
+    patterns = list(index.needs)
+    assert len(patterns) > 100 and sum(n is None for n in index.needs.values()) == 0
+    assert required(r"expect(?:ed|ing)\b.{0,120}?but was") == {"but was"} and required(r"\d+") is None and required("(?<n>ab") is None
+    texts = [*REASONS, "", "x" * 500, "TOKEN HAſ EXPIRED, inİtial sıgnal 11", "timeouttimeout", "Response code: 503 bad gateway", "status code 500", "SSLHandshakeException", "auth request failed"]
+    rng = random.Random(2)
+    texts += ["".join(rng.choice(["not ", "visible", "is ", "expected ", "to ", "be", "api ", "error ", "failure", "exp", "ect", "session ", "timed out", "(", "\n", "401", " "]) for _ in range(12)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = index.found(F.col("text"))
+    cells = df.select("id", index.runs(found).alias("runs"), F.array(*(F.col("text").rlike(rx(p, "i")) for p in patterns)).alias("all"), F.array(*(index.may_match(found, [p]) for p in patterns)).alias("may")).collect()
+    assert not [(texts[r["id"]], p) for r in cells for p, a, m in zip(patterns, r["all"], r["may"]) if a and not m]
+    assert sum(r["runs"] for r in cells[: len(REASONS)]) < 0.04 * len(patterns) * len(REASONS)
+    assert LiteralIndex([r"\d"]).words == [] and fixed.TAXONOMY
+
+
 def test_hotspots_need_two_tests(spark):
     rows = [dict(is_failure=True, name=n, reason=f'accessibilityId: "{loc}"') for n, loc in [("a", "Pay"), ("b", "Pay"), ("a", "Pay"), ("a", "Other")]]
     got = taxonomy.locator_hotspots(taxonomy.classify_failures(sessions(spark, rows))).collect()
