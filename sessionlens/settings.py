@@ -37,12 +37,13 @@ class Settings:
     most_builds: int = 25
     page_size: int = 100
     most_pages: int = 100
-    log_sources: tuple[str, ...] = field(default_factory=lambda: _words("LOG_SOURCES", "crash,appium,device"))
+    log_sources: tuple[str, ...] = field(default_factory=lambda: _words("LOG_SOURCES", "crash,appium"))
+    fetch_workers: int = field(default_factory=lambda: max(1, int(os.environ.get("ENRICH_WORKERS", "8"))))
     log_fetch_chars: int = 200_000
     log_store_chars: int = 8_000
     target_project: str = field(default_factory=lambda: os.environ.get("TARGET_PROJECT", ""))
     target_project_id: str = field(default_factory=lambda: os.environ.get("TARGET_PROJECT_ID", ""))
-    profiling: bool = field(default_factory=lambda: os.environ.get("ENRICH_PROFILING", "").lower() in ("1", "true", "yes"))
+    profiling: bool = field(default_factory=lambda: os.environ.get("PROFILE", "").lower() in ("1", "true", "yes"))
     username: str = field(default_factory=lambda: os.environ.get("API_USERNAME", ""))
     access_key: str = field(default_factory=lambda: os.environ.get("API_ACCESS_KEY", ""))
 

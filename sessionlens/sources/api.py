@@ -15,6 +15,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,50 +209,72 @@ def _asked(get: Callable, path: str):
         return None
 
 
-def fetch_logs(get: Callable, failures: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """session_id, source, text of failures (session_id, build_id, and terminal_logs_url if there is one).
+AT_ONCE = 64
+
+
+def _together(ask: Callable, rows: list[tuple], workers: int):
+    """ask(row) of all rows in their order, `workers` at a time; AT_ONCE rows are held at most."""
+    with ThreadPoolExecutor(workers) as pool:
+        for k in range(0, len(rows), AT_ONCE):
+            yield list(pool.map(ask, rows[k : k + AT_ONCE]))
+
+
+def logs_of(get: Callable, rows: list[tuple[str, str, str]], settings: Settings = SETTINGS):
+    """Lists of (session_id, source, text) for (session_id, build_id, signed address) rows.
 
     Every source is asked for on its own, and a failed request is no text.  The signed
     address is read only where no source has given a usable text.
     """
-    sources, placeholders = settings.log_sources, fixed.CRASH_PLACEHOLDERS
 
     def usable(source, text):
         if not isinstance(text, str) or not text.strip():
             return False
-        return source != "crash" or (len(text.strip()) >= 20 and not any(w in text.lower() for w in placeholders))
+        return source != "crash" or (len(text.strip()) >= 20 and not any(w in text.lower() for w in fixed.CRASH_PLACEHOLDERS))
 
-    def run(batches):
-        import pyarrow as pa
+    def ask(row):
+        sid, bid, url = row
+        got = [(sid, s, _asked(get, f"/builds/{bid}/sessions/{sid}/{s}logs")) for s in settings.log_sources] if sid and bid else []
+        got = [x for x in got if usable(*x[1:])]
+        if not got and url and usable("terminal", text := _asked(get, url)):
+            got = [(sid, "terminal", text)]
+        return [(a, b, text[-settings.log_fetch_chars :]) for a, b, text in got]
 
-        for batch in batches:
-            out = []
-            for sid, bid, url in zip(*(batch.column(c).to_pylist() for c in ("session_id", "build_id", "url")), strict=True):
-                got = [(sid, s, _asked(get, f"/builds/{bid}/sessions/{sid}/{s}logs")) for s in sources] if sid and bid else []
-                got = [x for x in got if usable(*x[1:])]
-                if not got and url and usable("terminal", text := _asked(get, url)):
-                    got = [(sid, "terminal", text)]
-                out += got
-            a, b, c = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (a, b, c)], ["session_id", "source", "text"])
+    for part in _together(ask, rows, settings.fetch_workers):
+        yield [x for got in part for x in got]
 
-    url = F.col("terminal_logs_url") if "terminal_logs_url" in failures.columns else F.lit("")
-    return failures.select("session_id", "build_id", url.alias("url")).mapInArrow(run, "session_id string, source string, text string")
 
+def profiles_of(get: Callable, rows: list[tuple[str, str]], settings: Settings = SETTINGS):
+    """Lists of (session_id, series as JSON) for the (session_id, build_id) rows that were profiled."""
 
-def fetch_profiles(get: Callable, sessions: DataFrame) -> DataFrame:
-    """session_id, series (JSON) of sessions (session_id, build_id) that were profiled; passed ones too, as slowness fails no test."""
+    def ask(row):
+        sid, bid = row
+        series = _asked(get, f"/builds/{bid}/sessions/{sid}/{PROFILES}") if sid and bid else None
+        return (sid, json.dumps(series)) if isinstance(series, list) else None
+
+    for part in _together(ask, rows, settings.fetch_workers):
+        yield [x for x in part if x]
+
+
+def _fetched(df: DataFrame, columns: list[str], fetch: Callable, out: list[str]) -> DataFrame:
+    """fetch(rows) of every task's rows, as string columns."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for sid, bid in zip(*(batch.column(c).to_pylist() for c in ("session_id", "build_id")), strict=True):
-                series = _asked(get, f"/builds/{bid}/sessions/{sid}/{PROFILES}") if sid and bid else None
-                if isinstance(series, list):
-                    out.append((sid, json.dumps(series)))
-            a, b = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["session_id", "series"])
-
-    return sessions.select("session_id", "build_id").mapInArrow(run, "session_id string, series string")
+            rows = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+            for part in fetch(rows):
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], pa.string()) for k in range(len(out))], out)
+
+    return df.select(*columns).mapInArrow(run, ", ".join(f"{c} string" for c in out))
+
+
+def fetch_logs(get: Callable, failures: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """session_id, source, text of failures (session_id, build_id, and terminal_logs_url if there is one); settings.fetch_workers requests at a time in each task."""
+    url = F.col("terminal_logs_url") if "terminal_logs_url" in failures.columns else F.lit("")
+    return _fetched(failures.select("session_id", "build_id", url.alias("url")), ["session_id", "build_id", "url"], lambda rows: logs_of(get, rows, settings), ["session_id", "source", "text"])
+
+
+def fetch_profiles(get: Callable, sessions: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """session_id, series (JSON) of sessions (session_id, build_id) that were profiled; passed ones too, as slowness fails no test."""
+    return _fetched(sessions, ["session_id", "build_id"], lambda rows: profiles_of(get, rows, settings), ["session_id", "series"])
