@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions.text import or_default, strip, strip_token
 from ..settings import SETTINGS, Settings
+from .documents import array_objects
 
 S, D = T.StringType(), T.DoubleType()
 TOTALS = T.StructType().add("browserstack_time", D).add("user_time", D)
@@ -46,14 +47,33 @@ def normalize_sessions(raw: DataFrame, settings: Settings = SETTINGS) -> DataFra
     return raw.select("row_id", *(out[k].alias(k) for k in fixed.SESSION_COLUMNS), status.isin(*settings.failure_statuses).alias("is_failure"))
 
 
-def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(sessions, one-row build) of a JSON document {build, sessions}."""
+def _largest(spark: SparkSession, path: str) -> int:
+    """Bytes of the largest file under the path, in any store that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return max((x.getLen() for x in fs.globStatus(where) or [] for x in ([x] if x.isFile() else fs.listStatus(x.getPath()))), default=0)
+
+
+def read_document(spark: SparkSession, path: str, whole_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sessions, builds) of the JSON documents {build, sessions} under the path; row_id is the place in the array, with the file before it if there are several.
+
+    Documents of up to whole_bytes (as much as a task reads) are parsed whole; if there are larger
+    ones, all are read by byte ranges, many tasks to a document.
+    """
+    limit = whole_bytes if whole_bytes is not None else int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
     doc = spark.read.schema(DOCUMENT).json(path, multiLine=True)
-    raw = doc.select(F.posexplode("sessions").alias("row_id", "s")).select("row_id", "s.*")
-    sessions = normalize_sessions(raw)
+    if _largest(spark, path) > limit:
+        raw = array_objects(spark, path, "sessions").select("file", F.col("at").alias("row_id"), F.from_json("value", RAW).alias("s"))
+        build = spark.read.schema(T.StructType().add("build", BUILD)).json(path, multiLine=True)
+    else:
+        raw = doc.select(F.col("_metadata.file_path").alias("file"), F.posexplode("sessions").alias("row_id", "s"))
+        build = doc
+    if len(doc.inputFiles()) > 1:
+        raw = raw.withColumn("row_id", F.concat_ws("|", F.regexp_extract("file", "[^/]*$", 0), F.lpad(F.col("row_id").cast("string"), 12, "0")))
+    sessions = normalize_sessions(raw.select("row_id", "s.*"))
     if not sessions.head(1):
         raise IngestionError(f"no sessions in {path}")
-    return sessions, doc.select("build.*")
+    return sessions, build.select("build.*")
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:

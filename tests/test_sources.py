@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +29,34 @@ def test_document(spark, tmp_path):
     assert build.head()["project"] == "alpha"
 
 
+def test_a_document_is_read_by_many_tasks(spark, tmp_path):
+    """By splits of a few bytes, with braces, quotes and escapes in strings and other arrays around."""
+    rng = random.Random(7)
+    odd = ['{"', '\\"', "}", "[{", "\\\\", "a b", "é", '":[{"', "]}", "\n"]
+    rows = [{"hashed_id": f"s{k}", "name": "".join(rng.choice(odd) for _ in range(rng.randint(0, 9))), "reason": "".join(rng.choice(odd) for _ in range(9)), "insights": {"summary": {"totals": {"user_time": k}}}, "tags": [{"x": [1, {"y": "}"}]}]} for k in range(120)]
+    doc = {"notes": [{"a": 1}, {"sessions": [{"hashed_id": "no"}]}], "build": {"hashed_id": "b", "name": "n}"}, "sessions": rows, "after": [{"hashed_id": "no"}]}
+    (tmp_path / "x.json").write_text(json.dumps(doc, indent=1, ensure_ascii=False))
+    whole, build = sessions.read_document(spark, str(tmp_path / "x.json"))
+    want = sorted(map(tuple, whole.collect()))
+    assert len(want) == 120
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97b", "500b", "5000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got, build = sessions.read_document(spark, str(tmp_path / "x.json"), 0)
+            assert sorted(map(tuple, got.collect())) == want and build.head()["name"] == "n}"
+            assert spark.read.option("lineSep", "}").text(str(tmp_path / "x.json")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "y.json").write_text(json.dumps({"build": {}, "sessions": rows[:3]}))
+    for limit in (None, 0):
+        both, _ = sessions.read_document(spark, str(tmp_path), limit)
+        ids = [r["row_id"] for r in both.collect()]
+        assert len(set(ids)) == 123 and "y.json|000000000002" in ids
+
+
 def test_empty_document_is_an_error(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"build": {}, "sessions": []}))
     with pytest.raises(sessions.IngestionError):
