@@ -92,7 +92,7 @@ def main(argv: list[str] | None = None, transport: Callable | None = None) -> in
     artifacts = run_triage(sessions, past)
     artifacts["trend"] = suite_health_trend(history.read("builds"), history.read("sessions"), names)
     write_artifacts(artifacts, f"{os.path.splitext(args.output)[0]}_artifacts")
-    print(json.dumps({"report": str(write_html(artifacts, args.output, str(meta.get("name") or "report"))), "artifacts": sorted(artifacts)}))
+    print(json.dumps({"report": str(write_html(artifacts, args.output, "report", meta, is_sample=args.source == "file")), "artifacts": sorted(artifacts)}))
     return 0
 
 

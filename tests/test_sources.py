@@ -355,6 +355,26 @@ def test_replayed_stream_batches_change_nothing(spark, tmp_path):
 
 
 def test_whole_run(spark, tmp_path):
-    artifacts = run_triage(sample_sessions(spark, 60, builds=2))
-    page = report.write_html(artifacts, str(tmp_path / "r.html"), "run")
-    assert "device_risk" in page.read_text() and artifacts["metrics"].head()["total_tests"] == 120
+    s = sample_sessions(spark, 60, builds=2)
+    artifacts = run_triage(s)
+    artifacts["trend"] = spark.createDataFrame([("b1", "one", 0.5), ("b2", "two & three", 0.75)], "build_id string, name string, pass_rate double")
+    meta = {"name": "run <1>", "project": "alpha", "hashed_id": "b2"}
+    parts = report.context(artifacts, meta, True)
+    assert parts["flaky_source"] == "in-build" and parts["locator_omitted"] is not None and set(parts["platforms"]) <= {"android", "ios"}
+    shown = {name for _, names in report.SECTIONS for name in names}
+    assert shown | {"generated_at", "is_sample", "build"} == set(parts)
+    page = report.write_html(artifacts, str(tmp_path / "r.html"), "run", meta, is_sample=True).read_text()
+    assert "run &lt;1&gt;" in page and "Sample data" in page and "two &amp; three: 75.0%" in page and page.count("<svg") >= 6
+    assert artifacts["metrics"].head()["total_tests"] == 120
+    for name in ("clusters", "device_risk", "category_details"):
+        table = page.split(f"<h3 id='{name}'>")[1].split("</table>")[0]
+        assert table.count("<tr>") == artifacts[name].count() + 1  # no row is left out
+    plain = report.write_html({}, str(tmp_path / "e.html"), "nothing").read_text()
+    assert "Sample data" not in plain and "<svg" not in plain
+
+
+def test_root_causes_by_category(spark):
+    c = spark.createDataFrame([(0, "a", 3, 0.5, ["u"], "x"), (1, "b", 7, 1.0, [], "x"), (2, "c", 7, 1.0, [], None)], "cluster_id int, label string, size int, confidence double, session_urls array<string>, category string")
+    got = {r["category"]: [tuple(x) for x in r["root_causes"]] for r in report.root_causes(c).collect()}
+    assert got == {"x": [("b", 7, 100, ""), ("a", 3, 50, "u")], "uncategorized": [("c", 7, 100, "")]}
+
