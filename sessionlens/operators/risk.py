@@ -18,17 +18,27 @@ def with_dimensions(sessions: DataFrame) -> DataFrame:
     return sessions.withColumns({"feature_area": feature_area(F.col("name")), "os_label": os_label(F.col("platform"), F.col("os_version"))})
 
 
-def device_risk(sessions: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """Device cells by the lower bound of their failure rate, riskiest first."""
-    keys = ["device", "os_version", "os_label"]
-    known = sessions.where(" and ".join(f"{k} is not null" for k in keys))
-    out = known.groupBy(*keys).agg(F.count("session_id").alias("total"), _failed().alias("failed"))
-    out = out.withColumns({
+CELL = ("device", "os_version", "os_label")
+
+
+def device_counts(sessions: DataFrame) -> DataFrame:
+    """total and failed of each device cell."""
+    known = sessions.where(" and ".join(f"{k} is not null" for k in CELL))
+    return known.groupBy(*CELL).agg(F.count("session_id").alias("total"), _failed().alias("failed"))
+
+
+def rated_cells(counts: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """Device cells (with total and failed) by the lower bound of their failure rate, riskiest first."""
+    out = counts.withColumns({
         "failure_rate": F.round(F.col("failed") / F.col("total"), 3),
         "risk_score": F.round(wilson_lower(F.col("failed"), F.col("total"), settings.wilson_z), 3),
         "low_sample": F.col("total") < settings.device_min_sample,
     })
-    return out.orderBy(F.desc("risk_score"), F.desc("failure_rate"), *keys)
+    return out.orderBy(F.desc("risk_score"), F.desc("failure_rate"), *CELL)
+
+
+def device_risk(sessions: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    return rated_cells(device_counts(sessions), settings)
 
 
 def area_health(sessions: DataFrame) -> DataFrame:

@@ -271,9 +271,10 @@ def _(spark, d):
 
 @query("s21_upsert", f"{BASE}, u AS (SELECT session_id, 'old' AS build_id, 1 AS v FROM s WHERE row_id % 3 = 0 UNION ALL SELECT session_id, 'new', 2 FROM s WHERE row_id % 2 = 0) SELECT arg_max(build_id, v) AS build_id, session_id FROM u GROUP BY session_id")
 def _(spark, d):
-    s = _s(spark, d)
-    of = lambda m, b: s.where(F.col("row_id") % m == 0).select("session_id", F.lit(b).alias("build_id"))
-    return h.upsert(of(3, "old"), of(2, "new"), "session_id").select("build_id", "session_id")
+    s, store = _s(spark, d), h.History(spark, _folder(spark))
+    for m, build in ((3, "old"), (2, "new")):
+        store.put_sessions(s.where(F.col("row_id") % m == 0).withColumn("build_id", F.lit(build)))
+    return store.read("sessions").select("build_id", "session_id")
 
 
 @query("s26_repair_counts", f"{BASE}, x AS (SELECT build_id, is_failure, is_failure AND NOT {_signal('reason')} AND ({' OR '.join(f'contains(reason, {_q(m)})' for m in fixed.LOG_DUMP_MARKERS)}) AS bad FROM s) SELECT count(*) FILTER (is_failure) AS failures, count(*) FILTER (bad) AS corrupted, round(100.0*count(*) FILTER (bad)/greatest(count(*) FILTER (is_failure), 1), 1) AS pct, count(DISTINCT build_id) FILTER (bad) AS builds FROM x")
@@ -688,6 +689,15 @@ def _(spark, d):
     return clusters.label_clusters(clusters.cluster_failures(s)[1], taxonomy.classify_failures(s))
 
 
+@query("j11_root_causes", f"{_KEYED}, cnt AS (SELECT cluster_id, category, count(*) AS n, min(row_id) AS first FROM kk JOIN num USING (ckey) GROUP BY 1, 2), cat AS (SELECT cluster_id, category FROM cnt QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first) = 1) SELECT category, label, size, row_number() OVER (PARTITION BY category ORDER BY size DESC, cluster_id) AS place FROM lab JOIN cat USING (cluster_id)")
+def _(spark, d):
+    s = _s(spark, d)
+    groups, failures = clusters.cluster_failures(s)
+    labelled = groups.join(clusters.label_clusters(failures, taxonomy.classify_failures(s)), "cluster_id", "left")
+    listed = report.root_causes(labelled).select("category", F.posexplode("root_causes").alias("place", "x"))
+    return listed.select("category", "x.label", F.col("x.size").alias("size"), (F.col("place") + 1).cast("long").alias("place"))
+
+
 @query("a27_cluster_chart", f"{_KEYED}, rk AS (SELECT *, row_number() OVER (ORDER BY size DESC, cluster_id) AS rn FROM lab) SELECT CASE WHEN min(rn) <= 12 THEN '#' || min(cluster_id) || ': ' || min(label) ELSE '+' || count(*) || ' smaller' END AS label, CAST(sum(size) AS BIGINT) AS failures FROM rk GROUP BY least(rn, 13)")
 def _(spark, d):
     return clusters.chart_rows(_groups(spark, d)[0]).select("label", "failures")

@@ -13,7 +13,7 @@ from . import report
 
 def run_triage(sessions: DataFrame, history: DataFrame | None = None, settings: Settings = SETTINGS) -> dict[str, DataFrame]:
     """Artifacts by name.  `sessions` needs row_id: what comes first."""
-    sessions = risk.with_dimensions(sessions)
+    sessions = kept(risk.with_dimensions(sessions))  # all artifacts read it
     platforms = sorted(r[0] for r in sessions.where("platform is not null").select("platform").distinct().collect())
     classified = kept(taxonomy.classify_failures(sessions))  # most artifacts read it
     groups, failures = clusters.cluster_failures(sessions, settings)

@@ -236,9 +236,17 @@ def project_names(project: str | Sequence[str] | None) -> list[str]:
     return [p.strip() for p in parts if p and p.strip()]
 
 
+def build_counts(sessions: DataFrame) -> DataFrame:
+    """total and failed of each build."""
+    return sessions.groupBy("build_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_failure").alias("failed"))
+
+
 def suite_health_trend(builds: DataFrame, sessions: DataFrame, projects: list[str], window: int = SETTINGS.history_window) -> DataFrame:
     """Pass rate of the newest builds that have sessions, oldest first."""
-    counts = sessions.groupBy("build_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_failure").alias("failed"))
+    return trend_of_counts(builds, build_counts(sessions), projects, window)
+
+
+def trend_of_counts(builds: DataFrame, counts: DataFrame, projects: list[str], window: int = SETTINGS.history_window) -> DataFrame:
     newest = builds.where(F.col("project").isin(projects)).join(counts, "build_id").orderBy(F.desc("created_at"), "build_id").limit(window)
     rate = F.round(1 - F.col("failed") / F.col("total"), 3)
     return newest.select("build_id", "name", "created_at", "total", "failed", rate.alias("pass_rate")).orderBy("created_at", F.desc("build_id"))

@@ -354,6 +354,32 @@ def test_replayed_stream_batches_change_nothing(spark, tmp_path):
     assert h.read("sessions").count() == 9
 
 
+def test_a_shuffled_and_replayed_stream_equals_the_batch(spark, tmp_path):
+    from sessionlens.operators import risk
+    from sessionlens.streaming.incremental import read_stream
+    from sessionlens.streaming.running import RunningCounts
+
+    rng = random.Random(3)
+    rows = [{"hashed_id": f"s{k}", "name": f"t{k % 5}", "status": rng.choice(["passed", "failed"]), "os": "ios", "os_version": str(k % 2), "device": f"d{k % 3}", "created_at": f"2026-01-{1 + k % 9:02d}T00:00:00Z", "build_hashed_id": f"b{k % 4}"} for k in range(200)]
+    (tmp_path / "in").mkdir()
+    counts = RunningCounts(spark, str(tmp_path / "counts"))
+    for k in range(4):
+        part = rng.sample(rows, 120) if k < 3 else rows  # most sessions come several times, and not in order
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, part)))
+        query = counts.start(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "at"), "30 days")
+        query.awaitTermination(120)
+        assert query.exception() is None and not query.isActive
+    batch = sessions.normalize_sessions(spark.createDataFrame([json.dumps(r) for r in rows], "string").select(F.from_json("value", sessions.RAW).alias("r")).select("r.*").withColumn("row_id", F.lit(1)))
+    assert [tuple(r) for r in counts.device_risk().collect()] == [tuple(r) for r in risk.device_risk(risk.with_dimensions(batch)).collect()]
+    builds = spark.createDataFrame([(f"b{k}", "p", f"n{k}", f"2026-01-0{k + 1}") for k in range(4)], "build_id string, project string, name string, created_at string")
+    assert [tuple(r) for r in counts.trend(builds, ["p"]).collect()] == [tuple(r) for r in history.suite_health_trend(builds, batch, ["p"]).collect()]
+    again = batch.where("build_id = 'b0'")
+    before = counts.trend(builds, ["p"]).collect()
+    counts.add(again, 99)
+    counts.add(again.limit(0), 99)  # a batch that is run again replaces its own counts
+    assert counts.trend(builds, ["p"]).collect() == before
+
+
 def test_whole_run(spark, tmp_path):
     s = sample_sessions(spark, 60, builds=2)
     artifacts = run_triage(s)
