@@ -80,35 +80,6 @@ def payloads_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def service_over(builds: list[dict]):
-    """A transport that stands in for the results service; made in a function, so that it travels by value.
-
-    Build b has day-of-month + 95 sessions b#0, b#1 ...; every third failed.  Odd sessions
-    have an appium log, those divisible by 4 a signed terminal log, those divisible by 5 a profile.
-    """
-    projects = sorted({b["project"] for b in builds})
-
-    def get(path, params=None):
-        if path == "/projects.json":
-            return [{"project": {"id": i, "name": p}} for i, p in enumerate(projects)]
-        parts = path.strip("/").split("/")
-        if parts[0] == "projects":
-            return {"project": {"builds": [b for b in builds if b["project"] == projects[int(parts[1].split(".")[0])]]}}
-        if parts[0] == "builds" and parts[2] == "sessions.json":
-            b, n = parts[1], int(parts[1][-2:]) + 95
-            every = [{"automation_session": {"hashed_id": f"{b}#{k}", "name": f"test{k % 7}", "status": "FAILED" if k % 3 == 0 else "done", "duration": k, "os": "Android", "session_terminal_logs_url": f"https://logs.example/{k}" if k % 4 == 0 else ""}} for k in range(n)]
-            return every[params["offset"] : params["offset"] + params["limit"]]
-        if parts[0] == "builds" and parts[-1] == "appiumlogs" and int(parts[3].split("#")[1]) % 2:
-            return f"line\nFooError: {parts[3]}"
-        if parts[0] == "https:":
-            return f"signed {parts[-1]}"
-        if parts[0] == "builds" and parts[-1] == "v2" and int(parts[3].split("#")[1]) % 5 == 0:
-            return [{"ts": t, "cpu": 10.0 + t, "mem": 100.0, "mema": 40.0, "batt": 90.0, "temp": 30.0} for t in (0, 1, 2)]
-        raise OSError(path)
-
-    return get
-
-
 def profiles_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, series: each user's events as one profiling series."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -16,12 +16,12 @@ from ..functions import text as t
 from ..operators import clusters, flakiness, inference, metrics, profiling, risk, taxonomy
 from ..operators.graph import checkpoint_folder
 from ..settings import Settings
+from ..sources import catalog
 from ..sources import history as h
-from ..sources.api import Service, fetch_logs, fetch_profiles, land_builds, read_builds
-from ..sources.logs import enrich
-from ..sources.sessions import normalize_sessions, order_rows, read_document, read_landing, window_meta
+from ..sources.logs import combine_logs, enrich
+from ..sources.sessions import RAW, normalize_sessions, order_rows, read_document, read_landing, window_header
 from . import report
-from .adapter import BUILDS_SQL, SESSIONS_SQL, builds_from_events, payloads_from_events, profiles_from_events, service_over, sessions_from_events
+from .adapter import BUILDS_SQL, SESSIONS_SQL, builds_from_events, payloads_from_events, profiles_from_events, sessions_from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,64 +171,73 @@ def _(spark, d):
     return read_landing(spark, folder).select(*_FLAT)
 
 
-def _service(spark, d):
-    rows = builds_from_events(spark, d).orderBy("created_at").collect()  # a build a day
-    return service_over([{"hashed_id": r["build_id"], "project": r["project"], "name": r["name"], "status": r["status"], "created_at": r["created_at"]} for r in rows])
+def _pages(spark, d):
+    """build_id, page, rows: what the service would send; each page after the first begins with a row of the one before, and the last page comes twice."""
+    raw = payloads_from_events(spark, d)
+    size, k = t.SETTINGS.page_size, F.col("k")
+    place = F.row_number().over(Window.partitionBy("build_hashed_id").orderBy("row_id")) - 1
+    rows = raw.select(F.col("build_hashed_id").alias("build_id"), place.alias("k"), F.struct(*(c for c in raw.columns if c != "row_id")).alias("r")).withColumn("page", F.when(k < size, 0).otherwise(1 + F.floor((k - size) / (size - 1))))
+    again = rows.where((k == size - 1) | ((k > size) & ((k - size) % (size - 1) == size - 2))).withColumn("page", F.col("page") + 1)  # also makes a short last page of repeated rows only
+    pages = rows.unionByName(again).groupBy("build_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]).alias("rows"))
+    end = pages.groupBy("build_id").agg(F.max_by("rows", "page").alias("rows"), (F.max("page") + 1).alias("page"))
+    return pages.unionByName(end.select("build_id", "page", "rows"))
 
 
-_ENDED = "lower(status) IN ('done', 'failed', 'timeout')"
-#: Sessions of the stand-in for the service.
-_SERVED = f"{BASE}, bb AS (SELECT build_id, project FROM b WHERE project IN ('alpha', 'beta') AND build_id < '2024-02'), k AS (SELECT build_id, project, unnest(range(CAST(right(build_id, 2) AS BIGINT) + 95)) AS k FROM bb), v AS (SELECT build_id || '#' || k AS session_id, build_id, project, k, k % 3 = 0 AS is_failure FROM k)"
-
-
-def _served(spark, d):
-    get = _service(spark, d)
-    own = [(p, b) for p, pid in Service(get).to_search("alpha, beta") for b in Service(get).builds(pid) if b["hashed_id"] < "2024-02"]
-    return get, read_builds(spark, get, own)
+def _paged(spark, d):
+    got = catalog.payloads_of_pages(_pages(spark, d), F.col("r.hashed_id")).select(F.concat_ws("|", "build_id", F.lpad(F.col("page").cast("string"), 6, "0"), F.lpad(F.col("place").cast("string"), 6, "0")).alias("row_id"), "r.*")
+    return normalize_sessions(got)
 
 
+_POINTS = "p AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, (floor(epoch(ts))::BIGINT % 100000)::DOUBLE AS t, coalesce(value, 0.0) AS cpu, (8000 - event_id % 3000)::DOUBLE AS used, (100 - event_id % 50)::DOUBLE AS batt, (30 + event_id % 9)::DOUBLE AS temp, CASE WHEN event_id % 3 <> 0 THEN (event_id % 97)::DOUBLE END AS acpu, (event_id % 211)::DOUBLE AS amem FROM events)"
+_ENDED = "lower(status) IN ('done', 'failed', 'timeout')"
 @query("s8_projects", f"{BASE} SELECT project, row_number() OVER (ORDER BY project) - 1 AS id FROM (SELECT DISTINCT project FROM b)")
 def _(spark, d):
-    return spark.createDataFrame(Service(_service(spark, d)).to_search(None), "project string, id long")
+    return catalog.projects_of(builds_from_events(spark, d))
 
 
 @query("s12_builds", f"{BASE} SELECT project, build_id, status FROM b")
 def _(spark, d):
-    service = Service(_service(spark, d))
-    return spark.createDataFrame([(p, b["hashed_id"], b["status"]) for p, pid in service.to_search(None) for b in service.builds(pid)], "project string, build_id string, status string")
+    b = builds_from_events(spark, d)
+    return b.join(catalog.projects_of(b), "project").select("project", "build_id", "status")
 
 
 @query("s9_latest_builds", f"{BASE} SELECT project, build_id FROM b WHERE {_ENDED} QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC) = 1")
 def _(spark, d):
-    service = Service(_service(spark, d))
-    return spark.createDataFrame([(p, b["hashed_id"]) for p, pid in service.to_search(None) for b in service.recent_builds(pid)], "project string, build_id string")
+    return catalog.recent_builds(builds_from_events(spark, d)).select("project", "build_id")
 
 
-@query("s6_served_sessions", f"{_SERVED} SELECT session_id, build_id, project, CASE WHEN is_failure THEN 'failed' ELSE 'done' END AS status, is_failure, k::DOUBLE AS duration FROM v")
+@query("s6_served_sessions", f"{BASE} SELECT session_id, build_id, project, status, is_failure, duration FROM s")
 def _(spark, d):
-    return _served(spark, d)[1].select("session_id", "build_id", "project", "status", "is_failure", "duration")
+    return _paged(spark, d).select("session_id", "build_id", "project", "status", "is_failure", "duration")
 
 
-@query("s2_landed_builds", f"{_SERVED} SELECT build_id, project, count(*) AS sessions, count(*) FILTER (is_failure) AS failures FROM v GROUP BY 1, 2")
+@query("s2_landed_builds", f"{BASE} SELECT build_id, project, count(*) AS sessions, count(*) FILTER (is_failure) AS failures FROM s GROUP BY 1, 2")
 def _(spark, d):
-    get = _service(spark, d)
-    service = Service(get)
-    own = [(p, b) for p, pid in service.to_search("alpha, beta") for b in service.builds(pid) if b["hashed_id"] < "2024-02"]
-    sessions, _ = land_builds(spark, get, own, _folder(spark))
-    return sessions.groupBy("build_id", "project").agg(F.count(F.lit(1)).alias("sessions"), F.count_if("is_failure").alias("failures"))
+    folder = _folder(spark)
+    _pages(spark, d).select("build_id", "page", F.to_json("rows").alias("rows")).write.parquet(folder)  # pages as they land
+    kind = f"array<{RAW.simpleString()}>"
+    pages = spark.read.parquet(folder).withColumn("rows", F.from_json("rows", kind))
+    got = catalog.payloads_of_pages(pages, F.col("r.hashed_id")).select(F.lit("").alias("row_id"), "r.*")
+    return normalize_sessions(got).groupBy("build_id", "project").agg(F.count(F.lit(1)).alias("sessions"), F.count_if("is_failure").alias("failures"))
 
 
-@query("s17_fetched_logs", f"{_SERVED} SELECT session_id, CASE WHEN k % 2 = 1 THEN 'appium' ELSE 'terminal' END AS source, CASE WHEN k % 2 = 1 THEN 'line' || chr(10) || 'FooError: ' || session_id ELSE 'signed ' || k END AS text FROM v WHERE is_failure AND (k % 2 = 1 OR k % 4 = 0)")
+@query("s17_fetched_logs", f"{BASE}, f AS (SELECT *, row_id % 3 = 0 AS crashed FROM s WHERE is_failure) SELECT session_id, CASE WHEN crashed THEN '--- crash ---' || chr(10) || 'FATAL EXCEPTION in process ' || session_id || chr(10) ELSE '' END || CASE WHEN row_id % 2 = 1 THEN '--- appium ---' || chr(10) || 'line' || chr(10) || reason ELSE '' END AS combined, crashed AS crash FROM f WHERE crashed OR row_id % 2 = 1")
 def _(spark, d):
-    get, sessions = _served(spark, d)
-    return fetch_logs(get, sessions.where("is_failure"))
+    f = _s(spark, d).where("is_failure")
+    i = F.col("row_id")
+    none = F.when(i % 5 == 0, F.lit("   ")).otherwise(F.lit("No crash found for this session, nothing here"))
+    logs = F.array(
+        F.struct(F.lit("crash").alias("source"), F.when(i % 3 == 0, F.concat(F.lit("FATAL EXCEPTION in process "), "session_id")).otherwise(none).alias("text")),
+        F.struct(F.lit("appium").alias("source"), F.when(i % 2 == 1, F.concat(F.lit("line\n"), "reason")).otherwise("").alias("text")),
+    )
+    out = combine_logs(f.select("session_id", F.explode(logs).alias("x")).select("session_id", "x.*"))
+    # a crash log alone ends with no line of another
+    return out.select("session_id", F.when(~F.contains("combined", F.lit("--- appium ---")), F.concat("combined", F.lit("\n"))).otherwise(F.col("combined")).alias("combined"), "crash")
 
 
-@query("s20_fetched_profiles", f"{_SERVED} SELECT session_id, build_id, CASE WHEN k % 5 = 0 THEN 3 END AS profile_samples, CASE WHEN k % 5 = 0 THEN 11.0 END AS device_cpu_mean, CASE WHEN k % 5 = 0 THEN 2.0 END AS profile_seconds FROM v")
+@query("s20_fetched_profiles", f"{BASE.replace('WITH ', 'WITH ' + _POINTS + ', ', 1)} SELECT s.session_id, build_id, n AS profile_samples, cpu AS device_cpu_mean FROM s LEFT JOIN (SELECT session_id, count(*) AS n, round(avg(cpu), 1) AS cpu FROM p GROUP BY 1) q ON q.session_id = s.session_id")
 def _(spark, d):
-    get, sessions = _served(spark, d)
-    out = profiling.with_profiles(sessions, fetch_profiles(get, sessions))
-    return out.select("session_id", "build_id", "profile_samples", "device_cpu_mean", "profile_seconds")
+    return profiling.with_profiles(_s(spark, d), profiles_from_events(spark, d)).select("session_id", "build_id", "profile_samples", "device_cpu_mean")
 
 
 @query("s23_persisted", f"{BASE} SELECT s.session_id, s.build_id, b.project, s.status, s.is_failure, b.name AS build_name FROM s JOIN b USING (build_id)")
@@ -248,8 +257,7 @@ def _(spark, d):
 
 @query("s15_window_meta", f"{BASE}, x AS (SELECT count(DISTINCT build_id) AS n_builds, min(left(created_at, 10)) AS date_from, max(left(created_at, 10)) AS date_to FROM s) SELECT n_builds, date_from, date_to, 'alpha + beta' AS project, n_builds || ' builds · ' || date_from || ' → ' || date_to AS hashed_id, 'Last ' || n_builds || ' builds' AS name FROM x")
 def _(spark, d):
-    m = window_meta(_s(spark, d), ["alpha", "beta"])
-    return spark.createDataFrame([(m["n_builds"], m["date_from"], m["date_to"], m["project"], m["hashed_id"], m["name"])], "n_builds long, date_from string, date_to string, project string, hashed_id string, name string")
+    return window_header(_s(spark, d), ["alpha", "beta"]).select("n_builds", "date_from", "date_to", "project", "hashed_id", "name")
 
 
 def _error(log: str) -> str:
@@ -300,8 +308,7 @@ def _(spark, d):
 
 @query("o1_recent_builds", f"{BASE} SELECT build_id, project, created_at FROM b WHERE {_ENDED} QUALIFY row_number() OVER (PARTITION BY project ORDER BY created_at DESC) <= 4")
 def _(spark, d):
-    service = Service(_service(spark, d))
-    return spark.createDataFrame([(b["hashed_id"], p, b["created_at"]) for p, pid in service.to_search(None) for b in service.recent_builds(pid, 4)], "build_id string, project string, created_at string")
+    return catalog.recent_builds(builds_from_events(spark, d), 4).select("build_id", "project", "created_at")
 
 
 _WANTED = ["2024-01-05", "nightly 2024-01-07", "2024-01-09", "nowhere"]
@@ -309,18 +316,17 @@ _WANTED = ["2024-01-05", "nightly 2024-01-07", "2024-01-09", "nowhere"]
 
 @query("j8_match_names", f"{BASE}, w AS (SELECT unnest({_WANTED}) AS wanted) SELECT wanted, b.project, b.build_id FROM w JOIN b ON contains(lower(b.name), lower(wanted))")
 def _(spark, d):
-    service = Service(_service(spark, d))
-    return spark.createDataFrame([(n, p, b["hashed_id"]) for p, pid in service.to_search(None) for n, b in service.find_builds(pid, _WANTED)], "wanted string, project string, build_id string")
+    return catalog.match_names(builds_from_events(spark, d), _WANTED)
 
 
 @query("s4_named_builds", f"{BASE}, w AS (SELECT unnest({_WANTED}) AS wanted) SELECT b.project, b.build_id FROM w JOIN b ON contains(lower(b.name), lower(wanted))")
 def _(spark, d):
-    return spark.createDataFrame([(p, b["hashed_id"]) for p, b in Service(_service(spark, d)).resolve_builds(None, _WANTED[:3])], "project string, build_id string")
+    return catalog.match_names(builds_from_events(spark, d), _WANTED[:3]).select("project", "build_id")
 
 
 @query("u3_unmatched_names", f"{BASE}, w AS (SELECT unnest({[*_WANTED, 'nightly 2031-01-01']}) AS wanted) SELECT wanted FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE contains(lower(b.name), lower(wanted)))")
 def _(spark, d):
-    return spark.createDataFrame([(n,) for n in Service(_service(spark, d)).match_builds(None, [*_WANTED, "nightly 2031-01-01"])[1]], "wanted string")
+    return catalog.unmatched_names(builds_from_events(spark, d), [*_WANTED, "nightly 2031-01-01"])
 
 
 # --- risk ------------------------------------------------------------------
@@ -730,7 +736,6 @@ def _(spark, d):
 
 
 # --- profiling -------------------------------------------------------------
-_POINTS = "p AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_id, (floor(epoch(ts))::BIGINT % 100000)::DOUBLE AS t, coalesce(value, 0.0) AS cpu, (8000 - event_id % 3000)::DOUBLE AS used, (100 - event_id % 50)::DOUBLE AS batt, (30 + event_id % 9)::DOUBLE AS temp, CASE WHEN event_id % 3 <> 0 THEN (event_id % 97)::DOUBLE END AS acpu, (event_id % 211)::DOUBLE AS amem FROM events)"
 
 
 @query("m16_profiles", f"WITH {_POINTS} SELECT session_id, count(*) AS profile_samples, CASE WHEN count(*) > 1 THEN round(max(t) - min(t), 1) ELSE 0 END AS profile_seconds, round(avg(cpu), 1) AS device_cpu_mean, round(max(cpu), 1) AS device_cpu_max, round(avg(acpu), 1) AS app_cpu_mean, round(list_sort(list(acpu) FILTER (acpu IS NOT NULL))[floor(0.95::DOUBLE*(count(acpu)-1))::BIGINT+1] + (list_sort(list(acpu) FILTER (acpu IS NOT NULL))[ceil(0.95::DOUBLE*(count(acpu)-1))::BIGINT+1] - list_sort(list(acpu) FILTER (acpu IS NOT NULL))[floor(0.95::DOUBLE*(count(acpu)-1))::BIGINT+1])*(0.95::DOUBLE*(count(acpu)-1) - floor(0.95::DOUBLE*(count(acpu)-1))), 1) AS app_cpu_p95, round(max(acpu), 1) AS app_cpu_max, count(acpu) AS app_cpu_samples, round(max(amem), 1) AS app_mem_max_mb, count(amem) AS app_mem_samples, round(max(used), 1) AS device_mem_used_max_mb, CASE WHEN count(*) > 1 THEN round(arg_min(batt, event_id) - arg_max(batt, event_id), 1) END AS battery_delta_pct, round(max(temp), 1) AS temp_max_c, round(max(temp) - min(temp), 1) AS temp_delta_c FROM p GROUP BY 1")

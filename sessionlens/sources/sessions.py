@@ -93,12 +93,15 @@ def order_rows(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("row_id", F.concat_ws("|", "build_id", F.lpad(F.row_number().over(w).cast("string"), 12, "0")))
 
 
+def window_header(sessions: DataFrame, projects: list[str], name: str | None = None) -> DataFrame:
+    """One row: how many builds, from and to which day, under which name."""
+    day = F.nullif(F.left("created_at", F.lit(10)), F.lit(""))
+    r = sessions.agg(F.countDistinct("build_id").alias("n_builds"), F.coalesce(F.min(day), F.lit("")).alias("date_from"), F.coalesce(F.max(day), F.lit("")).alias("date_to"))
+    n = F.col("n_builds").cast("string")
+    return r.withColumns({"project": F.lit(" + ".join(projects)), "hashed_id": F.concat(n, F.lit(" builds · "), "date_from", F.lit(" → "), "date_to"), "name": F.lit(name) if name else F.concat(F.lit("Last "), n, F.lit(" builds"))})
+
+
 def window_meta(sessions: DataFrame, projects: list[str], user: str | None = None, name: str | None = None) -> dict:
     """Header of a run over several builds."""
-    day = F.nullif(F.left("created_at", F.lit(10)), F.lit(""))
-    r = sessions.agg(F.countDistinct("build_id").alias("n"), F.min(day).alias("a"), F.max(day).alias("b")).head()
-    a, b = r["a"] or "", r["b"] or ""
-    return {
-        "project": " + ".join(projects), "projects": projects, "is_multi_project": len(projects) > 1, "user_name": user, "name": name or f"Last {r['n']} builds",
-        "hashed_id": f"{r['n']} builds · {a} → {b}", "status": "range", "created_at": b, "is_range": True, "n_builds": r["n"], "date_from": a, "date_to": b,
-    }
+    r = window_header(sessions, projects, name).head().asDict()
+    return r | {"projects": projects, "is_multi_project": len(projects) > 1, "user_name": user, "status": "range", "created_at": r["date_to"], "is_range": True}

@@ -354,6 +354,47 @@ def test_replayed_stream_batches_change_nothing(spark, tmp_path):
     assert h.read("sessions").count() == 9
 
 
+def test_pages_as_a_table_are_read_as_in_turn(spark):
+    """Pages with repeats within and across, short, empty and missing ones: as the reader that asks page by page."""
+    from sessionlens.sources import catalog
+
+    mine = settings.Settings(page_size=3, most_pages=5)
+    builds = {
+        "plain": [["a", "b", "c"], ["d", "e", "f"], ["g"]],
+        "stuck": [["a", "b", "c"], ["a", "b", "c"], ["x", "y", "z"]],
+        "short": [["a", "b"], ["x", "y", "z"]],
+        "overlap": [["a", "b", "c"], ["c", "d", "e"], ["e", "f", "g"], []],
+        "within": [["a", "a", "b"], ["b", "c", "c"], ["d"]],
+        "endless": [[f"{k}0", f"{k}1", f"{k}2"] for k in range(9)],
+        "empty": [[]],
+    }
+    pages = spark.createDataFrame([(b, k, [(x,) for x in rows]) for b, every in builds.items() for k, rows in enumerate(every)], "build_id string, page long, rows array<struct<hashed_id:string>>")
+    got = {}
+    for r in sorted(catalog.payloads_of_pages(pages, F.col("r.hashed_id"), mine).collect()):
+        got.setdefault(r["build_id"], []).append(r["r"]["hashed_id"])
+
+    def get(path, params):
+        every = builds[path.split("/")[2]]
+        k = params["offset"] // 3
+        return [{"hashed_id": x} for x in (every[k] if k < len(every) else [])]
+
+    assert got == {b: [r["hashed_id"] for r in rows] for b in builds if (rows := list(api.fetch_sessions(get, b, mine)))}
+
+
+def test_names_are_matched_as_the_service_does(spark):
+    from sessionlens.sources import catalog
+
+    rows = [("p", f"{k}", n, s, t) for k, (n, s, t) in enumerate([("nightly 17", "done", "1"), ("nightly 174", "running", "3"), ("smoke", "failed", "2"), ("smoke", "done", "4")])] + [("q", "9", "nightly 17", "running", "1"), ("r", "8", "other", "queued", "5")]
+    builds = spark.createDataFrame(rows, "project string, build_id string, name string, status string, created_at string")
+    assert {tuple(r) for r in catalog.match_names(builds, ["nightly 17", " smoke ", "OTH", "none", "smoke"]).collect()} == {("nightly 17", "p", "0"), ("smoke", "p", "2"), ("OTH", "r", "8")}
+    assert [r[0] for r in catalog.unmatched_names(builds, ["nightly 17", "none"]).collect()] == ["none"]
+    with pytest.raises(sessions.IngestionError, match="night"):
+        catalog.match_names(builds, ["night"])
+    newest = {(r["project"], r["place"]): r["build_id"] for r in catalog.recent_builds(builds, 2).collect()}
+    assert newest == {("p", 1): "3", ("p", 2): "2", ("q", 1): "9", ("r", 1): "8"}
+    assert [r["project"] for r in catalog.projects_of(builds, " P ").collect()] == ["p"]
+
+
 def test_a_shuffled_and_replayed_stream_equals_the_batch(spark, tmp_path):
     from sessionlens.operators import risk
     from sessionlens.streaming.incremental import read_stream
