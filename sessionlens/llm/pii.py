@@ -13,9 +13,11 @@ so that the same entity gets the same surrogate in every document and spelling
   check digit, a social security number begins with 9, which is never issued.
 - IP address: four new octets.  IBAN: the country stays, and the check digits are valid.
 - access key and secret: same length and kinds of characters.
-- name after a form of address: first name of the gender that the form tells, in
-  the script of the name; first and last name are mapped apart, so that
-  "Mrs. Ada Holt" and "Mrs. Holt" stay one person.
+- name after a form of address: first name in the script of the name, of the gender
+  that this person's forms tell most often in the corpus; first and last name are
+  mapped apart, so that "Mrs. Ada Holt", "Dr. Ada Holt" and "Mrs. Holt" stay one person.
+  Where a text names a person so, the name is also replaced where it stands alone in
+  that text, whole or the family name, spelled as there.
 
 Distinctness: over all documents, no two different entities of one type may get
 the same surrogate, and no surrogate may equal an entity that occurs.  A name has
@@ -33,6 +35,8 @@ repeated rows give a row each.  Other columns pass through whatever their names
 """
 
 import itertools
+import logging
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +44,7 @@ from pyspark.sql import functions as F
 
 from .store import checkpointed, spare
 
+log = logging.getLogger(__name__)
 MOST_ROUNDS = 200
 TYPES = ("email", "ip", "phone", "card", "ssn", "iban", "access_key", "name", "secret")
 
@@ -72,15 +77,16 @@ SYLLABLES = {
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _FORM = r"\b(?:" + "|".join(FORMS_M + FORMS_F + FORMS_N) + r")\.?[  ]"
+_WORD = r"\p{Lu}(?:\p{L}|['-](?!s(?!\p{L}))(?=\p{L}))+"  # without a possessive ending
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    "phone": r"\+\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|\+\d{1,3}(?:[ -]\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\d.])\d{3}\.\d{3}\.\d{4}(?!\.?\d)|\+\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{3}[ -]?\d{4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}-\d{3}-\d{4}(?![\d-])|\+\d{1,3}(?:[ -]\d{2,4}){2,4}(?!\d)",
     "card": r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "name": _FORM + r"\p{Lu}[\p{L}'-]+(?:[  ]\p{Lu}[\p{L}'-]+)?",
+    "name": _FORM + _WORD + r"(?:[ \u00A0]" + _WORD + ")?",
     "secret": r"(?<=(?:password|passwd|token|secret|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}",
 }
 _ORDER = ("email", "access_key", "iban", "ip", "phone", "card", "ssn", "secret", "name")
@@ -95,9 +101,22 @@ def may_hold(text: Column) -> Column:
     return reduce(Column.__or__, (text.contains(w) for w in starts), text.rlike("[0-9@]"))
 
 
+_KEYS: dict[str, str] = {}
+
+
 def surrogate_key(spark: SparkSession) -> str:
-    """The secret that the session names in `spark.sessionlens.surrogateKey`; a public one for test data if it names none."""
-    return spark.conf.get("spark.sessionlens.surrogateKey", None) or "public key for test data"
+    """The secret that the session names in `spark.sessionlens.surrogateKey`.
+
+    If it names none, one is drawn for this application: nobody can guess it, and surrogates
+    of other runs are others.
+    """
+    if key := spark.conf.get("spark.sessionlens.surrogateKey", None):
+        return key
+    app = spark.sparkContext.applicationId
+    if app not in _KEYS:
+        log.warning("spark.sessionlens.surrogateKey isn't set: surrogates hold for this run only")
+        _KEYS[app] = secrets.token_hex(16)
+    return _KEYS[app]
 
 
 def entity_type(e: Column) -> Column:
@@ -113,17 +132,21 @@ def normal_form(e: Column, kind: Column) -> Column:
     """The same for every spelling of an entity."""
     digits = F.regexp_replace(e, "[^0-9]", "")
     name = F.regexp_replace(F.lower(F.regexp_replace(e, _FORM, "")), "[ \\u00A0]+", " ")
-    gender = F.when(e.rlike("^(?:" + "|".join(FORMS_M) + r")\.?[ \u00A0]"), "m").when(e.rlike("^(?:" + "|".join(FORMS_F) + r")\.?[ \u00A0]"), "f").otherwise("n")
     return (
         F.when((kind == "phone") & e.rlike(r"^\+1[^0-9]"), F.substring(digits, F.lit(2), F.length(digits)))
         .when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "email", F.lower(e))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
-        .when(kind == "name", F.concat(gender, F.lit(":"), name))
+        .when(kind == "name", name)
         .otherwise(e)
     )
 
 
+def gender_of(e: Column) -> Column:
+    """The gender that a name's form of address tells: m, f, or n."""
+    return F.when(e.rlike("^(?:" + "|".join(FORMS_M) + r")\.?[ \u00A0]"), "m").when(e.rlike("^(?:" + "|".join(FORMS_F) + r")\.?[ \u00A0]"), "f").otherwise("n")
+
+
 def _let(value: Column, body) -> Column:
     """body(value), the value computed once and the expression not repeated."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -198,22 +221,21 @@ def family_surrogate(family: Column, attempt: Column, key: str) -> Column:
     return _let(known, lambda x: F.initcap(_words(x["seed"], x["words"], x["n"], "")))
 
 
-def given_surrogate(norm: Column, attempt: Column, key: str) -> Column:
-    """Of a name in normal form, gender:given family: one name, and one more every eight attempts."""
-    name = F.substring_index(norm, ":", -1)
-    kind = F.concat(_script(name), F.lit(":"), F.substring(norm, 1, 1))
+def given_surrogate(norm: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """Of a name in normal form, given and family: one name, and one more every eight attempts."""
+    kind = F.concat(_script(norm), F.lit(":"), gender)
     lists = reduce(lambda out, k: out.when(kind == f"{k[0]}:{k[1]}", " ".join(GIVEN[k[0]][k[1]])), ((s, g) for s in GIVEN for g in GIVEN[s]), F.when(F.lit(False), ""))
-    known = F.struct(_seed(key, F.lit("given"), F.substring_index(name, " ", 1), attempt.cast("string")).alias("seed"), F.split(lists, " ").alias("words"), (F.floor(attempt / 8).cast("int") + 1).alias("n"))
+    known = F.struct(_seed(key, F.lit("given"), F.substring_index(norm, " ", 1), attempt.cast("string")).alias("seed"), F.split(lists, " ").alias("words"), (F.floor(attempt / 8).cast("int") + 1).alias("n"))
     return _let(known, lambda x: _words(x["seed"], x["words"], x["n"], "-"))
 
 
 def family_of(norm: Column) -> Column:
-    return F.element_at(F.split(F.substring_index(norm, ":", -1), " "), -1)
+    return F.element_at(F.split(norm, " "), -1)
 
 
-def _name(e: Column, norm: Column, key: str, attempt: Column, given_attempt: Column) -> Column:
+def _name(e: Column, norm: Column, key: str, attempt: Column, gender: Column, given_attempt: Column) -> Column:
     last = family_surrogate(family_of(norm), attempt, key)
-    whole = F.when(norm.contains(" "), F.concat(given_surrogate(norm, given_attempt, key), F.lit(" "), last)).otherwise(last)
+    whole = F.when(norm.contains(" "), F.concat(given_surrogate(norm, gender, given_attempt, key), F.lit(" "), last)).otherwise(last)
     return F.concat(F.regexp_extract(e, "^" + _FORM, 0), whole)
 
 
@@ -231,10 +253,10 @@ def _iban(e: Column, seed: Column) -> Column:
     return _let(_let(parts, checked), lambda new: F.array_join(F.transform(_chars(e), lambda c, i: F.when(c == " ", c).otherwise(F.substring(new, place(i), F.lit(1)))), ""))
 
 
-def surrogate(e: Column, kind: Column, norm: Column, attempt: Column, given_attempt: Column, key: str) -> Column:
-    """What stands in for entity e; of a name `attempt` is that of the family, and given_attempt counts too."""
-    known = F.struct(e.alias("e"), kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt"), given_attempt.alias("given"))
-    seeds = lambda x: F.struct(*(x[c].alias(c) for c in ("e", "kind", "norm", "attempt", "given")), _seed(key, x["kind"], x["norm"], x["attempt"].cast("string")).alias("seed"))
+def surrogate(e: Column, kind: Column, norm: Column, attempt: Column, gender: Column, given_attempt: Column, key: str) -> Column:
+    """What stands in for entity e; of a name `attempt` is that of the family, and gender and given_attempt count too."""
+    known = F.struct(e.alias("e"), kind.alias("kind"), norm.alias("norm"), attempt.alias("attempt"), gender.alias("gender"), given_attempt.alias("given"))
+    seeds = lambda x: F.struct(*(x[c].alias(c) for c in ("e", "kind", "norm", "attempt", "gender", "given")), _seed(key, x["kind"], x["norm"], x["attempt"].cast("string")).alias("seed"))
     return _let(known, lambda x: _let(seeds(x), lambda y: _surrogate(y, key)))
 
 
@@ -261,7 +283,7 @@ def _surrogate(x: Column, key: str) -> Column:
         .when(kind.isin("phone", "card", "ssn"), _let(digits, lambda d: _digit_places(e, d)))
         .when(kind == "iban", _iban(e, seed))
         .when(kind == "access_key", access)
-        .when(kind == "name", _name(e, norm, key, attempt, x["given"]))
+        .when(kind == "name", _name(e, norm, key, attempt, x["gender"], x["given"]))
         .when(e.rlike("^[0-9a-f]+$"), hexes)
         .otherwise(_spell(e, seed, _same_class))
     )
@@ -283,15 +305,17 @@ def _parts(kind: Column, norm: Column) -> Column:
 
 
 def entity_attempts(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """part, norm, attempt of the parts of entities that need more than the first attempt to keep surrogates distinct."""
-    hit = docs.select(F.explode(_entities(F.col(text))).alias("x")).select("x.*")
-    real = hit.groupBy("kind", "norm").agg(F.min("e").alias("e"))  # by what an entity is, before its parts: few rows are left
-    real = real.select("e", F.explode(_parts(F.col("kind"), F.col("norm"))).alias("x")).groupBy("x.part", "x.norm").agg(F.min("e").alias("e"))
+    """part, norm, attempt, gender of the parts of entities that need more than the first attempt to keep surrogates distinct, or whose forms of address differ."""
+    hit = docs.select(F.explode(_entities(F.col(text))).alias("x")).select("x.*").withColumn("g", F.when(F.col("kind") == "name", gender_of(F.col("e"))).otherwise("n"))
+    of = lambda g: F.count_if(F.col("g") == g)
+    gender = F.when((of("f") > 0) & (of("f") >= of("m")), "f").when(of("m") > 0, "m").otherwise("n")
+    real = hit.groupBy("kind", "norm").agg(F.min("e").alias("e"), gender.alias("gender"), (F.min("g") != F.max("g")).alias("mixed"))  # by what an entity is, before its parts: few rows are left
+    real = real.select("e", "gender", "mixed", F.explode(_parts(F.col("kind"), F.col("norm"))).alias("x")).groupBy("x.part", "x.norm").agg(F.min("e").alias("e"), F.max("gender").alias("gender"), F.max("mixed").alias("mixed"))
     real = checkpointed(real.withColumn("attempt", F.lit(0)))
     known = real.select("part", F.col("norm").alias("made"), F.lit(True).alias("taken"))
     part, norm, attempt = F.col("part"), F.col("norm"), F.col("attempt")
-    made = _let(surrogate(F.col("e"), part, norm, attempt, F.lit(0), key), lambda x: normal_form(x, part))
-    made = F.when(part == "family", F.lower(family_surrogate(norm, attempt, key))).when(part == "given", F.concat_ws(":", family_of(norm), given_surrogate(norm, attempt, key))).otherwise(made)
+    made = _let(surrogate(F.col("e"), part, norm, attempt, F.lit("n"), F.lit(0), key), lambda x: normal_form(x, part))
+    made = F.when(part == "family", F.lower(family_surrogate(norm, attempt, key))).when(part == "given", F.concat_ws(" ", F.lower(given_surrogate(norm, F.col("gender"), attempt, key)), family_of(norm))).otherwise(made)
     for done in itertools.count():
         now = real.withColumn("made", made)
         first = now.groupBy("part", "made").agg(F.min("norm").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -302,35 +326,52 @@ def entity_attempts(docs: DataFrame, text: str, key: str) -> DataFrame:
             kinds = sorted(r[0] for r in bad.select("part").distinct().collect())
             raise ValueError(f"no room for distinct surrogates of {', '.join(kinds)} after {done} rounds")
         clash = now.join(bad, ["part", "made"], "left").withColumn("again", F.coalesce(F.col("taken") | (F.col("norm") != F.col("first")), F.lit(False)))
-        real = checkpointed(clash.select("part", "norm", "e", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")))
-    return real.where("attempt > 0").select("part", "norm", "attempt")
+        real = checkpointed(clash.select("part", "norm", "e", "gender", "mixed", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")))
+    return real.where("attempt > 0 or (mixed and part = 'given')").select("part", "norm", "attempt", "gender")
+
+
+def _bare(text: Column, names: Column) -> Column:
+    """text with names (old, new: without form of address) replaced where they stand alone: whole first, then the family name."""
+
+    def replaced(t: Column, x: Column, of) -> Column:
+        word = F.regexp_replace(of(x["old"]), "[ \u00A0]", "\\\\E[ \u00A0]\\\\Q")
+        return F.regexp_replace(t, F.concat(F.lit(r"(?U)(?<![\p{L}\p{N}'-])\Q"), word, F.lit(r"\E(?![\p{L}\p{N}]|-\p{L}|'(?!s(?!\p{L}))\p{L})")), of(x["new"]))
+
+    last = lambda c: F.regexp_extract(c, "[^ \u00A0]+$", 0)
+    whole = F.aggregate(F.filter(names, lambda x: x["old"].rlike("[ \u00A0]")), text, lambda t, x: replaced(t, x, lambda c: c))
+    return F.aggregate(names, whole, lambda t, x: replaced(t, x, last))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", report: bool = True) -> DataFrame:
     """docs with surrogates in `text`, under a secret key.
 
     With `report`, also n_entities and entity_types (count of each type found, in
-    order of TYPES); columns of these names are replaced.
+    order of TYPES; names that stand alone don't count); columns of these names are replaced.
     """
     more = entity_attempts(docs, text, key)
     found, name, at = (spare(c, docs.columns) for c in ("ents", "text_hash", "attempts"))
     ents = docs.withColumn(found, _entities(F.col(text)))
-    attempt = lambda part, norm: F.lit(0)
+    known = lambda part, norm: F.lit(None).cast("struct<attempt:int,gender:string>")
     if more.head(1):
         # the attempts of an entity are the same in all documents, so equal texts share theirs
         uses = ents.select(F.xxhash64(text).alias(name), F.explode(found).alias("x")).select(name, F.explode(_parts(F.col("x.kind"), F.col("x.norm"))).alias("x")).select(name, "x.*").distinct()
         label = F.concat("part", F.lit("|"), "norm")
-        maps = uses.join(more, ["part", "norm"]).groupBy(name).agg(F.map_from_entries(F.collect_set(F.struct(label, "attempt"))).alias(at))
+        maps = uses.join(more, ["part", "norm"]).groupBy(name).agg(F.map_from_entries(F.collect_set(F.struct(label, F.struct("attempt", "gender")))).alias(at))
         ents = ents.withColumn(name, F.xxhash64(text)).join(maps, name, "left")
-        attempt = lambda part, norm: F.coalesce(F.try_element_at(F.col(at), F.concat(part, F.lit("|"), norm)), F.lit(0))
+        known = lambda part, norm: F.try_element_at(F.col(at), F.concat(part, F.lit("|"), norm))
 
     def new(x: Column) -> Column:
         is_name = x["kind"] == "name"
         part, norm = F.when(is_name, "family").otherwise(x["kind"]), F.when(is_name, family_of(x["norm"])).otherwise(x["norm"])
-        return surrogate(x["e"], x["kind"], x["norm"], attempt(part, norm), attempt(F.lit("given"), x["norm"]), key)
+        given = known(F.lit("given"), x["norm"])
+        attempts = (F.coalesce(known(part, norm)["attempt"], F.lit(0)), F.coalesce(given["gender"], F.when(is_name, gender_of(x["e"])).otherwise("n")), F.coalesce(given["attempt"], F.lit(0)))
+        return surrogate(x["e"], x["kind"], x["norm"], *attempts, key)
 
     rest = F.split(F.col(text), ANY, -1)
-    woven = F.array_join(F.zip_with(rest, F.transform(found, new), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    bare = lambda c: F.regexp_replace(c, "^" + _FORM, "")
+    pairs = lambda stand: F.transform(F.filter(F.zip_with(found, stand, lambda a, b: F.struct(a["kind"].alias("kind"), a["e"].alias("e"), b.alias("b"))), lambda x: x["kind"] == "name"), lambda x: F.struct(bare(x["e"]).alias("old"), bare(x["b"]).alias("new")))
+    weave = lambda stand: F.array_join(F.zip_with(rest, stand, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    woven = _let(F.transform(found, new), lambda stand: _let(pairs(stand), lambda names: F.when(F.size(names) > 0, _bare(weave(stand), F.array_distinct(names))).otherwise(weave(stand))))
     some = F.size(found) > 0
     kind = F.col(found)["kind"]
     tally = F.filter(F.array(*(F.concat(F.lit(f"{t}:"), (F.size(found) - F.size(F.array_remove(kind, t))).cast("string")) for t in TYPES)), lambda s: ~s.endswith(":0"))

@@ -450,6 +450,33 @@ def test_ibans_keep_country_and_check(spark):
         assert int("".join(str(int(c, 36)) for c in y[4:] + y[:4])) % 97 == 1
 
 
+def test_a_person_has_one_surrogate_everywhere(spark):
+    """Whatever the form of address, in every text, and where the name stands alone in a text that has it with one."""
+    texts = [
+        "Mrs. Ada Holt met Dr. Ada Holt. Contact Ada Holt, or Holt's office; Holter and Adam Holt-Smith are others. Call 555.123.4567 now, not 1.555.123.4567.8",
+        "Prof. Ada Holt and Mrs. Holt's", "Ada Holt is not named here", "Mr. Ada Berg or Dr. Ada Berg", "Holt, said Mrs. Holt. Ada Holt, said Ms. Ada Holt.",
+    ]
+    got = [r["text"] for r in pii.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    given, family = re.match(r"Mrs\. (\S+) (\S+) met", got[0]).groups()
+    assert given in pii.GIVEN["latin"]["f"] and f"met Dr. {given} {family}. Contact {given} {family}, or {family}'s office; Holter and Adam Holt-Smith are others." in got[0]
+    assert "555.123.4567 now" not in got[0] and re.search(r"Call \d{3}\.\d{3}\.\d{4} now, not 1\.555\.123\.4567\.8$", got[0])
+    assert got[1] == f"Prof. {given} {family} and Mrs. {family}'s" and got[2] == texts[2]
+    assert got[4] == f"{family}, said Mrs. {family}. {given} {family}, said Ms. {given} {family}."
+    man = re.fullmatch(r"Mr\. (\S+) (\S+) or Dr\. \1 \2", got[3])
+    assert man and man[1] in pii.GIVEN["latin"]["m"] and man[2] != family
+
+
+def test_a_key_is_drawn_where_none_is_named(spark):
+    assert spark.conf.get("spark.sessionlens.surrogateKey", None) is None
+    key = pii.surrogate_key(spark)
+    assert len(key) == 32 and pii.surrogate_key(spark) == key
+    spark.conf.set("spark.sessionlens.surrogateKey", "mine")
+    try:
+        assert pii.surrogate_key(spark) == "mine"
+    finally:
+        spark.conf.unset("spark.sessionlens.surrogateKey")
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.pseudonymise(docs(spark, []), "k").count() == 0
 
