@@ -649,9 +649,9 @@ def _(spark, d):
     return inference.duration_outliers(_s(spark, d))
 
 
-@query("a19_performance_vs_failure", f"{BASE}, l AS (SELECT is_failure, 'app_cpu_mean' AS metric, app_cpu_mean AS v FROM s UNION ALL SELECT is_failure, 'app_cpu_max', app_cpu_max FROM s UNION ALL SELECT is_failure, 'app_mem_max_mb', app_mem_max_mb FROM s), k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY metric, v) AS c FROM l WHERE v IS NOT NULL), g AS (SELECT metric, count(*) FILTER (is_failure) AS n1, count(*) FILTER (NOT is_failure) AS n2, sum(rk) FILTER (is_failure) AS rs, sum(1.0*c*c - 1) AS ties, median(v) FILTER (is_failure) AS m1, median(v) FILTER (NOT is_failure) AS m2 FROM k GROUP BY 1), zz AS (SELECT metric, round(m1, 1) AS failed_median, round(m2, 1) AS passed_median, n1 AS failed_n, n2 AS passed_n, round(2*(rs - n1*(n1+1)/2.0)/(n1*n2) - 1, 2) AS effect, round(rs - n1*(n1+1)/2.0, 3) AS u, round((greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))), 6) AS z, (greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))) AS z0 FROM g), pp AS (SELECT *, CASE WHEN z0 <= 0 THEN 1 ELSE least({_erfc('(z0/sqrt(2))')}, 1) END AS p FROM zz) SELECT * EXCLUDE (z0, p), round(p, 9) AS p_value, p < 0.05 AS significant FROM pp")
+@query("a19_performance_vs_failure", f"{BASE}, l AS (SELECT is_failure, 'app_cpu_mean' AS metric, app_cpu_mean AS v FROM s UNION ALL SELECT is_failure, 'app_cpu_max', app_cpu_max FROM s UNION ALL SELECT is_failure, 'app_mem_max_mb', app_mem_max_mb FROM s), k AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY metric, v) AS c FROM l WHERE v IS NOT NULL), g AS (SELECT metric, count(*) FILTER (is_failure) AS n1, count(*) FILTER (NOT is_failure) AS n2, sum(rk) FILTER (is_failure) AS rs, sum(1.0*c*c - 1) AS ties, median(v) FILTER (is_failure) AS m1, median(v) FILTER (NOT is_failure) AS m2 FROM k GROUP BY 1), zz AS (SELECT metric, round(m1, 1) AS failed_median, round(m2, 1) AS passed_median, n1 AS failed_n, n2 AS passed_n, round(2*(rs - n1*(n1+1)/2.0)/(n1*n2) - 1, 2) + 0.0 AS effect, round(rs - n1*(n1+1)/2.0, 3) AS u, round((greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))), 6) AS z, (greatest(rs - n1*(n1+1)/2.0, n1*n2 - rs + n1*(n1+1)/2.0) - n1*n2/2.0 - 0.5)/sqrt(n1*n2/12.0*(n1+n2+1 - ties/((n1+n2)*(n1+n2-1.0)))) AS z0 FROM g), pp AS (SELECT *, CASE WHEN z0 <= 0 THEN 1 ELSE least({_erfc('(z0/sqrt(2))')}, 1) END AS p FROM zz) SELECT * EXCLUDE (z0, p), round(p, 9) AS p_value, p < 0.05 AS significant FROM pp")
 def _(spark, d):
-    return inference.performance_vs_failure(_s(spark, d)).select("metric", "failed_median", "passed_median", "failed_n", "passed_n", "effect", F.round("u", 3).alias("u"), F.round("z", 6).alias("z"), F.round("p_value", 9).alias("p_value"), "significant")
+    return inference.performance_vs_failure(_s(spark, d)).select("metric", "failed_median", "passed_median", "failed_n", "passed_n", (F.col("effect") + 0.0).alias("effect"), F.round("u", 3).alias("u"), F.round("z", 6).alias("z"), F.round("p_value", 9).alias("p_value"), "significant")
 
 
 @query("a14_time_split", f"{BASE}, x AS (SELECT sum(browserstack_seconds) AS b, sum(user_seconds) AS u FROM s) SELECT round(b, 1) AS browserstack_seconds, round(u, 1) AS user_seconds, round(100*b/(b+u), 1) AS browserstack_pct, round(100*u/(b+u), 1) AS user_pct FROM x WHERE b + u > 0")
