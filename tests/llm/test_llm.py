@@ -529,3 +529,27 @@ def test_sample_bound(spark):
     assert linear.labelled_sample(d, labels.unionByName(labels), "quality", F.lit(True), 20).count() == 20
     some = linear.labelled_sample(d, labels, "quality", F.lit(True), 60, most_bytes=5_000).agg(F.sum(F.octet_length("text")), F.count("text")).head()
     assert 0 < some[0] <= 5_000 and some[1] > 5
+
+
+def test_a_labelled_text_over_the_bound_loses_itself_only(spark):
+    d, labels, rows = labelled(spark, 60)
+    big = docs(spark, {k: "x" * 50_000 for k in range(0, 60, 20)})
+    mixed = d.where("doc_id % 20 <> 0").unionByName(big)
+    got = {r["doc_id"] for r in linear.labelled_sample(mixed, labels, "quality", F.lit(True), 100, most_bytes=49_999).collect()}
+    assert got == {k for k, _, _ in rows if k % 20}
+    with pytest.raises(ValueError, match="labelled documents"):
+        linear.labelled_sample(big, labels, "quality", F.lit(True), 100, most_bytes=49_999)
+    assert linear.labelled_sample(docs(spark, []), labels, "quality", F.lit(True), 100).count() == 0
+
+
+def test_blocks_of_items_are_one_pass(spark):
+    rng = random.Random(12)
+    items = [prose(rng, 12) for _ in range(9)]
+    texts = [prose(rng, 30) + " " + items[k % 9] + " " + items[k * 2 % 9] for k in range(20)] + [None, ""]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = docs(spark, texts)
+    one = sorted(map(tuple, decontam.benchmark_matches(d, benchmark).collect()))
+    few = decontam.benchmark_matches(d, benchmark, block=2)
+    assert sorted(map(tuple, few.collect())) == one and len(one) >= 30
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and plan.count("MapInArrow") == 5
