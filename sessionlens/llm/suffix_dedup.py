@@ -19,7 +19,7 @@ strings that can be equal together:
 Equal texts are one text from the start; where a text of at least `length` bytes
 occurs twice, all of it goes.  Matches never cross documents.  Null texts are
 empty; texts shorter than `length` are kept whole, longer ones of any length are
-searched whole.  Repeated rows are copies of one another; rows may share an id; no rows
+searched whole, in overlapping windows.  Repeated rows are copies of one another; rows may share an id; no rows
 give no rows; columns other than doc_id and text are not read.  Equal segments are
 found by a 64-bit hash among those of one 64-bit anchor, equal texts by 128 bits of
 SHA-256; suffixes and merged runs are compared by their bytes.
@@ -38,7 +38,11 @@ from .text import _BASE, _INVERSE, U64, _powers, mix64, utf8_chunks
 LENGTH = 400
 GRAM = 32
 SHARD_BYTES = 2 << 20
+#: Longer texts are searched in windows of this many strings, so that memory doesn't follow the text.
+WINDOW = 1 << 22
 _PLACE_BITS = 28
+#: Shards are dealt over this many tasks at most; a task streams its shards one after another.
+MOST_TASKS = 8_192
 
 
 def suffix_order(buf: np.ndarray) -> np.ndarray:
@@ -146,7 +150,26 @@ def _gram_hashes(buf, size):
 
 
 def segments(buf, offsets, length=LENGTH, gram=GRAM):
-    """Row, first string, number of strings, anchor hash and content hash of each segment of every row."""
+    """Row, first string, number of strings, anchor hash and content hash of each segment of every row.
+
+    Each string starts in one window and lies in it whole; that a border cuts a segment
+    in two changes no string's anchor.
+    """
+    if len(buf) < WINDOW + length:
+        return _window_segments(buf, offsets, length, gram)
+    out = []
+    for at in range(0, len(buf) - length + 1, WINDOW):
+        piece = buf[at : at + WINDOW + length - 1]
+        first = int(np.searchsorted(offsets, at, "right")) - 1
+        end = int(np.searchsorted(offsets, at + len(piece)))
+        row, lo, *rest = _window_segments(piece, np.clip(offsets[first : end + 1] - at, 0, len(piece)), length, gram)
+        row += first
+        lo += np.maximum(at - offsets[row], 0)  # places within the row, not its part in the window
+        out.append((row, lo, *rest))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _window_segments(buf, offsets, length, gram):
     n = len(buf)
     empty = np.zeros(0, np.int64)
     if n < length:
@@ -382,17 +405,18 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, shard_bytes: int = S
     sizes = parts.groupBy("anchor").agg(F.sum(F.octet_length("bytes") + 1).alias("size"))
     total = sizes.agg(F.sum("size")).head()[0] or 0
     shards = max(64, 2 * int(total // shard_bytes + 1))
+    tasks = min(shards, MOST_TASKS)
     large = sizes.where(F.col("size") > shard_bytes).select("anchor", F.ceil(F.col("size") / shard_bytes).alias("pieces"))
     dealt = parts.join(large, "anchor", "left")
     # an anchor that is too large has shards of its own
     piece = F.xxhash64("anchor", F.pmod("content", "pieces"))
     name = F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(piece)
     dealt = dealt.select("anchor", "content", "bytes", "pieces", name.cast("long").alias("shard"))
-    small = dealt.where("pieces is null").repartition(shards, "shard").sortWithinPartitions("shard", "anchor")
+    small = dealt.where("pieces is null").repartition(tasks, "shard").sortWithinPartitions("shard", "anchor")
     runs = checkpointed(_shard_repeats(small, length))
     if large.head(1):
         big = saved(dealt.where("pieces is not null"))
-        both = saved(_split_shard_runs(big.repartition(shards, "shard").sortWithinPartitions("shard", "anchor"), length, GRAM))
+        both = saved(_split_shard_runs(big.repartition(tasks, "shard").sortWithinPartitions("shard", "anchor"), length, GRAM))
         cross = _same_bytes(_merged_runs(both.where("kind = 1").select("anchor", "reach", "part", "prints")), big, length)
         runs = runs.unionByName(both.where("kind = 0").select("anchor", "content", "a", "b")).unionByName(cross)
     whole_segments = used.where("repeats").select("key", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))

@@ -234,6 +234,43 @@ def test_repeated_bytes_go(spark, shard_bytes, monkeypatch):
         assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["kept_sha256"]) == (len(b), int(cover.sum()), hashlib.sha256(kept).hexdigest()), k
 
 
+def test_windows_find_what_the_whole_finds(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 101, 900).astype(np.uint8)
+    rows = [base, rng.integers(97, 101, 350).astype(np.uint8), base[100:800], rng.integers(97, 101, 0).astype(np.uint8), np.tile(base[:70], 30), base[:40]]
+    buf, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+
+    def strings():
+        row, lo, n, anchor, content = suffix_dedup.segments(buf, offsets, 60, 8)
+        assert len(set(zip(row.tolist(), lo.tolist(), strict=True))) == len(row)
+        for r, a, k in zip(row, lo, n, strict=True):
+            assert 0 <= a and a + k - 1 + 60 <= len(rows[r])
+        return {(r, a + j): x for r, a, k, x in zip(row.tolist(), lo.tolist(), n.tolist(), anchor.tolist(), strict=True) for j in range(k)}
+
+    whole = strings()
+    assert len(whole) == sum(max(0, len(x) - 59) for x in rows)
+    for window in (1, 61, 97, 1000):
+        monkeypatch.setattr(suffix_dedup, "WINDOW", window)
+        assert strings() == whole
+
+
+def test_tasks_do_not_follow_the_shards(spark, monkeypatch):
+    rng = random.Random(26)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    texts = ["#".join(base[k : k + 1400] for k in range(j, 1500, 700)) for j in range(40)]
+    sizes = []
+    real = suffix_dedup._shard_repeats
+    monkeypatch.setattr(suffix_dedup, "_shard_repeats", lambda parts, n: sizes.append(parts.rdd.getNumPartitions()) or real(parts, n))
+    monkeypatch.setattr(suffix_dedup, "MOST_TASKS", 5)
+    want = None
+    for shard_bytes in (200_000, 20_000, 2_000):
+        monkeypatch.setattr(suffix_dedup.repeated_ranges, "__defaults__", (400, shard_bytes))
+        got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs(spark, texts)).drop("kept").collect())
+        assert want in (None, got)
+        want = got
+    assert sizes == [5, 5, 5] and sum(r[2] for r in want)
+
+
 def test_rows_follow_a_large_group_of_near_copies(spark, monkeypatch):
     rng = random.Random(16)
     base = [rng.choice("abcdefgh ") for _ in range(1500)]
