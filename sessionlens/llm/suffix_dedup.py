@@ -38,6 +38,10 @@ from .text import _BASE, _INVERSE, U64, _powers, mix64, utf8_chunks
 LENGTH = 400
 GRAM = 32
 SHARD_BYTES = 2 << 20
+#: Anchors that fit one shard are dealt over shards of a quarter of that on average, and texts read in
+#: chunks of CHUNK bytes: arrays of that size stay in a core's cache.
+SHARDS_A_TASK = 4
+CHUNK = 1 << 17
 #: Longer texts are searched in windows of this many strings, so that memory doesn't follow the text.
 WINDOW = 1 << 22
 _PLACE_BITS = 28
@@ -45,6 +49,11 @@ _PLACE_BITS = 28
 MOST_TASKS = 8_192
 
 
+def _words_at(buf: np.ndarray, n: int, kind: str) -> np.ndarray:
+    """The eight bytes from each of the first n places as one number."""
+    return np.ndarray((n,), kind, buf, strides=(1,)).astype(np.uint64)
+
+
 def suffix_order(buf: np.ndarray) -> np.ndarray:
     """The suffix array.
 
@@ -54,17 +63,14 @@ def suffix_order(buf: np.ndarray) -> np.ndarray:
     bytes; a larger text takes one rank a round and doubles.
     """
     n = len(buf)
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
-    first = np.zeros(n, np.uint64)
-    for j in range(8):
-        first |= padded[j : j + n] << U64(56 - 8 * j)
+    first = _words_at(np.concatenate([buf, np.zeros(8, np.uint8)]), n, ">u8")
     order = np.argsort(first)
     key = first[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     starts = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+    rank = np.zeros(n + 1, np.int64)  # from 1; 0 past the end
+    rank[order] = np.repeat(starts + 1, np.diff(np.append(starts, n)))
     done, three = 8, n < (1 << 21) - 1
     # places of the sorted array whose group has several suffixes
     alone = np.ones(n, bool)
@@ -72,19 +78,17 @@ def suffix_order(buf: np.ndarray) -> np.ndarray:
     todo = np.flatnonzero(~(new & alone))
     while len(todo):
         s = order[todo]
-        ahead = np.where(s + done < n, rank[np.minimum(s + done, n - 1)] + 1, 0)
-        group = rank[s]
         if three:
-            ahead = (ahead << 21) | np.where(s + 2 * done < n, rank[np.minimum(s + 2 * done, n - 1)] + 1, 0)
-            k = np.argsort((group << 42) | ahead)
+            key = (((rank[s] << 21) | rank[np.minimum(s + done, n)]) << 21) | rank[np.minimum(s + 2 * done, n)]
         else:
-            k = np.argsort((group << 32) | ahead)
-        s, group, ahead = s[k], group[k], ahead[k]
+            key = (rank[s] << 32) | rank[np.minimum(s + done, n)]
+        k = np.argsort(key)
+        s, key = s[k], key[k]
         order[todo] = s
         new = np.ones(len(todo), bool)
-        new[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
+        new[1:] = key[1:] != key[:-1]
         starts = np.flatnonzero(new)
-        rank[s] = np.repeat(todo[starts], np.diff(np.append(starts, len(todo))))
+        rank[s] = np.repeat(todo[starts] + 1, np.diff(np.append(starts, len(todo))))
         last = np.ones(len(todo), bool)
         last[:-1] = new[1:]
         todo = todo[~(new & last)]
@@ -92,7 +96,7 @@ def suffix_order(buf: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(buf: np.ndarray, before: np.ndarray, most: int, block: int = 256) -> np.ndarray:
+def common_prefixes(buf: np.ndarray, before: np.ndarray, most: int, block: int = 64) -> np.ndarray:
     """Common prefix of each suffix with suffix `before` (-1: none), up to `most`.
 
     Kasai's walk: from one suffix to the next in the text the prefix shrinks by one
@@ -104,9 +108,7 @@ def common_prefixes(buf: np.ndarray, before: np.ndarray, most: int, block: int =
     at = np.arange(0, n, block)
     end = np.minimum(at + block, n)
     have = np.zeros(len(at), np.int64)
-    eight = np.zeros(len(padded) - 7, np.uint64)
-    for j in range(8):
-        eight |= padded[j : j + len(eight)].astype(np.uint64) << U64(8 * j)
+    eight = _words_at(padded, len(padded) - 7, "<u8")
     while len(at):
         b = before[at]
         room = np.minimum(most, n - np.maximum(at, b)) - have
@@ -209,7 +211,7 @@ def _segments_of(texts: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, buf, offsets in utf8_chunks(batch.column("text")):
+            for first, buf, offsets in utf8_chunks(batch.column("text"), CHUNK):
                 row, lo, n, anchor, content = segments(buf, offsets, length)
                 if len(row):
                     yield pa.RecordBatch.from_arrays(
@@ -406,6 +408,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, shard_bytes: int = S
     total = sizes.agg(F.sum("size")).head()[0] or 0
     shards = max(64, 2 * int(total // shard_bytes + 1))
     tasks = min(shards, MOST_TASKS)
+    shards *= SHARDS_A_TASK
     large = sizes.where(F.col("size") > shard_bytes).select("anchor", F.ceil(F.col("size") / shard_bytes).alias("pieces"))
     dealt = parts.join(large, "anchor", "left")
     # an anchor that is too large has shards of its own
