@@ -4,7 +4,8 @@ Every change writes new files beside the old ones and then names the files of bo
 tables as the next version, so a reader never meets a half-written table, builds and
 sessions always fit, and a lost executor costs a retry.  Only files that hold a row to
 be replaced are written anew.  A version is named once only: of two writers at a time
-one fails.
+one fails.  A writer first takes its number, then fills it in; one that is overtaken in
+between, and one that has passed over a number filled in since, fail as well.
 """
 
 from __future__ import annotations
@@ -69,11 +70,11 @@ class History:
             return None  # its writer is about to fill it, or was lost
 
     def version(self) -> tuple[int, dict]:
-        """(number of the last version, its files: buckets and, by table, pairs of bucket and path)."""
+        """(number of the last version, its files: buckets and, by table, pairs of bucket and path; `at`, the number that names them)."""
         versions = self._versions()
         for v in reversed(versions):
             if found := self._files_of(v):
-                return versions[-1], found
+                return versions[-1], found | {"at": v}
         return versions[-1] if versions else 0, {"buckets": dict(self.buckets), "builds": [], "sessions": []}
 
     def _rows(self, table: str, files: list) -> DataFrame:
@@ -127,6 +128,7 @@ class History:
         The version before stays for those who still read it; files of older ones go.
         """
         at, files = self.version()
+        base = files.pop("at", 0)
         before = {p for t in KEYS for _, p in files[t]}
         try:
             change(files)
@@ -135,12 +137,17 @@ class History:
                 out = fs.create(path, False)
             except Exception as e:
                 raise RuntimeError("the history was changed by another writer meanwhile; try again") from e
+            if any(self._files_of(v) for v in range(base + 1, at + 1) if v in self._versions()):
+                fs.delete(path, False)
+                raise RuntimeError("the history was changed by a slower writer meanwhile; try again")
         except BaseException:
             self._delete({p for t in KEYS for _, p in files[t]} - before)
             raise
-        out.write(bytearray(json.dumps(files).encode()))
+        out.write(bytearray(json.dumps(files | {"base": base}).encode()))
         out.close()
         versions = self._versions()
+        if any((self._files_of(v) or {}).get("base", 0) <= at for v in versions if v > at + 1):
+            raise RuntimeError("the history was changed by a faster writer meanwhile; try again")
         old, kept = set(), set()
         for v in versions:
             own = {p for t in KEYS for _, p in (self._files_of(v) or {t: []}).get(t, [])}

@@ -1,5 +1,6 @@
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -316,6 +317,41 @@ def test_a_crash_between_the_tables_changes_nothing(spark, tmp_path, monkeypatch
     assert h.version()[0] == 3 and {r["build_id"] for r in h.read("sessions").collect()} == {"b2"}
 
 
+def test_a_writer_that_was_overtaken_fails(spark, tmp_path, monkeypatch):
+    h = history.History(spark, str(tmp_path / "h"))
+    s = sample_sessions(spark, 6)
+    h.persist_build({"hashed_id": "b1", "project": "p"}, s)
+    waiting = [{"hashed_id": "b3", "project": "p"}]
+
+    def dumps(x):
+        if waiting:  # another writer, after this one has taken its number and before it fills it in
+            h.persist_build(waiting.pop(), s.limit(2))
+        return json.dumps(x)
+
+    monkeypatch.setattr(history, "json", SimpleNamespace(loads=json.loads, dumps=dumps))
+    with pytest.raises(RuntimeError, match="faster writer"):
+        h.persist_build({"hashed_id": "b2", "project": "p"}, s)
+    assert {r["build_id"] for r in h.read("builds").collect()} == {"b1", "b3"} and h.read("sessions").count() == 6
+    h.persist_build({"hashed_id": "b2", "project": "p"}, s)
+    assert {r["build_id"] for r in h.read("builds").collect()} == {"b1", "b2", "b3"}
+
+
+def test_a_number_filled_in_late_is_not_passed_over(spark, tmp_path):
+    h = history.History(spark, str(tmp_path / "h"))
+    s = sample_sessions(spark, 6)
+    h.persist_build({"hashed_id": "b1", "project": "p"}, s)
+    first, late = ((tmp_path / "h" / "versions" / f"at-{k:012d}") for k in (1, 2))
+    late.write_text("")
+
+    def slow(old):
+        late.write_text(first.read_text())
+        return old.limit(0)
+
+    with pytest.raises(RuntimeError, match="slower writer"):
+        h.change("sessions", slow)
+    assert h.version()[0] == 2 and h.read("sessions").count() == 6
+
+
 def test_many_small_files_are_put_together(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(history, "MOST_FILES", 3)
     h = history.History(spark, str(tmp_path / "h"), {"builds": 1, "sessions": 1})
