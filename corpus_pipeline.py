@@ -3,6 +3,13 @@
 Every stage works on all that the one before kept.  `run` writes each stage's
 result to the session's shared folder and reads it again, so a lost executor
 costs one stage at most.
+
+Rows with null or empty texts stay and have no tokens; texts of any length are taken
+whole.  Of equal or near texts, and of rows of one id, one row of the smallest id
+stays; rows without id are nobody's copies, but go like others where they are poor or
+hold a benchmark item.  Without labels nothing is rejected.  No rows give no rows.
+Further columns of any name stay as they are, but for token_ids, n_tokens and
+round_trip, which the last stage replaces, and n_chars, which follows the text.
 """
 
 from collections.abc import Callable

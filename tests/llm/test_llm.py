@@ -167,6 +167,14 @@ def test_every_ngram_is_kept(spark):
         assert len(m.ngrams[order - 1][0]) == len({padded[k - order + 1 : k + 1] for k in range(4, len(padded))})
 
 
+def test_of_equal_languages_the_first_counts(spark):
+    rows = docs(spark, [f"the amber grove {w} of the north" for w in WORDS])
+    both = rows.withColumn("lang", F.lit("bb")).unionByName(rows.withColumn("lang", F.lit("aa")))
+    m = langid.fit_models(both)
+    assert m.langs == ["aa", "bb"]
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in langid.predict(rows, m).collect()} <= {("aa", 0.5), ("aa", 0.25)}
+
+
 def test_shards_score_as_one_model_does(spark):
     rng = random.Random(22)
     texts = {k: " ".join("".join(rng.choice("abcdefgh" if k % 2 else "efghijkl") for _ in range(rng.randint(1, 6))) for _ in range(30)) for k in range(60)}
@@ -579,6 +587,18 @@ def test_a_labelled_text_over_the_bound_loses_itself_only(spark):
     assert linear.labelled_sample(docs(spark, []), labels, "quality", F.lit(True), 100).count() == 0
 
 
+def test_equal_items_and_passages_in_a_very_long_text(spark):
+    item = "the amber grove lies north of the old quarry ridge"
+    filler = " ".join(f"w{k}" for k in range(400_000))
+    texts = [f"{filler} {item} {filler} {item}", f"{filler} {item.replace('quarry', 'quarrz')} and {item.replace('amber', 'ambar')}", filler]
+    bench = spark.createDataFrame([(1, item), (2, item.upper()), (1, item)], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontam.benchmark_matches(docs(spark, texts), bench).select("doc_id", "item_id", "distance", "end_at").collect())
+    # equal items match alike; of equally near passages the first counts
+    first, near = len(filler) + 1 + len(item), len(filler) + 1 + len(item)
+    assert got == [(0, 1, 0, got[0][3]), (0, 2, 0, got[0][3]), (1, 1, 1, got[2][3]), (1, 2, 1, got[2][3])]
+    assert abs(got[0][3] - first) <= 2 and abs(got[2][3] - near) <= 2
+
+
 def test_blocks_of_items_are_one_pass(spark):
     rng = random.Random(12)
     items = [prose(rng, 12) for _ in range(9)]
