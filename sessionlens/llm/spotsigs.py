@@ -15,9 +15,10 @@ another meet, candidates share a signature among the rarest few of both (prefix
 filter, exact), and the bound on the overlap prunes before the sets are compared.
 
 Null texts count as empty, and empty ones have one signature; texts of any length
-are taken whole.  Rows of equal or null id are ordered by text; nulls come first.
-Repeated rows are rows of their own.  No rows give no rows.  Only doc_id and text are
-read, so further columns of any name don't matter.
+are taken whole.  Ids have to be whole numbers, or texts that hold one (an error else).
+Rows of equal or null id are ordered by text; nulls come first.  Repeated rows are rows
+of their own.  No rows give no rows.  Only doc_id and text are read, so further columns
+of any name don't matter.
 """
 
 import math

@@ -107,6 +107,14 @@ def test_near_duplicates_need_whole_numbers(odd):
         minhash.near_duplicate_groups(odd.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
 
 
+def test_fingerprints_need_whole_numbers(odd):
+    few = odd.where("doc_id in (3, 5, 7)")
+    as_text = spotsigs.fingerprint_documents(few.withColumn("doc_id", F.col("doc_id").cast("string")))
+    assert sorted(map(str, as_text.collect())) == sorted(map(str, spotsigs.fingerprint_documents(few).collect()))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        spotsigs.fingerprint_documents(few.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()
+
+
 def test_no_shared_folder_is_an_error():
     from types import SimpleNamespace
 
