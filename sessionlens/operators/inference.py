@@ -101,12 +101,13 @@ def group_medians(values: DataFrame, key: str, v: str, least: int = 1) -> DataFr
     A sketch brackets the middle of each group closely; the values below the bracket
     are only counted and those in it are put in order, equal ones as one row, so a task
     never holds a group.  Where the sketch has missed the middle, the side that
-    has it is put in order instead: the result is exact anyway.
+    has it is put in order instead: the result is exact anyway.  The bracket is
+    computed once: a sketch differs from run to run with the order in which its parts come.
     """
     rows = values.where(F.col(key).isNotNull() & F.col(v).isNotNull()).select(F.col(key).alias("key"), F.col(v).cast("double").alias("v"))
     near = F.percentile_approx("v", [0.5 - BRACKET, 0.5 + BRACKET], SKETCH)
     stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), near.alias("near"), F.max("v").alias("top"), F.avg("v").alias("avg")).where(F.col("n") >= least)
-    stats = stats.withColumns({"lo": F.get("near", F.lit(0)), "hi": F.get("near", F.lit(1))}).drop("near")
+    stats = kept(stats.withColumns({"lo": F.get("near", F.lit(0)), "hi": F.get("near", F.lit(1))}).drop("near"))
     placed = rows.join(stats.select("key", "n", "lo", "hi"), "key").withColumn("side", F.when(F.col("v") < F.col("lo"), 0).when(F.col("v") <= F.col("hi"), 1).otherwise(2))
     sides = placed.groupBy("key", "side").agg(F.count(F.lit(1)).alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy("key").orderBy("side").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # three rows a group

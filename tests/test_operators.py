@@ -127,6 +127,12 @@ def test_group_medians_are_exact(spark, monkeypatch, sketch):
     assert set(r["name"] for r in inference.group_medians(df, "name", "v", 3).collect()) == {"hot", "tied", "steps"}
 
 
+def test_group_medians_compute_their_sketch_once(spark):
+    """A sketch differs with the order in which its parts come, so all that follows has to use one and the same."""
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "name string, v double")
+    assert "percentile_approx" not in inference.group_medians(df, "name", "v")._jdf.queryExecution().toString()
+
+
 def test_rank_test_with_a_small_side_is_exact(spark):
     v = [5.5, 7.25, 9.5, 100.75, 101.5] + [float(k) for k in range(25_000)]
     s = sessions(spark, [dict(is_failure=k < 5) for k in range(len(v))]).join(spark.createDataFrame(list(enumerate(v)), "row_id long, app_cpu_mean double"), "row_id")
