@@ -19,10 +19,18 @@ def app_prefix(series: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.try_element_at(found, F.lit(1)), r"(?i)^([a-z0-9]+)_", 1), F.lit(""))
 
 
+def _mean(v: Column) -> Column:
+    """Mean of an array without nulls to one place; added up as decimals, as a sum of doubles errs either way where the mean ends in a half."""
+    n, total = F.size(v), "decimal(37,12)"
+    exact = F.aggregate(F.transform(v, lambda x: x.try_cast("decimal(30,12)")), F.lit(0).cast(total), lambda a, x: (a + x).try_cast(total))
+    plain = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return F.coalesce(F.round(exact / n, 1).cast("double"), F.round(plain / n, 1))  # decimals end at 1e18, and none is infinite
+
+
 def _stats(v: Column) -> tuple[Column, Column, Column]:
     """Mean, 95th percentile (interpolated) and maximum of an array without nulls; null if it is empty."""
     n = F.size(v)
-    mean = F.when(n > 0, F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / n, 1))
+    mean = F.when(n > 0, _mean(v))
     s = F.array_sort(v)
     at = 0.95 * (n - 1)
     lo = F.try_element_at(s, F.floor(at).cast("int") + 1)

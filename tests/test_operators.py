@@ -310,6 +310,23 @@ def test_profile_figures(spark):
     assert got["b"]["profile_samples"] is None and got["c"]["profile_samples"] is None
 
 
+def test_means_that_end_in_a_half(spark):
+    """Means of hundredths whose fractions decide the rounding, in any order; infinite ones stay so."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng, rows, want = random.Random(5), [], {}
+    for i in range(150):
+        n = rng.choice([20, 50, 426, 1000])
+        cents = [rng.randrange(20_000) for _ in range(n)]
+        more = (5 * n - sum(cents)) % (10 * n)  # to a mean of some tenths and five hundredths
+        cents = [c + more // n + (k < more % n) for k, c in enumerate(cents)]
+        want[f"{i}"] = float((Decimal(sum(cents)) / n / 100).quantize(Decimal("0.1"), ROUND_HALF_UP))
+        rows.append((f"{i}", json.dumps([{"cpu": c / 100} for c in cents])))
+    rows.append(("inf", '[{"cpu": "Infinity"}, {"cpu": 1.0}]'))
+    df = spark.createDataFrame(rows, "session_id string, series string")
+    assert {r["session_id"]: r["device_cpu_mean"] for r in profiling.parse_profiles(df).collect()} == want | {"inf": float("inf")}
+
+
 def test_results_do_not_depend_on_partitions(spark):
     rows = [dict(name=f"t{k % 5}", device=f"d{k % 3}", is_failure=k % 4 == 0, duration=float(k)) for k in range(120)]
     s = risk.with_dimensions(sessions(spark, rows))
