@@ -417,6 +417,16 @@ def test_pages_as_a_table_are_read_as_in_turn(spark):
     assert got == {b: [r["hashed_id"] for r in rows] for b in builds if (rows := list(api.fetch_sessions(get, b, mine)))}
 
 
+def test_landed_pages_have_no_bound(spark):
+    """A build of more pages than may be asked for at once is read to its end."""
+    from sessionlens.sources import catalog
+
+    size, n = settings.SETTINGS.page_size, settings.SETTINGS.most_pages + 3
+    rows = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(F.concat_ws("-", F.col("id").cast("string"), k.cast("string")).alias("hashed_id")))
+    pages = spark.range(n).select(F.lit("b").alias("build_id"), F.col("id").alias("page"), rows.alias("rows"))
+    assert catalog.payloads_of_pages(pages, F.col("r.hashed_id")).count() == n * size
+
+
 def test_names_are_matched_as_the_service_does(spark):
     from sessionlens.sources import catalog
 
