@@ -427,6 +427,15 @@ def test_landed_pages_have_no_bound(spark):
     assert catalog.payloads_of_pages(pages, F.col("r.hashed_id")).count() == n * size
 
 
+def test_fetched_profiles_tell_their_seconds(spark, tmp_path):
+    from sessionlens.plans import queries
+
+    rows = spark.range(3).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 5).cast("timestamp_ntz").alias("ts"), F.lit(2).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.5).alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["session_id"]: (r["profile_samples"], r["device_cpu_mean"], r["profile_seconds"]) for r in queries.QUERIES["s20_fetched_profiles"](spark, str(tmp_path)).collect()}
+    assert got == {"0": (None, None, None), "1": (None, None, None), "2": (3, 1.5, 10.0)}
+
+
 def test_names_are_matched_as_the_service_does(spark):
     from sessionlens.sources import catalog
 
