@@ -16,11 +16,12 @@ follows the alphabets and not the texts, go with every shard.  A model of one
 shard (`SHARD_BYTES`) scores in one pass; of more, each shard is a pass over the
 texts, and a text's sums are added up.
 
-Calibration: on a bounded sample of training documents (`CALIBRATION_ROWS`) the
-sharpness of the softmax over cross-entropies is fitted, and for each language
-the cross-entropy that nearly all of its documents stay under.  A document above
-that bound is `rejected`: it is written in none of the learned languages; its
-score is then halved, and `lang_pred` still names the nearest language.
+Calibration: on all training documents of 40 letters or more the sharpness of the
+softmax over cross-entropies is fitted, and for each language the cross-entropy
+that nearly all of its documents stay under.  A document above that bound is
+`rejected`: it is written in none of the learned languages; its score is then
+halved, and `lang_pred` still names the nearest language.  `identify_languages`
+scores every document once and calibrates on those of the scores that it may learn from.
 
 Null, empty and other texts without a letter (Unicode category L) get `und` and
 score 0, as does everything if no document is labelled.  Texts of any length are
@@ -35,7 +36,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import held_out
@@ -44,7 +45,7 @@ from .text import U64, mix64, utf8_chunks
 
 ORDER = 5
 SHARD_BYTES = 64 << 20
-CALIBRATION_ROWS = 3_000
+CALIBRATION_LETTERS = 40
 DISCOUNT = 0.75
 CHUNK = 2 << 20
 _STEP = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(ORDER)]
@@ -283,22 +284,46 @@ def fit_models(docs: DataFrame, shard_bytes: int | None = None) -> Learned | Non
     m = _learn(docs, SHARD_BYTES if shard_bytes is None else shard_bytes)
     if m is None:
         return None
-    ids = docs.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id").limit(CALIBRATION_ROWS).distinct()
-    sample = docs.join(F.broadcast(ids), "doc_id").select("lang", "text")  # CALIBRATION_ROWS ids at most
-    got = _entropies(sample if m.shards == 1 else saved(sample), m, "lang").where("letters >= 40").limit(2 * CALIBRATION_ROWS).toArrow()
-    if got.num_rows:
-        x = np.array(got.column("nats").to_pylist())
-        place = {v: k for k, v in enumerate(m.langs)}
-        truth = np.array([place[v] for v in got.column("lang").to_pylist()])
+    return _calibrated(m, saved(_entropies(docs, m, ["lang"])))
 
-        def loss(t):
-            z = -t * (x - x.min(1, keepdims=True))
-            return -(z[np.arange(len(z)), truth] - np.log(np.exp(z).sum(1))).mean()
 
-        sharp = min((2.0**k for k in range(-1, 7)), key=loss)
-        limits = np.array([np.quantile(x[truth == k, k], 0.99) * 1.35 if (truth == k).sum() >= 20 else np.inf for k in range(len(m.langs))])
-        m = replace(m, sharpness=sharp, limits=limits)
-    return m
+def _calibrated(m: Learned, scored: DataFrame) -> Learned:
+    """m with sharpness and limits from all rows of scored (lang, nats, letters)."""
+    own = F.element_at("nats", F.array_position(F.array(*map(F.lit, m.langs)), F.col("lang")).cast("int"))
+    rows = scored.where(F.col("letters") >= CALIBRATION_LETTERS).select("lang", "nats", F.array_min("nats").alias("low"), own.alias("own"))
+    sharps = [2.0**k for k in range(-1, 7)]
+
+    def loss(t):
+        return t * (F.col("own") - F.col("low")) + F.log(F.aggregate("nats", F.lit(0.0), lambda s, x: s + F.exp(-t * (x - F.col("low")))))
+
+    r = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(loss(t)).alias(f"loss{k}") for k, t in enumerate(sharps))).head()
+    if not r["n"]:
+        return m
+    sharp = sharps[min(range(len(sharps)), key=lambda k: r[f"loss{k}"])]
+    found = _quantiles(rows.select("lang", "own"), 0.99)
+    return replace(m, sharpness=sharp, limits=np.array([found[x][1] * 1.35 if x in found and found[x][0] >= 20 else np.inf for x in m.langs]))
+
+
+def _quantiles(rows: DataFrame, share: float) -> dict[str, tuple[int, float]]:
+    """n and the quantile (interpolated) of `own` of all rows of each lang.
+
+    Equal values are counted first and dealt to ranges; what lies before a range comes
+    from the ranges' counts, and only the ranges that hold the places are put in order.
+    """
+    values = rows.groupBy("lang", "own").agg(F.count(F.lit(1)).alias("t"))
+    placed = checkpointed(values.repartitionByRange("lang", "own").withColumn("part", F.spark_partition_id()))
+    parts = placed.groupBy("lang", "part").agg(F.sum("t").alias("k"))
+    earlier = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    parts = parts.select("lang", "part", "k", F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("start"), F.sum("k").over(Window.partitionBy("lang")).alias("n"))
+    at = (F.col("n") - 1) * share
+    wanted = parts.select("*", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))).alias("at")).where("start <= at and at < start + k")
+    within = Window.partitionBy("lang", "part").orderBy("own").rowsBetween(Window.unboundedPreceding, 0)
+    held = placed.join(F.broadcast(wanted.select("lang", "part").distinct()), ["lang", "part"], "left_semi").withColumn("upto", F.sum("t").over(within))
+    got = held.join(F.broadcast(wanted), ["lang", "part"]).where("start + upto - t <= at and at < start + upto").select("lang", "n", "at", "own")
+    places = {}
+    for r in got.collect():  # two rows a language at most
+        places.setdefault((r["lang"], r["n"]), {})[r["at"]] = r["own"]
+    return {x: (n, float(np.interp((n - 1) * share, sorted(v), [v[k] for k in sorted(v)]))) for (x, n), v in places.items()}
 
 
 def _shard_entropies(df: DataFrame, m: LanguageModels, keys: list[str]) -> DataFrame:
@@ -317,10 +342,10 @@ def _shard_entropies(df: DataFrame, m: LanguageModels, keys: list[str]) -> DataF
     return df.select(*keys, "text").mapInArrow(run, f"{kinds}, nats array<double>, letters long")
 
 
-def _entropies(df: DataFrame, m: Learned, key: str) -> DataFrame:
+def _entropies(df: DataFrame, m: Learned, keys: list[str]) -> DataFrame:
     """As _shard_entropies under the whole models, shard after shard."""
     if m.shards == 1:
-        return _shard_entropies(df, m.models(0), [key])
+        return _shard_entropies(df, m.models(0), keys)
     text = F.coalesce("text", F.lit(""))
     names = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]  # equal texts have equal sums
     parts = None
@@ -333,46 +358,45 @@ def _entropies(df: DataFrame, m: Learned, key: str) -> DataFrame:
     none = F.array_repeat(F.lit(0.0), len(m.langs))
     total = F.aggregate(lists, none, lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
     sums = parts.groupBy("h1", "h2").agg(total.alias("nats"), F.first("letters").alias("letters"))
-    return df.select(key, *names).join(sums, ["h1", "h2"]).select(key, "nats", "letters")
+    return df.select(*keys, *names).join(sums, ["h1", "h2"]).select(*keys, "nats", "letters")
 
 
 def predict(docs: DataFrame, m: Learned | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     if m is None:
         return docs.select("doc_id", held_out(4, 2).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    names, sharpness = np.array([*m.langs, "und"], object), m.sharpness
-    limits = m.limits if m.limits is not None else np.full(len(m.langs), np.inf)
-
-    def decided(ids, nats, letters):
-        best = nats.argmin(1)
-        low = nats.min(1)
-        p = 1 / np.exp(-sharpness * (nats - low[:, None])).sum(1)
-        none = letters == 0
-        rejected = none | (low > limits[best])
-        score = np.where(none, 0.0, np.where(rejected, p / 2, p))
-        return pa.RecordBatch.from_arrays([ids, pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+    return _decided(_entropies(docs, m, ["doc_id"]), m)
 
-    whole = m.whole
 
-    def run(batches):
-        fold = fold_table()
-        for batch in batches:
-            for lo, buf, offsets in utf8_chunks(batch.column("text"), CHUNK):
-                nats, letters = cross_entropies(whole, buf, offsets, fold)
-                yield decided(batch.column("doc_id").slice(lo, len(letters)), nats, letters)
+def _decided(scored: DataFrame, m: Learned) -> DataFrame:
+    """As predict, from doc_id, nats and letters."""
+    names, sharpness = np.array([*m.langs, "und"], object), m.sharpness
+    limits = m.limits if m.limits is not None else np.full(len(m.langs), np.inf)
 
     def settle(batches):
         for batch in batches:
-            if batch.num_rows:
-                nats = batch.column("nats").flatten().to_numpy().reshape(batch.num_rows, -1)
-                yield decided(batch.column("doc_id"), nats, batch.column("letters").to_numpy())
-
-    schema = f"doc_id {kind}, lang_pred string, score double, rejected boolean"
-    out = docs.select("doc_id", "text").mapInArrow(run, schema) if whole is not None else _entropies(docs, m, "doc_id").mapInArrow(settle, schema)
+            if not batch.num_rows:
+                continue
+            nats, letters = batch.column("nats").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("letters").to_numpy()
+            best = nats.argmin(1)
+            low = nats.min(1)
+            p = 1 / np.exp(-sharpness * (nats - low[:, None])).sum(1)
+            none = letters == 0
+            rejected = none | (low > limits[best])
+            score = np.where(none, 0.0, np.where(rejected, p / 2, p))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+
+    kind = scored.schema["doc_id"].dataType.simpleString()
+    out = scored.select("doc_id", "nats", "letters").mapInArrow(settle, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Learns from the documents that aren't held out and predicts all."""
-    return predict(docs, fit_models(docs.select("doc_id", "text", "lang").where(~held_out(4, 2))))
+    docs = docs.select("doc_id", "text", "lang")
+    learning = ~held_out(4, 2) & F.col("lang").isNotNull()
+    m = _learn(docs.where(learning & F.col("text").isNotNull()), SHARD_BYTES)
+    if m is None:
+        return predict(docs, None)
+    scored = saved(_entropies(docs, m, ["doc_id", "lang"]))
+    return _decided(scored, _calibrated(m, scored.where(learning)))

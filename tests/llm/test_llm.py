@@ -175,6 +175,29 @@ def test_of_equal_languages_the_first_counts(spark):
     assert {(r["lang_pred"], round(r["score"], 6)) for r in langid.predict(rows, m).collect()} <= {("aa", 0.5), ("aa", 0.25)}
 
 
+def test_calibration_takes_all_training_documents(spark):
+    """Limits are the exact quantiles of thousands of documents, also of those in a shape that few have."""
+    rng = random.Random(23)
+    texts, langs = {}, {}
+    for k in range(8_000):
+        lang = "ab"[k % 2]
+        texts[k] = " ".join("".join(rng.choice("abcdefgh" if lang == "a" else "efghijkl") for _ in range(rng.randint(1, 6))) for _ in range(rng.choice([6, 20, 30])))
+        langs[k] = lang
+    df = docs(spark, texts, langs)
+    m = langid.fit_models(df)
+    rows = [r for r in langid._entropies(df, m, ["lang"]).collect() if r["letters"] >= langid.CALIBRATION_LETTERS]
+    assert len(rows) > 5_000
+    for k, lang in enumerate("ab"):
+        assert m.limits[k] == pytest.approx(1.35 * np.quantile([r["nats"][k] for r in rows if r["lang"] == lang], 0.99), abs=1e-12)
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(24)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(2_001)] + [("b", float(rng.choice([1, 2]))) for _ in range(500)] + [("c", 4.0)]
+    got = langid._quantiles(spark.createDataFrame(rows, "lang string, own double").repartition(5), 0.99)
+    assert got == {x: (sum(r[0] == x for r in rows), pytest.approx(np.quantile([v for y, v in rows if y == x], 0.99), abs=1e-12)) for x in "abc"}
+
+
 def test_shards_score_as_one_model_does(spark):
     rng = random.Random(22)
     texts = {k: " ".join("".join(rng.choice("abcdefgh" if k % 2 else "efghijkl") for _ in range(rng.randint(1, 6))) for _ in range(30)) for k in range(60)}
