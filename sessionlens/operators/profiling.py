@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 MIN_SLOPE_SAMPLES = 8
+BLOCK = 1000  # samples of a partial sum
 
 
 def app_prefix(series: Column) -> Column:
@@ -19,18 +20,26 @@ def app_prefix(series: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.try_element_at(found, F.lit(1)), r"(?i)^([a-z0-9]+)_", 1), F.lit(""))
 
 
-def _mean(v: Column) -> Column:
-    """Mean of an array without nulls to one place; added up as decimals, as a sum of doubles errs either way where the mean ends in a half."""
+def _total(v: Column) -> Column:
+    """Sum of doubles in their order, by blocks whose sums are added up then; one long sum would drift."""
+    block = lambda at: F.aggregate(F.slice(v, at, BLOCK), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK)), F.lit(0.0), lambda a, at: a + block(at))
+
+
+def _mean(v: Column, exact: bool) -> Column:
+    """Mean of an array without nulls to one place; exact if added up as decimals, as a sum of doubles errs either way where the mean ends in a half."""
     n, total = F.size(v), "decimal(37,12)"
-    exact = F.aggregate(F.transform(v, lambda x: x.try_cast("decimal(30,12)")), F.lit(0).cast(total), lambda a, x: (a + x).try_cast(total))
-    plain = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.round(exact / n, 1).cast("double"), F.round(plain / n, 1))  # decimals end at 1e18, and none is infinite
+    plain = F.round(_total(v) / n, 1)
+    if not exact:
+        return plain
+    decimals = F.aggregate(F.transform(v, lambda x: x.try_cast("decimal(30,12)")), F.lit(0).cast(total), lambda a, x: (a + x).try_cast(total))
+    return F.coalesce(F.round(decimals / n, 1).cast("double"), plain)  # decimals end at 1e18, and none is infinite
 
 
-def _stats(v: Column) -> tuple[Column, Column, Column]:
+def _stats(v: Column, exact: bool = True) -> tuple[Column, Column, Column]:
     """Mean, 95th percentile (interpolated) and maximum of an array without nulls; null if it is empty."""
     n = F.size(v)
-    mean = F.when(n > 0, _mean(v))
+    mean = F.when(n > 0, _mean(v, exact))
     s = F.array_sort(v)
     at = 0.95 * (n - 1)
     lo = F.try_element_at(s, F.floor(at).cast("int") + 1)
@@ -53,8 +62,8 @@ def _slope_per_minute(ts: Column, v: Column) -> Column:
     return F.when((n >= MIN_SLOPE_SAMPLES) & (span > 0), F.round((n * stx - st * sx) / (n * stt - st * st), 2))
 
 
-def parse_profiles(profiles: DataFrame, series: str = "series") -> DataFrame:
-    """profiles plus the figures of its JSON series; all null where there is no sample."""
+def parse_profiles(profiles: DataFrame, series: str = "series", exact: bool = True) -> DataFrame:
+    """profiles plus the figures of its JSON series; all null where there is no sample. Means come from decimals if exact, else from doubles like SQL's avg."""
     rows = F.from_json(F.col(series), "array<map<string,double>>")
     df = profiles.withColumns({"_rows": F.filter(rows, lambda r: r.isNotNull()), "_prefix": app_prefix(F.col(series))})
     whole = lambda k: F.transform(F.col("_rows"), lambda r: F.try_element_at(r, k))
@@ -64,8 +73,8 @@ def parse_profiles(profiles: DataFrame, series: str = "series") -> DataFrame:
     c = {k: F.col(f"_{k}") for k in names}
     # totals and free memory are paired by place after nulls are dropped from each
     df = df.withColumn("_used", F.filter(F.zip_with(c["mem"], c["mema"], lambda a, b: a - b), lambda x: x.isNotNull()))
-    dev_mean, _, dev_max = _stats(c["cpu"])
-    cpu_mean, cpu_p95, cpu_max = _stats(c["app_cpu"])
+    dev_mean, _, dev_max = _stats(c["cpu"], exact)
+    cpu_mean, cpu_p95, cpu_max = _stats(c["app_cpu"], exact)
     mem_max, used_max, temp_max = _stats(c["app_mem"])[2], _stats(F.col("_used"))[2], _stats(c["temp"])[2]
     ts, batt, temp = c["ts"], c["batt"], c["temp"]
     out = {
@@ -82,7 +91,7 @@ def parse_profiles(profiles: DataFrame, series: str = "series") -> DataFrame:
     return df.drop(*(x for x in df.columns if x.startswith("_")))
 
 
-def with_profiles(sessions: DataFrame, profiles: DataFrame) -> DataFrame:
+def with_profiles(sessions: DataFrame, profiles: DataFrame, exact: bool = True) -> DataFrame:
     """sessions plus the figures of profiles (session_id, series) by session."""
-    figures = parse_profiles(profiles).select("session_id", *fixed.PROFILE_COLUMNS)
+    figures = parse_profiles(profiles, exact=exact).select("session_id", *fixed.PROFILE_COLUMNS)
     return sessions.drop(*fixed.PROFILE_COLUMNS).join(figures, "session_id", "left")

@@ -327,6 +327,33 @@ def test_means_that_end_in_a_half(spark):
     assert {r["session_id"]: r["device_cpu_mean"] for r in profiling.parse_profiles(df).collect()} == want | {"inf": float("inf")}
 
 
+def test_means_of_doubles_are_added_up_in_blocks(spark):
+    """As SQL's avg adds up doubles: in their order, by partial sums; neither as decimals nor in one long sum."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    def total(v):
+        t = 0.0
+        for x in v:
+            t += x
+        return t
+
+    tenths = lambda x: float(x.quantize(Decimal("0.1"), ROUND_HALF_UP))
+    rng, rows, want, long, decimals = random.Random(6), [("none", '[{"batt": 1.0}]')], {}, {}, {}
+    for i in range(60):
+        n = rng.choice([324, 1000, 1001, 4260])
+        cents = [rng.randrange(20_000) for _ in range(n)]
+        more = (5 * n - sum(cents)) % (10 * n)  # to a mean of some tenths and five hundredths
+        v = [(c + more // n + (k < more % n)) / 100 for k, c in enumerate(cents)]
+        blocks = total(total(v[k : k + profiling.BLOCK]) for k in range(0, n, profiling.BLOCK))
+        want[f"{i}"], long[f"{i}"] = tenths(Decimal(repr(blocks / n))), tenths(Decimal(repr(total(v) / n)))
+        decimals[f"{i}"] = tenths(sum(map(Decimal, map(repr, v))) / n)
+        rows.append((f"{i}", json.dumps([{"cpu": x} for x in v])))
+    assert want != long and want != decimals
+    df = spark.createDataFrame(rows, "session_id string, series string")
+    assert {r["session_id"]: r["device_cpu_mean"] for r in profiling.parse_profiles(df, exact=False).collect()} == want | {"none": None}
+    assert {r["session_id"]: r["device_cpu_mean"] for r in profiling.parse_profiles(df).collect()} == decimals | {"none": None}
+
+
 def test_results_do_not_depend_on_partitions(spark):
     rows = [dict(name=f"t{k % 5}", device=f"d{k % 3}", is_failure=k % 4 == 0, duration=float(k)) for k in range(120)]
     s = risk.with_dimensions(sessions(spark, rows))

@@ -436,6 +436,40 @@ def test_fetched_profiles_tell_their_seconds(spark, tmp_path):
     assert got == {"0": (None, None, None), "1": (None, None, None), "2": (3, 1.5, 10.0)}
 
 
+def _half_means(spark, folder):
+    """events of 40 users whose values have means of some tenths and five hundredths, in one row group."""
+    rng, rows = random.Random(7), []
+    for u in range(40):
+        n = rng.choice([20, 50, 324])
+        cents = [rng.randrange(20_000) for _ in range(n)]
+        more = (5 * n - sum(cents)) % (10 * n)
+        rows += [(u, (c + more // n + (k < more % n)) / 100) for k, c in enumerate(cents)]
+    df = spark.createDataFrame([(k, 1_704_067_200 + k, u, v) for k, (u, v) in enumerate(rows)], "event_id long, at long, user_id long, value double")
+    out = str(folder / "events.parquet")
+    df.select("event_id", F.timestamp_seconds("at").cast("timestamp_ntz").alias("ts"), "user_id", F.lit("view").alias("event_type"), "value").coalesce(1).sortWithinPartitions("event_id").write.parquet(out)
+    return out
+
+
+def _with_sql(spark, folder, name):
+    """Rows of a query over _half_means, and those of its SQL."""
+    from sessionlens.plans import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    events = _half_means(spark, folder)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{events}/*.parquet')")
+    cur = db.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in cur.description]
+    ours = queries.QUERIES[name](spark, str(folder)).select(*columns).collect()
+    key = lambda r: r[0]
+    return sorted(map(tuple, ours), key=key), sorted(map(tuple, cur.fetchall()), key=key)
+
+
+def test_profile_means_are_those_of_their_sql(spark, tmp_path):
+    ours, sql = _with_sql(spark, tmp_path, "m16_profiles")
+    assert len(ours) == 40 and ours == sql
+
+
 def test_names_are_matched_as_the_service_does(spark):
     from sessionlens.sources import catalog
 
