@@ -470,6 +470,11 @@ def test_profile_means_are_those_of_their_sql(spark, tmp_path):
     assert len(ours) == 40 and ours == sql
 
 
+def test_fetched_profile_means_are_those_of_their_sql(spark, tmp_path):
+    ours, sql = _with_sql(spark, tmp_path, "s20_fetched_profiles")
+    assert sum(r[3] is not None for r in ours) == 40 and ours == sql
+
+
 def test_names_are_matched_as_the_service_does(spark):
     from sessionlens.sources import catalog
 
